@@ -249,3 +249,83 @@ def disk_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def changed_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     quarters = table_quarters(spark, sf_dir).where(F.col("rk") <= 4)
     return quarters.select("table_id", (4 - F.col("rk")).cast("bigint").alias("pos"), "tid")
+
+
+def part_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type, brand and part as a three-level tree with its traversal order."""
+    kind = F.ascii("p_type").cast("bigint") * 26 + F.ascii(F.substring("p_type", 2, 1))
+    brand = F.regexp_extract("p_brand", "[0-9]+", 0).cast("bigint") + 1
+    part = table(spark, sf_dir, "part").select(
+        "p_partkey", "p_name", "p_brand", "p_type", kind.alias("t"), brand.alias("b")
+    )
+    root = (F.col("t") * 100 + F.col("b")) * 1_000_000_000
+    zero = F.lit(0).cast("bigint")
+    leaves = part.select(
+        F.lit(3).alias("niveau"), "p_type", "t", "b", "p_partkey", F.col("p_name").alias("titel"),
+        (root + F.col("p_partkey") + 1).alias("seq"),
+    )
+    brands = part.select(
+        F.lit(2).alias("niveau"), "p_type", "t", "b", zero.alias("p_partkey"), F.col("p_brand").alias("titel"), root.alias("seq")
+    ).distinct()
+    types = part.select(
+        F.lit(1).alias("niveau"), "p_type", "t", zero.alias("b"), zero.alias("p_partkey"), F.col("p_type").alias("titel"),
+        (F.col("t") * 100 * 1_000_000_000).alias("seq"),
+    ).distinct()
+    return leaves.unionByName(brands).unionByName(types)
+
+
+# Parts of one brand and type lie about this far apart in ``part_tree``.
+TREE_BUCKET = 10_000_000
+
+
+def dims_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uncleaned classifications; codes are text."""
+    geo = dim_geo(spark, sf_dir)
+    code = F.col("kode").cast("string").alias("kode")
+    plain = geo.select(F.lit("geo").alias("dim_id"), "sekvens", code, "niveau", "titel")
+    gap = geo.select(F.lit("gap").alias("dim_id"), "sekvens", code, (F.col("niveau") * 2 - 1).alias("niveau"), "titel")
+    key = F.col("n_nationkey")
+    dotted = F.concat(F.floor(key / 10).cast("string"), F.lit("."), (key % 10).cast("string"))
+    nation = table(spark, sf_dir, "nation")
+    amb = nation.select(
+        F.lit("amb").alias("dim_id"), (key * 2).cast("bigint").alias("sekvens"), key.cast("string").alias("kode"),
+        F.lit(1).alias("niveau"), F.col("n_name").alias("titel"),
+    ).unionByName(
+        nation.select(
+            F.lit("amb").alias("dim_id"), (key * 2 + 1).cast("bigint").alias("sekvens"), dotted.alias("kode"),
+            F.lit(1).alias("niveau"), F.col("n_name").alias("titel"),
+        )
+    )
+    tree = part_tree(spark, sf_dir)
+    brand = F.lpad(F.col("b").cast("string"), 2, "0")
+
+    def codes(top: Column, leaf: Column) -> Column:
+        return (
+            F.when(F.col("niveau") == 1, top)
+            .when(F.col("niveau") == 2, F.concat(top, F.lit("."), brand))
+            .otherwise(F.concat(top, F.lit("."), brand, F.lit("."), leaf))
+        )
+
+    key = F.col("p_partkey").cast("string")
+    named = tree.select(F.lit("prod").alias("dim_id"), F.col("seq").alias("sekvens"), codes(F.col("p_type"), key).alias("kode"), "niveau", "titel")
+    numbered = tree.select(
+        F.lit("kn").alias("dim_id"), F.col("seq").alias("sekvens"),
+        codes(F.col("t").cast("string"), F.lpad(key, 12, "0")).alias("kode"), "niveau", "titel",
+    )
+    return plain.unionByName(gap).unionByName(amb).unionByName(named).unionByName(numbered)
+
+
+def age_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same parts under four age codings: single years, bands, bands with a total, with holes."""
+    size = F.col("p_size")
+    low = (F.floor(size / 5) * 5).cast("int")
+    band = F.concat(low.cast("string"), F.lit("-"), (low + 4).cast("string"))
+    year = size.cast("string")
+    codings = F.array(
+        F.struct(F.lit("single").alias("t"), F.when(size >= 40, "40-").otherwise(year).alias("a")),
+        F.struct(F.lit("bands").alias("t"), F.when(size >= 40, "40OV").otherwise(band).alias("a")),
+        F.struct(F.lit("total").alias("t"), F.when(size == 7, "IALT").otherwise(band).alias("a")),
+        F.struct(F.lit("holes").alias("t"), F.when(size != 9, year).alias("a")),
+    )
+    exploded = table(spark, sf_dir, "part").select("p_partkey", F.explode(codings).alias("c"))
+    return exploded.select("p_partkey", F.col("c.t").alias("table_id"), F.col("c.a").alias("alder"))

@@ -226,3 +226,63 @@ FROM (SELECT *, CAST(SUBSTR(tid, 1, 4) AS BIGINT) AS y, CASE
     WHEN table_id LIKE 'MON%' THEN 'month' WHEN table_id LIKE 'SPAN%' THEN 'span' WHEN table_id LIKE 'YEAR%' THEN 'year'
     ELSE 'text' END AS tid_form FROM period_lists))
 """)
+
+view("dims_raw", """
+SELECT 'geo' AS dim_id, sekvens, CAST(kode AS VARCHAR) AS kode, niveau, titel FROM dim_geo
+UNION ALL SELECT 'gap', sekvens, CAST(kode AS VARCHAR), niveau * 2 - 1, titel FROM dim_geo
+UNION ALL SELECT 'amb', CAST(n_nationkey * 2 AS BIGINT), CAST(n_nationkey AS VARCHAR), 1, n_name FROM nation
+UNION ALL SELECT 'amb', CAST(n_nationkey * 2 + 1 AS BIGINT), (n_nationkey // 10) || '.' || (n_nationkey % 10), 1, n_name FROM nation
+UNION ALL SELECT 'prod', seq, CASE niveau WHEN 1 THEN p_type WHEN 2 THEN p_type || '.' || LPAD(CAST(b AS VARCHAR), 2, '0')
+            ELSE p_type || '.' || LPAD(CAST(b AS VARCHAR), 2, '0') || '.' || p_partkey END, niveau, titel FROM part_tree
+UNION ALL SELECT 'kn', seq, CASE niveau WHEN 1 THEN CAST(t AS VARCHAR) WHEN 2 THEN t || '.' || LPAD(CAST(b AS VARCHAR), 2, '0')
+            ELSE t || '.' || LPAD(CAST(b AS VARCHAR), 2, '0') || '.' || LPAD(CAST(p_partkey AS VARCHAR), 12, '0') END, niveau, titel FROM part_tree
+""")
+
+view("part_tree", """
+SELECT 3 AS niveau, p_type, t, b, p_partkey, p_name AS titel, (t * 100 + b) * 1000000000 + p_partkey + 1 AS seq FROM part_nodes
+UNION ALL SELECT DISTINCT 2, p_type, t, b, 0, p_brand, (t * 100 + b) * 1000000000 FROM part_nodes
+UNION ALL SELECT DISTINCT 1, p_type, t, 0, 0, p_type, t * 100 * 1000000000 FROM part_nodes
+""")
+
+view("part_nodes", """
+SELECT p_partkey, p_name, p_brand, p_type, CAST(ASCII(SUBSTR(p_type, 1, 1)) AS BIGINT) * 26 + ASCII(SUBSTR(p_type, 2, 1)) AS t,
+       CAST(REGEXP_EXTRACT(p_brand, '[0-9]+') AS BIGINT) + 1 AS b
+FROM part
+""")
+
+view("dim_decision", """
+SELECT dim_id, BOOL_AND(n_null = 0 AND n_text = n_int) AS kode_is_int FROM (
+  SELECT dim_id, niveau, COUNT(DISTINCT kode) AS n_text, COUNT(DISTINCT TRY_CAST(REPLACE(kode, '.', '') AS BIGINT)) AS n_int,
+         COUNT(*) FILTER (WHERE TRY_CAST(REPLACE(kode, '.', '') AS BIGINT) IS NULL) AS n_null
+  FROM dims_raw GROUP BY dim_id, niveau) GROUP BY dim_id
+""")
+
+view("dims_parented", """
+SELECT dim_id, sekvens, kode, niveau, titel,
+       CASE WHEN niveau = 2 THEN k1 WHEN niveau = 3 AND s2 > COALESCE(s1, -1) THEN k2 END AS parent_kode
+FROM (SELECT *,
+  LAST_VALUE(CASE WHEN niveau = 1 THEN kode END IGNORE NULLS) OVER w AS k1,
+  LAST_VALUE(CASE WHEN niveau = 1 THEN sekvens END IGNORE NULLS) OVER w AS s1,
+  LAST_VALUE(CASE WHEN niveau = 2 THEN kode END IGNORE NULLS) OVER w AS k2,
+  LAST_VALUE(CASE WHEN niveau = 2 THEN sekvens END IGNORE NULLS) OVER w AS s2
+  FROM dims_raw
+  WINDOW w AS (PARTITION BY dim_id ORDER BY sekvens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+""")
+
+view("dims_clean", """
+SELECT p.dim_id, CASE WHEN d.kode_is_int THEN CAST(CAST(REPLACE(p.kode, '.', '') AS BIGINT) AS VARCHAR) ELSE p.kode END AS kode,
+       p.niveau, p.titel,
+       CASE WHEN d.kode_is_int THEN CAST(CAST(REPLACE(p.parent_kode, '.', '') AS BIGINT) AS VARCHAR) ELSE p.parent_kode END AS parent_kode,
+       d.kode_is_int
+FROM dims_parented p JOIN dim_decision d ON d.dim_id = p.dim_id
+""")
+
+view("age_rows", """
+SELECT p_partkey, tab AS table_id, CASE tab
+   WHEN 'single' THEN CASE WHEN p_size >= 40 THEN '40-' ELSE CAST(p_size AS VARCHAR) END
+   WHEN 'bands' THEN CASE WHEN p_size >= 40 THEN '40OV' ELSE band END
+   WHEN 'total' THEN CASE WHEN p_size = 7 THEN 'IALT' ELSE band END
+   WHEN 'holes' THEN CASE WHEN p_size = 9 THEN NULL ELSE CAST(p_size AS VARCHAR) END END AS alder
+FROM (SELECT p_partkey, p_size, ((p_size // 5) * 5) || '-' || ((p_size // 5) * 5 + 4) AS band FROM part)
+CROSS JOIN (SELECT UNNEST(['single', 'bands', 'total', 'holes']) AS tab)
+""")
