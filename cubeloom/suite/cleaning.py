@@ -195,10 +195,8 @@ def drop_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     area = codes.select(
         F.lit("omrade").alias("fact_column"), F.lit("geo").alias("dimension_table"), F.array(F.col("kode").cast("string")).alias("drop_values")
     )
-    status = frames.table(spark, sf_dir, "region").limit(1).select(
-        F.lit("status").alias("fact_column"), F.lit("status").alias("dimension_table"), F.array(F.lit("P")).alias("drop_values")
-    )
-    return clean.drop_rules(frames.fact_raw(spark, sf_dir), area.unionByName(status), ["omrade", "status"])
+    fixed = spark.createDataFrame([("status", "status", ["P"])], area.schema)
+    return clean.drop_rules(frames.fact_raw(spark, sf_dir), area.unionByName(fixed), ["omrade", "status"])
 
 
 @query("drop_totals", "SELECT omrade, status, tid, CAST(indhold AS DOUBLE) AS indhold FROM fact_cube WHERE status <> 'TOT' AND omrade <> '0'")

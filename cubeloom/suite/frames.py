@@ -329,3 +329,48 @@ def age_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     exploded = table(spark, sf_dir, "part").select("p_partkey", F.explode(codings).alias("c"))
     return exploded.select("p_partkey", F.col("c.t").alias("table_id"), F.col("c.a").alias("alder"))
+
+
+def fact_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = F.explode(
+        F.array(
+            F.struct(F.lit("omrade").alias("column_name"), F.lit("geo").alias("dim_id")),
+            F.struct(F.lit("status").alias("column_name"), F.lit("states").alias("dim_id")),
+        )
+    )
+    return fact_tables(spark, sf_dir).select("table_id").distinct().select("table_id", pairs.alias("p")).select("table_id", "p.*")
+
+
+def dims_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The area classification and one of order states that lacks ``P``."""
+    text = "string"
+    geo = dim_geo(spark, sf_dir).select(
+        F.lit("geo").alias("dim_id"), F.col("kode").cast(text).alias("kode"), "niveau", "titel", F.col("parent_kode").cast(text).alias("parent_kode")
+    )
+    states = table(spark, sf_dir, "orders").select("o_orderstatus").distinct().where(F.col("o_orderstatus") != "P")
+    return geo.unionByName(
+        states.select(
+            F.lit("states").alias("dim_id"), F.col("o_orderstatus").alias("kode"), F.lit(1).alias("niveau"),
+            F.concat(F.lit("state "), F.col("o_orderstatus")).alias("titel"), F.lit(None).cast(text).alias("parent_kode"),
+        )
+    )
+
+
+def features_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundary features of ten layers, one per customer."""
+    from ..functions.layers import NUTS3_CODES
+
+    names = ["kommuner", "regioner", "landsdele", "politikredse", "retskredse", "sogne", "postnumre", "storkredse",
+             "valgkredse", "afstemningsomraader"]
+    key = F.col("c_custkey")
+    codes = F.array(*[F.lit(n) for n in NUTS3_CODES])
+    return table(spark, sf_dir, "customer").select(
+        F.get(F.array(*[F.lit(n) for n in names]), (key % 10).cast("int")).alias("layer"),
+        (key + 1000).cast("string").alias("kode"),
+        (key + 2).cast("string").alias("nr"),
+        (key + 3).cast("string").alias("nummer"),
+        (key + 4).cast("string").alias("dagi_id"),
+        F.get(codes, (key % 11).cast("int")).alias("nuts3"),
+        F.col("c_name").alias("navn"),
+        F.concat(F.lit("POINT("), F.col("c_nationkey").cast("string"), F.lit(" "), key.cast("string"), F.lit(")")).alias("geometry"),
+    )

@@ -286,3 +286,27 @@ SELECT p_partkey, tab AS table_id, CASE tab
 FROM (SELECT p_partkey, p_size, ((p_size // 5) * 5) || '-' || ((p_size // 5) * 5 + 4) AS band FROM part)
 CROSS JOIN (SELECT UNNEST(['single', 'bands', 'total', 'holes']) AS tab)
 """)
+
+view("fact_links", """
+SELECT table_id, column_name, dim_id FROM (SELECT DISTINCT table_id FROM fact_tables)
+CROSS JOIN (SELECT 'omrade' AS column_name, 'geo' AS dim_id UNION ALL SELECT 'status', 'states')
+""")
+
+view("fact_codes", """
+SELECT DISTINCT table_id, 'omrade' AS column_name, omrade AS id FROM fact_tables
+UNION ALL SELECT DISTINCT table_id, 'status', status FROM fact_tables
+UNION ALL SELECT DISTINCT table_id, 'omrade', '0' FROM fact_tables
+""")
+
+view("dims_linked", """
+SELECT 'geo' AS dim_id, CAST(kode AS VARCHAR) AS kode, niveau, titel, CAST(parent_kode AS VARCHAR) AS parent_kode FROM dim_geo
+UNION ALL SELECT DISTINCT 'states', o_orderstatus, 1, 'state ' || o_orderstatus, NULL FROM orders WHERE o_orderstatus <> 'P'
+""")
+
+view("features_raw", """
+SELECT CASE c_custkey % 10 WHEN 0 THEN 'kommuner' WHEN 1 THEN 'regioner' WHEN 2 THEN 'landsdele' WHEN 3 THEN 'politikredse' WHEN 4 THEN 'retskredse'
+         WHEN 5 THEN 'sogne' WHEN 6 THEN 'postnumre' WHEN 7 THEN 'storkredse' WHEN 8 THEN 'valgkredse' ELSE 'afstemningsomraader' END AS layer,
+       c_custkey, CAST(c_custkey + 1000 AS VARCHAR) AS kode, CAST(c_custkey + 2 AS VARCHAR) AS nr, CAST(c_custkey + 3 AS VARCHAR) AS nummer,
+       CAST(c_custkey + 4 AS VARCHAR) AS dagi_id, c_name AS navn, 'POINT(' || c_nationkey || ' ' || c_custkey || ')' AS geometry
+FROM customer
+""")
