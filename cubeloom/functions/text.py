@@ -24,9 +24,24 @@ def plain_name_column(name: Column) -> Column:
     return out
 
 
+def _rounded(value: Column, places: int) -> Column:
+    # on the decimal form, half to even, as the display it matches
+    return F.bround(value.cast("decimal(38,12)"), places)
+
+
+def _signed(value: Column, rounded: Column, shown: Column) -> Column:
+    """A small negative keeps its sign when it rounds to zero."""
+    return F.when((value < 0) & (rounded == 0), F.concat(F.lit("-"), shown)).otherwise(shown)
+
+
 def _fixed(value: Column, places: int) -> Column:
-    # bround on the decimal form rounds half to even, as the display it matches
-    return F.format_string(f"%.{places}f", F.bround(value.cast("decimal(38,12)"), places))
+    rounded = _rounded(value, places)
+    return _signed(value, rounded, F.format_string(f"%.{places}f", rounded.cast("double")))
+
+
+def _whole(value: Column) -> Column:
+    rounded = _rounded(value, 0)
+    return _signed(value, rounded, F.format_number(rounded, 0))
 
 
 def abbreviated(value: Column) -> Column:
@@ -36,7 +51,7 @@ def abbreviated(value: Column) -> Column:
         F.when(size >= 1e9, F.concat(_fixed(value / 1e9, 1), F.lit("B")))
         .when(size >= 1e6, F.concat(_fixed(value / 1e6, 1), F.lit("M")))
         .when(size >= 1e3, F.concat(_fixed(value / 1e3, 1), F.lit("K")))
-        .otherwise(F.format_number(F.bround(value.cast("decimal(38,12)"), 0), 0))
+        .otherwise(_whole(value))
     )
 
 

@@ -182,9 +182,13 @@ def cross_cube_join(left: DataFrame, right: DataFrame, keys: list[str], names: t
     return a.join(b, keys)
 
 
-def latest_period(facts: DataFrame, period: str = "tid") -> DataFrame:
-    """Rows of the latest period, found by a scalar subquery."""
-    return facts.where(F.col(period) == facts.agg(F.max(period)).scalar())
+def latest_period(facts: DataFrame, period: str = "tid", source: DataFrame | None = None) -> DataFrame:
+    """Rows of the latest period, found by a scalar subquery.
+
+    ``source`` is where the maximum is read, when it is cheaper than ``facts``.
+    """
+    periods = facts if source is None else source
+    return facts.where(F.col(period) == periods.agg(F.max(period)).scalar())
 
 
 def range_join(points: DataFrame, point: str, ranges: DataFrame, span: str, width: int = 16) -> DataFrame:

@@ -72,3 +72,21 @@ def row_numbers(df: DataFrame, keys: list[str], pos: str, name: str) -> DataFram
         F.floor(F.col(pos) / F.lit(BUCKET_ROWS)),
         sums={name: F.lit(1).cast("bigint")},
     )
+
+
+def dense_index(df: DataFrame, column: str, name: str, buckets: int = 1024) -> DataFrame:
+    """Distinct values of ``column`` numbered 0, 1, 2, ... without one global sort.
+
+    Values are numbered inside hash buckets; the only ordered step over
+    everything is the running total of ``buckets`` counts.
+    """
+    values = df.select(column).distinct().withColumn(_BUCKET, F.pmod(F.xxhash64(column), F.lit(buckets)))
+    before = Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        values.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("_n"))
+        .select(_BUCKET, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    )
+    inside = Window.partitionBy(_BUCKET).orderBy(column)
+    return values.join(starts, _BUCKET).select(
+        column, (F.col("_start") + F.row_number().over(inside) - 1).alias(name)
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.periods import contains_point, parse_range_text, range_text
 from ..operators import delta, dims, joins
 from ..sources.links import parse_links
+from ..session import cut_lineage
 from . import frames
 from ._registry import query
 from .cleaning import dims_clean
@@ -51,7 +52,8 @@ def hierarchy_rollup_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = frames.part_tree(spark, sf_dir).where(F.col("niveau") == 3)
     code = F.concat_ws(".", "p_type", F.lpad(F.col("b").cast("string"), 2, "0"), F.col("p_partkey").cast("string"))
     coded = per_part.join(tree.select("p_partkey", code.alias("vare")), F.col("l_partkey") == F.col("p_partkey"))
-    tree_dim = dims_clean(spark, sf_dir).where(F.col("dim_id") == "prod")
+    # stored before it is climbed, as a loaded classification is
+    tree_dim = cut_lineage(dims_clean(spark, sf_dir).where(F.col("dim_id") == "prod"))
     return dims.hierarchy_rollup(coded.select("vare", "indhold"), tree_dim, "vare", 3, 1).select("kode", "titel", dbl("indhold"))
 
 
@@ -68,7 +70,7 @@ def hierarchy_rollup_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def ancestor_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dims.ancestor_closure(dims_clean(spark, sf_dir), levels=3)
+    return dims.ancestor_closure(cut_lineage(dims_clean(spark, sf_dir)), levels=3)
 
 
 @query(
@@ -288,8 +290,7 @@ def cross_cube_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def latest_period(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cube = frames.fact_cube(spark, sf_dir)
-    latest = cube.where(F.col("tid") == frames.fact_clean(spark, sf_dir).agg(F.max("tid")).scalar())
+    latest = joins.latest_period(frames.fact_cube(spark, sf_dir), "tid", frames.fact_clean(spark, sf_dir))
     return latest.select("omrade", "status", "tid", dbl("indhold"))
 
 

@@ -1 +1,207 @@
-"""Placeholder."""
+"""Free SQL and parameterised query sets."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import queryset as qsets
+from ..session import scratch_path
+from . import frames
+from ._registry import query
+from .views import view
+
+view("population", """
+SELECT tid_date AS period, n_name AS region, COUNT(*) AS population, EXTRACT(YEAR FROM tid_date) >= 2000 AS include_estimate
+FROM fact_clean JOIN nation ON omrade = CAST(101 + n_nationkey AS VARCHAR) GROUP BY tid_date, n_name
+""")
+
+REGIONS = "SELECT DISTINCT region, ('Label ' || region) AS label FROM population ORDER BY region"
+TREND = """
+SELECT period, SUM(population) AS population FROM population
+WHERE (:region IS NULL OR region = :region)
+  AND (:period_from IS NULL OR period >= :period_from)
+  AND (:period_to IS NULL OR period <= :period_to)
+GROUP BY period ORDER BY period
+"""
+BY_REGION = """
+SELECT region, SUM(population) AS population, MAX(population::double) AS largest FROM population
+WHERE (:include_estimate IS NULL OR include_estimate = :include_estimate) AND (:nobody IS NULL OR region <> :nobody)
+GROUP BY region ORDER BY region
+"""
+
+
+def total_population(population_trend: DataFrame, filters: dict) -> qsets.Metric:
+    ordered = population_trend.agg(
+        F.sum("population").alias("value"),
+        F.max_by("population", "period").alias("_last"),
+        F.min_by("population", "period").alias("_first"),
+    )
+    changed = ordered.withColumn("change", F.round((F.col("_last") - F.col("_first")) / F.col("_first"), 6))
+    return qsets.metric(changed, "value", "Total Population", change="change", change_label="vs first period")
+
+
+def periods_shown(population_trend: DataFrame, filters: dict) -> qsets.Metric:
+    return qsets.metric(population_trend.agg(F.count(F.lit(1)).alias("value")), "value", "Periods")
+
+
+def region_table(population_by_region: DataFrame, filters: dict) -> DataFrame:
+    return population_by_region
+
+
+def population_set(spark: SparkSession, sf_dir: str) -> qsets.QuerySet:
+    """The population query set over order counts per nation and quarter."""
+    nation = frames.table(spark, sf_dir, "nation").select(
+        (F.lit(101) + F.col("n_nationkey")).cast("string").alias("omrade"), F.col("n_name").alias("region")
+    )
+    cells = frames.fact_clean(spark, sf_dir).groupBy("omrade", F.col("tid_date").alias("period")).agg(
+        F.count(F.lit(1)).alias("population")
+    )
+    population = cells.join(nation, "omrade").select(
+        "period", "region", "population", (F.year("period") >= 2000).alias("include_estimate")
+    )
+    return qsets.QuerySet(
+        name="population",
+        tables={"population": population},
+        queries={"regions": REGIONS, "population_trend": TREND, "population_by_region": BY_REGION},
+        outputs={"total_population": total_population, "periods_shown": periods_shown, "region_table": region_table},
+        filters=(
+            qsets.SelectFilter("region", options_query="regions"),
+            qsets.DateRangeFilter("period"),
+            qsets.CheckboxFilter("include_estimate"),
+        ),
+    )
+
+
+GIVEN = {"region": "NATION_7", "period_from": "1998-04-01"}
+_TREND_SQL = "SELECT period, SUM(population) AS population FROM population WHERE region = 'NATION_7' AND period >= DATE '1998-04-01' GROUP BY period"
+
+
+@query(
+    "sql_passthrough",
+    """
+    SELECT d.titel || ' ' || f.tid AS label, CAST(f.indhold AS DOUBLE) AS indhold, COALESCE(d.parent_kode, 0) AS parent_kode
+    FROM fact_cube f JOIN dim_geo d ON f.omrade = d.kode::VARCHAR
+    WHERE f.status IN ('F', 'O') AND f.tid BETWEEN '1998K1' AND '1999K4' AND d.titel LIKE 'NATION_1%'
+    """,
+)
+def sql_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = """
+    SELECT d.titel || ' ' || f.tid AS label, CAST(f.indhold AS DOUBLE) AS indhold, COALESCE(d.parent_kode, 0) AS parent_kode
+    FROM fact_cube f JOIN dim_geo d ON f.omrade = d.kode::string
+    WHERE f.status IN ('F', 'O') AND f.tid BETWEEN '1998K1' AND '1999K4' AND d.titel LIKE 'NATION_1%'
+    """
+    tables = {"fact_cube": frames.fact_cube(spark, sf_dir), "dim_geo": frames.dim_geo(spark, sf_dir)}
+    return qsets.run_sql(spark, text, tables)
+
+
+@query("param_query", f"SELECT CAST(period AS TIMESTAMP) AS period, CAST(population AS BIGINT) AS population FROM ({_TREND_SQL})")
+def param_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    qs = population_set(spark, sf_dir)
+    return qsets.run_query(spark, qs, "population_trend", qs.filter_values(GIVEN))
+
+
+@query(
+    "param_query_unfiltered",
+    """
+    SELECT region, CAST(SUM(population) AS BIGINT) AS population, CAST(MAX(population) AS DOUBLE) AS largest FROM population
+    WHERE NOT include_estimate GROUP BY region
+    """,
+)
+def param_query_unfiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defaults only; ``nobody`` is a parameter without a filter and binds null."""
+    qs = population_set(spark, sf_dir)
+    return qsets.run_query(spark, qs, "population_by_region", qs.filter_values({}))
+
+
+@query("option_list", "SELECT DISTINCT region AS value, 'Label ' || region AS label FROM population")
+def option_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    qs = population_set(spark, sf_dir)
+    return qsets.option_list(qsets.run_query(spark, qs, "regions", {}))
+
+
+@query(
+    "output_table",
+    """
+    SELECT region, CAST(SUM(population) AS BIGINT) AS population, CAST(MAX(population) AS DOUBLE) AS largest FROM population
+    WHERE include_estimate GROUP BY region
+    """,
+)
+def output_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    qs = population_set(spark, sf_dir)
+    return qsets.run_output(spark, qs, "region_table", qs.filter_values({"include_estimate": "true"}))
+
+
+@query(
+    "output_metric",
+    f"""
+    SELECT CAST(SUM(population) AS BIGINT) AS value, 'Total Population' AS label, 'number' AS format,
+           ROUND((ARG_MAX(population, period) - ARG_MIN(population, period)) / ARG_MIN(population, period), 6) AS change, 'vs first period' AS change_label
+    FROM ({_TREND_SQL})
+    """,
+)
+def output_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    qs = population_set(spark, sf_dir)
+    return qsets.run_output(spark, qs, "total_population", qs.filter_values(GIVEN)).frame
+
+
+@query(
+    "validate_set",
+    """
+    SELECT 'query' AS kind, 'population_by_region' AS name, COUNT(DISTINCT region) AS rows, 'ok' AS status, CAST(NULL AS VARCHAR) AS message FROM population WHERE NOT include_estimate
+    UNION ALL SELECT 'query', 'population_trend', COUNT(*), 'warning', 'population_trend: returned 0 rows' FROM population WHERE region = 'Nowhere'
+    UNION ALL SELECT 'query', 'regions', COUNT(DISTINCT region), 'ok', NULL FROM population
+    UNION ALL SELECT 'metric', 'periods_shown', NULL, 'ok', NULL
+    UNION ALL SELECT 'table', 'region_table', NULL, 'ok', NULL
+    UNION ALL SELECT 'metric', 'total_population', NULL, 'warning', 'total_population: returned empty metric'
+    """,
+)
+def validate_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qsets.validate_set(spark, population_set(spark, sf_dir), {"region": "Nowhere"})
+
+
+@query(
+    "invalid_filter_values",
+    """
+    SELECT 'region' AS filter_name, c_mktsegment AS value,
+           (SELECT STRING_AGG(region, ', ' ORDER BY region) FROM (SELECT DISTINCT region FROM population ORDER BY region LIMIT 5)) AS sample_allowed_values
+    FROM (SELECT DISTINCT c_mktsegment FROM customer)
+    """,
+)
+def invalid_filter_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every nation and every market segment as a chosen value; only the nations are on offer."""
+    qs = population_set(spark, sf_dir)
+    named = F.lit("region").alias("filter_name")
+    options = qsets.option_list(qsets.run_query(spark, qs, "regions", {})).select(named, "value")
+    segments = frames.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("value")).distinct()
+    nations = frames.table(spark, sf_dir, "nation").select(F.col("n_name").alias("value"))
+    chosen = segments.unionByName(nations).select(named, "value", F.lit("all").alias("default"))
+    return qsets.invalid_filter_values(options, chosen)
+
+
+@query(
+    "snapshot_tables",
+    """
+    SELECT 'period_from=1998-04-01&region=NATION_7' AS filter_key, region, CAST(SUM(population) AS BIGINT) AS population FROM population WHERE NOT include_estimate GROUP BY region
+    UNION ALL SELECT '_', region, CAST(SUM(population) AS BIGINT) FROM population WHERE NOT include_estimate GROUP BY region
+    """,
+)
+def snapshot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "snapshot")
+    qs = population_set(spark, sf_dir)
+    for given in (GIVEN, {}):
+        qsets.snapshot(spark, qs, given, folder)
+    return spark.read.parquet(f"{folder}/tables/region_table").select("filter_key", "region", "population")
+
+
+@query(
+    "snapshot_metrics",
+    f"""
+    SELECT 'period_from=1998-04-01&region=NATION_7' AS filter_key, 'total_population' AS name, CAST(SUM(population) AS VARCHAR) AS value, 'Total Population' AS label FROM ({_TREND_SQL})
+    UNION ALL SELECT 'period_from=1998-04-01&region=NATION_7', 'periods_shown', CAST(COUNT(*) AS VARCHAR), 'Periods' FROM ({_TREND_SQL})
+    """,
+)
+def snapshot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "snapshot")
+    qsets.snapshot(spark, population_set(spark, sf_dir), GIVEN, folder)
+    return spark.read.parquet(f"{folder}/metrics").select("filter_key", "name", "value", "label")
