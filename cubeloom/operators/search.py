@@ -17,18 +17,17 @@ def fuzzy_top(labels: DataFrame, queries: list[str], n: int = 5) -> DataFrame:
     """The ``n`` best labels for each query string: ``query, rank, code, label, score``.
 
     ``labels`` is ``(code, label)``. A text is scored once however many codes
-    carry it. Each batch of texts passes on only those that can still be among
-    the best ``n``, so pairs never pile up, and nothing is left out: scores equal
-    to the ``n``-th are kept for the tie rule, which is by label and code.
+    carry it. Each batch of texts passes on its own best ``n`` under the final
+    order, by score, then text; texts are distinct, so the best ``n`` of all are
+    among them and pairs never pile up.
     """
     wanted = list(dict.fromkeys(queries))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for q in wanted:
-                scores = batch["label"].map(lambda text: score(q, text))
-                kept = scores >= scores.nlargest(n).min()
-                yield pd.DataFrame({"query": q, "label": batch["label"][kept], "score": scores[kept]})
+                scored = pd.DataFrame({"query": q, "label": batch["label"], "score": [score(q, t) for t in batch["label"]]})
+                yield scored.sort_values(["score", "label"], ascending=[False, True]).head(n)
 
     texts = labels.select("label").where(F.col("label").isNotNull()).distinct()
     scored = texts.mapInPandas(best, "query string, label string, score double")
@@ -57,12 +56,11 @@ def discover_links(requests: DataFrame, values: DataFrame, dims: DataFrame) -> D
     named = requests.select("table_id", "dim_id").distinct().join(columns, "table_id")
     named = named.withColumn("_name", _name_score(F.col("column_name"), F.col("dim_id")))
     prefix = F.when(F.col("dim_id").startswith(F.col("column_name")), F.col("column_name"))
-    # equal similarity: first column by name
-    closest = F.max(F.struct(F.col("_name"), F.lit(0)))["_name"]
     by_name = named.groupBy("table_id", "dim_id").agg(
         F.count(prefix).alias("_prefixes"),
         F.min(prefix).alias("_prefix"),
-        closest.alias("_best"),
+        F.max("_name").alias("_best"),
+        # equal similarity: first column by name
         F.min(F.struct((-F.col("_name")).alias("s"), "column_name"))["column_name"].alias("_closest"),
     )
     decided = by_name.withColumns(

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
 KEYS = ["table_id", "tid"]
 MANIFEST = "table_id string, tid string, rows bigint, version bigint"
 
@@ -100,16 +102,21 @@ def local_periods(held: DataFrame) -> DataFrame:
     return held.select(*KEYS).distinct().orderBy(*KEYS)
 
 
-def migration_plan(legacy: DataFrame, present: DataFrame, overwrite: bool = False) -> DataFrame:
+def migration_plan(legacy: DataFrame, present: DataFrame, overwrite: bool = False, dry_run: bool = False) -> DataFrame:
     """Per source and period of old files: rows, and whether it is to be written.
 
-    ``legacy`` has ``source`` beside the keys; a period on disk is left alone
-    unless ``overwrite``.
+    ``legacy`` has ``source`` beside the keys. Sources are taken in order of
+    name. Unless ``overwrite``, a period already on disk is left alone, and so
+    is one that an earlier source has just written; a dry run writes nothing, so
+    there only the first applies.
     """
     on_disk = present.select(*KEYS).distinct().withColumn("_present", F.lit(True))
     periods = legacy.groupBy("source", *KEYS).agg(F.count(F.lit(1)).alias("rows"))
-    joined = periods.join(on_disk, KEYS, "left")
-    return joined.select("source", *KEYS, "rows", (F.col("_present").isNull() | F.lit(overwrite)).alias("write"))
+    firsts = periods.groupBy(*KEYS).agg(F.min("source").alias("_first"))
+    joined = periods.join(on_disk, KEYS, "left").join(firsts, KEYS)
+    first = F.lit(dry_run) | (F.col("source") == F.col("_first"))
+    write = F.lit(overwrite) | (F.col("_present").isNull() & first)
+    return joined.select("source", *KEYS, "rows", write.alias("write"))
 
 
 def migration_report(plan: DataFrame) -> DataFrame:
@@ -125,13 +132,11 @@ def migration_report(plan: DataFrame) -> DataFrame:
 def migrate_layout(legacy: DataFrame, root: str, overwrite: bool = False, dry_run: bool = False) -> DataFrame:
     """Bring old files into the period layout and report; a dry run only reports.
 
-    Where several sources hold one period, the last source by name is kept, as
-    if they had been moved one after another.
+    With ``overwrite`` the last source that holds a period is the one that stays.
     """
-    spark = legacy.sparkSession
-    plan = migration_plan(legacy, manifest(spark, root), overwrite)
-    report = spark.createDataFrame(migration_report(plan).collect(), migration_report(plan).schema)
+    # the plan is kept, because writing changes the manifest it was made from
+    plan = cut_lineage(migration_plan(legacy, manifest(legacy.sparkSession, root), overwrite, dry_run))
     if not dry_run:
         last = plan.where("write").groupBy(*KEYS).agg(F.max("source").alias("source"))
         write_periods(legacy.join(last, [*KEYS, "source"], "left_semi").drop("source"), root)
-    return report
+    return migration_report(plan)

@@ -112,8 +112,9 @@ def _legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     SELECT table_id, source, CAST(SUM(n) AS BIGINT) AS rows_total, COUNT(*) AS tids_total, COUNT(*) FILTER (WHERE NOT present) AS files_written,
            COUNT(*) FILTER (WHERE present) AS files_skipped_existing
-    FROM (SELECT f.table_id, 'partition_' || CASE WHEN status = 'P' THEN '2' ELSE '1' END || '.parquet' AS source, f.tid, COUNT(*) AS n, q.rk > 20 AS present
-          FROM fact_tables f JOIN table_quarters q ON q.table_id = f.table_id AND q.tid = f.tid GROUP BY ALL)
+    FROM (SELECT table_id, source, n, rk > 20 OR source > MIN(source) OVER (PARTITION BY table_id, tid) AS present FROM (
+          SELECT f.table_id, 'partition_' || CASE WHEN status = 'P' THEN '2' ELSE '1' END || '.parquet' AS source, f.tid, COUNT(*) AS n, q.rk
+          FROM fact_tables f JOIN table_quarters q ON q.table_id = f.table_id AND q.tid = f.tid GROUP BY ALL))
     GROUP BY table_id, source
     """,
 )

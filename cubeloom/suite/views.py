@@ -36,6 +36,8 @@ def with_views(sql: str) -> str:
     if not ordered:
         return body
     ctes = ",\n".join(f"{n} AS (\n{VIEWS[n]}\n)" for n in ordered)
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
