@@ -177,7 +177,7 @@ def subject_listing(paths: DataFrame) -> DataFrame:
     """The two upper levels that have subjects below them."""
     parts = F.split("path", "/")
     deep = paths.where(F.size(parts) > 2)
-    return deep.select(parts[0].alias("root"), parts[1].alias("mid")).distinct().orderBy("root", "mid")
+    return deep.select(F.get(parts, F.lit(0)).alias("root"), F.get(parts, F.lit(1)).alias("mid")).distinct().orderBy("root", "mid")
 
 
 def level1_coverage(

@@ -39,7 +39,9 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.loc[keep, ["_a", "_b", "_o"]]
 
 
-def accepted_credits(credits: DataFrame, keys: tuple[str, str], order: str) -> DataFrame:
+def accepted_credits(
+    credits: DataFrame, keys: tuple[str, str], order: str, small_rest: int = SMALL_REST
+) -> DataFrame:
     """Credits taken in order, each refused if an accepted one shares either key.
 
     A refused credit blocks nothing, so this is no plain "first per key". In each
@@ -57,7 +59,7 @@ def accepted_credits(credits: DataFrame, keys: tuple[str, str], order: str) -> D
     accepted = None
     while True:
         remaining = left.count()
-        if remaining <= SMALL_REST:
+        if remaining <= small_rest:
             settled = left.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(_settle, left.schema)
             accepted = settled if accepted is None else accepted.unionByName(settled)
             break

@@ -80,7 +80,7 @@ def metadata_periods(meta: DataFrame) -> DataFrame:
     variables = meta.schema["variables"].dataType.elementType
     value_type = variables["values"].dataType.elementType
     exploded = meta.select(
-        "table_id", F.posexplode(F.filter("variables", _is_period)[0]["values"]).alias("pos", "value")
+        "table_id", F.posexplode(F.get(F.filter("variables", _is_period), F.lit(0))["values"]).alias("pos", "value")
     )
     code = F.col("value")["id"] if isinstance(value_type, T.StructType) else F.col("value")
     return exploded.select("table_id", F.col("pos").cast("bigint").alias("pos"), code.cast("string").alias("tid"))
@@ -90,7 +90,7 @@ def metadata_problems(meta: DataFrame) -> DataFrame:
     """Tables whose description has no period variable, or one without values."""
     found = F.filter("variables", _is_period)
     message = F.when(F.size(found) == 0, "Table has no Tid variable").when(
-        F.coalesce(F.size(found[0]["values"]), F.lit(0)) <= 0, "Tid has no values"
+        F.coalesce(F.size(F.get(found, F.lit(0))["values"]), F.lit(0)) <= 0, "Tid has no values"
     )
     return meta.select("table_id", message.alias("message")).where(F.col("message").isNotNull())
 
@@ -99,7 +99,7 @@ def estimate_rows(meta: DataFrame) -> DataFrame:
     """Expected rows per period: product of the code-list lengths over the period count."""
     lengths = F.transform("variables", lambda v: F.greatest(F.size(v["values"]), F.lit(0)).cast("double"))
     total = F.aggregate(lengths, F.lit(1.0), lambda acc, n: acc * n)
-    periods = F.coalesce(F.size(F.filter("variables", _is_period)[0]["values"]), F.lit(0))
+    periods = F.coalesce(F.size(F.get(F.filter("variables", _is_period), F.lit(0))["values"]), F.lit(0))
     per_period = F.ceil(total / F.greatest(F.lit(1), periods))
     return meta.select(
         "table_id",
