@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_name_column
+from ..session import cut_lineage
 from .dims import ancestor_closure, observed_levels
 from .joins import dim_values_for_table, join_text
 from .search import fuzzy_top
@@ -164,7 +165,8 @@ def subject_paths(nodes: DataFrame, root: str, max_depth: int = 32) -> DataFrame
     for _ in range(max_depth):
         found = level if found is None else found.unionByName(level)
         above = level.select(F.col("id").alias("parent_id"), F.col("path").alias("_up"))
-        level = tree.join(above, "parent_id").withColumn("path", F.concat_ws("/", "_up", "part")).select(*found.columns)
+        below = tree.join(above, "parent_id").withColumn("path", F.concat_ws("/", "_up", "part"))
+        level = cut_lineage(below.select(*found.columns))
         if level.isEmpty():
             break
     else:

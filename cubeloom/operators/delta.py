@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.periods import DATE_FORMS, FIRST_YEAR, LAST_YEAR, period_date, period_form, period_span, period_text
+from ..session import stored
 
 
 def series_forms(df: DataFrame, keys: list[str], pos: str | None = None) -> DataFrame:
@@ -46,7 +47,8 @@ def clean_periods(
     keys = ["table_id"] if keys is None else keys
     forms = series_forms(df, keys, pos)
     if keys:
-        joined = df.join(forms, keys, "left")
+        # one row per table, decided before the rows are touched
+        joined = df.join(stored(forms, "forms"), keys, "left")
     else:
         joined = df.withColumn("tid_form", forms.scalar())
     code, form = F.col("tid").cast("string"), F.col("tid_form")
@@ -124,9 +126,9 @@ def delta_report(target: DataFrame, reloaded: DataFrame, changed: DataFrame, man
     )
 
 
-def missing_periods(manifest: DataFrame, stored: DataFrame) -> DataFrame:
+def missing_periods(manifest: DataFrame, loaded: DataFrame) -> DataFrame:
     """Raw periods on disk whose stored form is absent from the loaded table."""
-    have = stored.select("table_id", "tid_text").distinct()
+    have = loaded.select("table_id", "tid_text").distinct()
     return (
         clean_periods(manifest.select("table_id", "tid").distinct())
         .join(have, ["table_id", "tid_text"], "left_anti")
@@ -134,14 +136,14 @@ def missing_periods(manifest: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
-def backfill_plan(manifest: DataFrame, stored: DataFrame) -> DataFrame:
+def backfill_plan(manifest: DataFrame, loaded: DataFrame) -> DataFrame:
     """Per table on disk: ``create`` it, ``backfill`` it, or ``none``, with period counts."""
     disk = manifest.groupBy("table_id").agg(F.count_distinct("tid").alias("disk_periods"))
-    loaded = stored.select("table_id").distinct().withColumn("_loaded", F.lit(True))
-    absent = missing_periods(manifest, stored).groupBy("table_id").agg(F.count(F.lit(1)).alias("_absent"))
+    known = loaded.select("table_id").distinct().withColumn("_loaded", F.lit(True))
+    absent = missing_periods(manifest, loaded).groupBy("table_id").agg(F.count(F.lit(1)).alias("_absent"))
     gap = F.coalesce("_absent", F.lit(0).cast("bigint"))
     return (
-        disk.join(loaded, "table_id", "left")
+        disk.join(known, "table_id", "left")
         .join(absent, "table_id", "left")
         .select(
             "table_id",
@@ -152,10 +154,10 @@ def backfill_plan(manifest: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
-def backfill(stored: DataFrame, manifest: DataFrame, on_disk: DataFrame) -> DataFrame:
+def backfill(loaded: DataFrame, manifest: DataFrame, on_disk: DataFrame) -> DataFrame:
     """Stored facts with the absent periods of every table added from cleaned disk rows."""
-    absent = missing_periods(manifest, stored).select("table_id", "tid_text")
-    return apply_delta(stored, on_disk, absent)
+    absent = stored(missing_periods(manifest, loaded).select("table_id", "tid_text"), "absent")
+    return apply_delta(loaded, on_disk, absent)
 
 
 def period_extent(facts: DataFrame) -> DataFrame:

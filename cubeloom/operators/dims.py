@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.ordered import BUCKET_ROWS, running
+from ..session import stored
 from .clean import normalize_names
 
 DIM_COLUMNS = ["kode", "niveau", "titel", "parent_kode"]
@@ -34,7 +35,7 @@ def code_decision(dims: DataFrame) -> DataFrame:
 def dim_code_to_int(dims: DataFrame) -> DataFrame:
     """Add ``kode_is_int`` and ``kode_int``; the text code is kept beside it."""
     number = F.replace("kode", F.lit("."), F.lit("")).try_cast("bigint")
-    return dims.join(code_decision(dims), "dim_id").withColumn("kode_int", F.when(F.col("kode_is_int"), number))
+    return dims.join(stored(code_decision(dims), "codes"), "dim_id").withColumn("kode_int", F.when(F.col("kode_is_int"), number))
 
 
 def derive_parents(dims: DataFrame, levels: int | None = None, bucket_width: int = BUCKET_ROWS) -> DataFrame:

@@ -157,11 +157,32 @@ def run_sql(spark: SparkSession, text: str, tables: Mapping[str, DataFrame] | No
     return spark.sql(text)
 
 
-def run_query(spark: SparkSession, qs: QuerySet, name: str, filters: Mapping[str, Any]) -> DataFrame:
-    """One named query with its filters bound; dates come back as timestamps."""
-    register_tables(spark, qs.tables)
+Results = dict[tuple[str, str], DataFrame]
+
+
+def run_query(
+    spark: SparkSession, qs: QuerySet, name: str, filters: Mapping[str, Any], kept: Results | None = None
+) -> DataFrame:
+    """One named query with its filters bound; dates come back as timestamps.
+
+    ``kept`` holds persisted results by text and filters, so outputs that share
+    a query share its run. Its owner releases them.
+    """
     text = qs.queries[name]
-    return dates_to_timestamps(spark.sql(text, args=bound_args(text, filters, qs.types)))
+    key = (text, repr(sorted(filters.items(), key=lambda item: item[0])))
+    if kept is not None and key in kept:
+        return kept[key]
+    register_tables(spark, qs.tables)
+    result = dates_to_timestamps(spark.sql(text, args=bound_args(text, filters, qs.types)))
+    if kept is not None:
+        result = kept[key] = result.persist()
+    return result
+
+
+def release(kept: Results) -> None:
+    for result in kept.values():
+        result.unpersist()
+    kept.clear()
 
 
 def option_list(options: DataFrame) -> DataFrame:
@@ -172,7 +193,9 @@ def option_list(options: DataFrame) -> DataFrame:
     return options.select(value.alias("value"), label.alias("label"))
 
 
-def run_output(spark: SparkSession, qs: QuerySet, name: str, filters: Mapping[str, Any]) -> DataFrame | Metric:
+def run_output(
+    spark: SparkSession, qs: QuerySet, name: str, filters: Mapping[str, Any], kept: Results | None = None
+) -> DataFrame | Metric:
     if name not in qs.outputs:
         raise ValueError(f"Unknown output: {name}")
     fn = qs.outputs[name]
@@ -181,7 +204,7 @@ def run_output(spark: SparkSession, qs: QuerySet, name: str, filters: Mapping[st
         if parameter == "filters":
             given["filters"] = dict(filters)
         elif parameter in qs.queries:
-            given[parameter] = run_query(spark, qs, parameter, filters)
+            given[parameter] = run_query(spark, qs, parameter, filters, kept)
     return fn(**given)
 
 
@@ -204,23 +227,25 @@ def validate_set(spark: SparkSession, qs: QuerySet, given: Mapping[str, str]) ->
     """
     filters = qs.filter_values(given)
     empty_status = "error" if filters == qs.filter_values({}) else "warning"
+    kept: Results = {}
     rows: list[tuple[str, str, int | None, str, str | None]] = []
     for name in sorted(qs.queries):
         try:
-            n = run_query(spark, qs, name, filters).count()
+            n = run_query(spark, qs, name, filters, kept).count()
         except (PySparkException, ValueError) as exc:
             rows.append(("query", name, None, "error", str(exc)))
             continue
         rows.append(("query", name, n, *(("ok", None) if n else (empty_status, f"{name}: returned 0 rows"))))
     for name in sorted(qs.outputs):
         try:
-            result = run_output(spark, qs, name, filters)
+            result = run_output(spark, qs, name, filters, kept)
             empty = _is_empty(result)
         except Exception as exc:  # noqa: BLE001 - output functions are user code
             rows.append(("output", name, None, "error", str(exc)))
             continue
         kind = "metric" if isinstance(result, Metric) else "table"
         rows.append((kind, name, None, *((empty_status, f"{name}: returned empty {kind}") if empty else ("ok", None))))
+    release(kept)
     return spark.createDataFrame(rows, "kind string, name string, rows bigint, status string, message string")
 
 
@@ -252,9 +277,10 @@ def snapshot(spark: SparkSession, qs: QuerySet, given: Mapping[str, str], folder
     ``<folder>/metrics/filter_key=...``. A new snapshot replaces its own key only.
     """
     key, filters = filter_key(given), qs.filter_values(given)
+    kept: Results = {}
     metrics = []
     for name in sorted(qs.outputs):
-        result = run_output(spark, qs, name, filters)
+        result = run_output(spark, qs, name, filters, kept)
         if isinstance(result, Metric):
             metrics.append(result.frame.withColumn("value", F.col("value").cast("string")).withColumn("name", F.lit(name)))
             continue
@@ -264,6 +290,7 @@ def snapshot(spark: SparkSession, qs: QuerySet, given: Mapping[str, str], folder
         for more in metrics[1:]:
             rows = rows.unionByName(more)
         _write(rows.withColumn("filter_key", F.lit(key)), f"{folder}/metrics")
+    release(kept)
     return key
 
 

@@ -39,8 +39,7 @@ def fuzzy_top(labels: DataFrame, queries: list[str], n: int = 5) -> DataFrame:
     return rows.select("query", "rank", "code", "label", F.round("score", 6).alias("score"))
 
 
-@F.pandas_udf("double")
-def _name_score(a: pd.Series, b: pd.Series) -> pd.Series:
+def _name_scores(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([name_ratio(x, y) for x, y in zip(a, b)])
 
 
@@ -54,7 +53,7 @@ def discover_links(requests: DataFrame, values: DataFrame, dims: DataFrame) -> D
     """
     columns = values.select("table_id", "column_name").distinct()
     named = requests.select("table_id", "dim_id").distinct().join(columns, "table_id")
-    named = named.withColumn("_name", _name_score(F.col("column_name"), F.col("dim_id")))
+    named = named.withColumn("_name", F.pandas_udf(_name_scores, "double")("column_name", "dim_id"))
     prefix = F.when(F.col("dim_id").startswith(F.col("column_name")), F.col("column_name"))
     by_name = named.groupBy("table_id", "dim_id").agg(
         F.count(prefix).alias("_prefixes"),

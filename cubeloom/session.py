@@ -60,6 +60,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """``df`` written to the shared folder and read back.
+
+    For results that several later steps use, and for small decision tables:
+    the files tell Spark how large the table really is, so it broadcasts it only
+    below its own threshold, where the estimate for an aggregate would make it
+    shuffle the large side as well.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for a written result."""
     from uuid import uuid4

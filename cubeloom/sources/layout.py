@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 
 KEYS = ["table_id", "tid"]
 MANIFEST = "table_id string, tid string, rows bigint, version bigint"
@@ -44,6 +44,8 @@ def write_periods(
     """
     spark = df.sparkSession
     version = int(time.time() * 1000) if version is None else version
+    # counted before writing, which may replace files that ``df`` reads
+    counts = stored(df.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("rows")), "counts")
     (
         df.hint("rebalance", *KEYS)
         .write.mode("overwrite")
@@ -52,7 +54,6 @@ def write_periods(
         .partitionBy(*KEYS)
         .parquet(f"{root}/facts")
     )
-    counts = df.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("rows"))
     entries = period_manifest(counts, counts.select(*KEYS) if requested is None else requested)
     entries = entries.withColumn("version", F.lit(version).cast("bigint"))
     entries.write.mode("append").parquet(f"{root}/manifest")

@@ -89,9 +89,9 @@ def read_bulk_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def period_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .periods import stored_facts
+    from .periods import loaded_facts
 
-    counts = stored_facts(spark, sf_dir).groupBy("table_id", "tid").agg(F.count(F.lit(1)).alias("rows"))
+    counts = loaded_facts(spark, sf_dir).groupBy("table_id", "tid").agg(F.count(F.lit(1)).alias("rows"))
     return layout.period_manifest(counts, frames.table_quarters(spark, sf_dir))
 
 
@@ -130,9 +130,9 @@ def migrate_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT DISTINCT LOWER(table_id) AS table_id FROM fact_tables WHERE table_id NOT IN (SELECT table_id FROM stored_facts)",
 )
 def pending_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .periods import stored_facts
+    from .periods import loaded_facts
 
-    return tables.pending_tables(frames.fact_tables(spark, sf_dir), stored_facts(spark, sf_dir))
+    return tables.pending_tables(frames.fact_tables(spark, sf_dir), loaded_facts(spark, sf_dir))
 
 
 @query(

@@ -16,7 +16,7 @@ from ._registry import query
 from .joins import dbl
 from .views import view
 
-RATE = F.lit(Decimal("7.5"))
+RATE = Decimal("7.5")
 
 view("charge_log", """
 SELECT event_id % 9000 AS charge_key, event_id, user_id, ts, CAST(value / 100 AS DECIMAL(18,8)) AS usd_cost,
@@ -61,11 +61,11 @@ def credit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("charge_amounts", "SELECT event_id, charge_key, user_id, CAST(amount AS DOUBLE) AS amount FROM charge_rows")
 def charge_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.charge_amounts(charge_log(spark, sf_dir), RATE).select("event_id", "charge_key", "user_id", dbl("amount", "amount"))
+    return ledger.charge_amounts(charge_log(spark, sf_dir), F.lit(RATE)).select("event_id", "charge_key", "user_id", dbl("amount", "amount"))
 
 
 def _posted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.post_once(ledger.charge_amounts(charge_log(spark, sf_dir), RATE), "charge_key", ["ts", "event_id"])
+    return ledger.post_once(ledger.charge_amounts(charge_log(spark, sf_dir), F.lit(RATE)), "charge_key", ["ts", "event_id"])
 
 
 @query("post_once", "SELECT charge_key, event_id, user_id, CAST(amount AS DOUBLE) AS amount FROM charges_posted")

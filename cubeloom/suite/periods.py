@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.periods import int_range, range_text
 from ..operators import delta, sync
 from ..operators.clean import clean_measure
+from ..session import stored
 from . import frames
 from ._registry import query
 
@@ -170,19 +171,27 @@ def normalize_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta.normalize_periods(twice)
 
 
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(frames.disk_manifest(spark, sf_dir), "manifest")
+
+
+def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(frames.changed_quarters(spark, sf_dir), "changed")
+
+
 def _clean_facts(raw: DataFrame) -> DataFrame:
     return clean_measure(delta.clean_periods(raw)).where(F.col("indhold").isNotNull())
 
 
-def stored_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def loaded_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loaded tables: the two latest quarters are not there yet, and F3 is not loaded."""
-    latest = frames.table_quarters(spark, sf_dir).where(F.col("rk") <= 2).select("table_id", "tid")
+    latest = stored(frames.table_quarters(spark, sf_dir).where(F.col("rk") <= 2).select("table_id", "tid"), "latest")
     raw = frames.fact_tables(spark, sf_dir).where(F.col("table_id") != "F3")
     return _clean_facts(raw.join(latest, ["table_id", "tid"], "left_anti"))
 
 
 def reloaded_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    on_disk = frames.disk_manifest(spark, sf_dir)
+    on_disk = _manifest(spark, sf_dir)
     raw = frames.fact_tables(spark, sf_dir).join(on_disk, ["table_id", "tid"], "left_semi")
     return _clean_facts(raw).withColumn("indhold", F.col("indhold") + 1)
 
@@ -201,9 +210,9 @@ _FACT = ["table_id", "omrade", "status", "tid_text", "indhold"]
     """,
 )
 def apply_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = delta.loadable_changes(frames.changed_quarters(spark, sf_dir), frames.disk_manifest(spark, sf_dir))
+    changed = delta.loadable_changes(_changed(spark, sf_dir), _manifest(spark, sf_dir))
     keys = delta.normalize_periods(changed)
-    target = stored_facts(spark, sf_dir).select(*_FACT)
+    target = loaded_facts(spark, sf_dir).select(*_FACT)
     return delta.apply_delta(target, reloaded_facts(spark, sf_dir), keys)
 
 
@@ -223,10 +232,10 @@ def apply_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def delta_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta.delta_report(
-        stored_facts(spark, sf_dir),
+        loaded_facts(spark, sf_dir),
         reloaded_facts(spark, sf_dir),
-        frames.changed_quarters(spark, sf_dir),
-        frames.disk_manifest(spark, sf_dir),
+        _changed(spark, sf_dir),
+        _manifest(spark, sf_dir),
     )
 
 
@@ -238,7 +247,7 @@ def delta_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def missing_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delta.missing_periods(frames.disk_manifest(spark, sf_dir), stored_facts(spark, sf_dir))
+    return delta.missing_periods(_manifest(spark, sf_dir), loaded_facts(spark, sf_dir))
 
 
 @query(
@@ -253,7 +262,7 @@ def missing_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def backfill_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delta.backfill_plan(frames.disk_manifest(spark, sf_dir), stored_facts(spark, sf_dir))
+    return delta.backfill_plan(_manifest(spark, sf_dir), loaded_facts(spark, sf_dir))
 
 
 @query(
@@ -266,8 +275,8 @@ def backfill_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = stored_facts(spark, sf_dir).select(*_FACT)
-    return delta.backfill(stored, frames.disk_manifest(spark, sf_dir), reloaded_facts(spark, sf_dir))
+    loaded = loaded_facts(spark, sf_dir).select(*_FACT)
+    return delta.backfill(loaded, _manifest(spark, sf_dir), reloaded_facts(spark, sf_dir))
 
 
 @query(
