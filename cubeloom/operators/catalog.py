@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_name_column
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from .dims import ancestor_closure, observed_levels
 from .joins import dim_values_for_table, join_text
 from .search import fuzzy_top
@@ -192,13 +192,14 @@ def level1_coverage(
     """
     code = dims.withColumn("kode", F.col("kode").cast("string")).withColumn("parent_kode", F.col("parent_kode").cast("string"))
     tops = ancestor_closure(code, levels).where(F.col("ancestor_niveau") == 1).select("dim_id", "kode", F.col("ancestor_kode").alias("top"))
-    covers = (
+    covers = stored(
         used.join(links.select("table_id", "column_name", "dim_id"), ["table_id", "column_name"])
         .select("table_id", "dim_id", F.col("id").alias("kode"))
         .distinct()
         .join(tops, ["dim_id", "kode"])
         .select("table_id", "dim_id", "top")
-        .distinct()
+        .distinct(),
+        "covers",
     )
     mine = subjects.select("path", "table_id").distinct()
     linked = links.select("table_id", "dim_id").distinct()

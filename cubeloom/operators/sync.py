@@ -144,9 +144,12 @@ def sync_report(outcomes: DataFrame) -> DataFrame:
 
 def advance_state(state: DataFrame, outcomes: DataFrame) -> DataFrame:
     """State after a run: only synced tables move to their new stamp and frequency."""
-    moved = outcomes.where(F.col("status") == "synced").select("table_id", "updated", "frequency")
-    kept = state.select("table_id", "updated", "frequency").join(moved.select("table_id"), "table_id", "left_anti")
-    return kept.unionByName(moved)
+    now = F.struct("updated", "frequency").alias("_now")
+    moved = outcomes.where(F.col("status") == "synced").select("table_id", now)
+    before = state.select("table_id", F.struct("updated", "frequency").alias("_before"))
+    return before.join(moved, "table_id", "full_outer").select("table_id", F.coalesce("_now", "_before").alias("s")).select(
+        "table_id", "s.updated", "s.frequency"
+    )
 
 
 def bootstrap_state(

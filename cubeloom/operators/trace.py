@@ -30,19 +30,16 @@ def _filled(text: Column) -> Column:
 
 
 def _parts(messages: DataFrame, keys: list[str]) -> DataFrame:
-    """The parts that become events, each with the step of its message.
+    """All parts, with the kind of event each becomes, null for none.
 
     A request with results is read for its results only: returns first, one per
-    call, then retries.
+    call, then retries. A message without parts keeps one row, so that its step
+    is counted.
     """
-    answered = F.exists("parts", lambda p: p["kind"].isin(*_RESULTS))
-    stepped = running(
-        messages.withColumn("_answered", (F.col("kind") == "request") & F.coalesce(answered, F.lit(False))),
-        keys, ["msg"], _bucket(), sums={"step": (F.col("kind") == "response").cast("bigint")},
-    )
-    rows = stepped.select(
-        *keys, "msg", "step", "_answered", F.col("kind").alias("_side"), "finish_reason",
-        F.posexplode("parts").alias("part", "p"), "parts",
+    answered = (F.col("kind") == "request") & F.coalesce(F.exists("parts", lambda p: p["kind"].isin(*_RESULTS)), F.lit(False))
+    rows = messages.select(
+        *keys, "msg", answered.alias("_answered"), F.col("kind").alias("_side"), "finish_reason", "parts",
+        F.posexplode_outer("parts").alias("part", "p"),
     )
     kind, text = F.col("p.kind"), F.col("p.text")
     earlier = F.slice("parts", 1, F.col("part"))
@@ -57,11 +54,13 @@ def _parts(messages: DataFrame, keys: list[str]) -> DataFrame:
         .when(response & (kind == "text") & _filled(text), "assistant_text")
         .when(response & (kind == "tool_call"), "tool_call")
     )
+    part = F.coalesce("part", F.lit(0))
     return rows.select(
-        *keys, "msg", F.when(kind == "retry", 1).otherwise(0).alias("_rank"), "part", "step", event.alias("event"),
+        *keys, "msg", F.when(kind == "retry", 1).otherwise(0).alias("_rank"), part.alias("part"), event.alias("event"),
+        (response & (part == 0)).cast("bigint").alias("_answer"),
         F.col("p.tool_name").alias("tool_name"), F.col("p.call_id").alias("tool_call_id"), text.alias("text"),
         (F.col("finish_reason").eqNullSafe("stop") & (event == "assistant_text")).alias("is_final"),
-    ).where(F.col("event").isNotNull())
+    )
 
 
 def trace_events(messages: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,32 +72,35 @@ def trace_events(messages: DataFrame, keys: list[str]) -> DataFrame:
     is_call = F.col("event") == "tool_call"
     numbered = running(
         _parts(messages, keys), keys, _ORDER, _bucket(),
-        sums={"_seq": is_call.cast("bigint"), "_place": F.lit(1).cast("bigint")},
-    )
-    with_id = numbered.where(F.col("tool_call_id").isNotNull())
-    call = F.when(is_call, F.struct(F.col("_seq").alias("seq"), F.col("step").alias("step")))
-    linked = running(with_id, [*keys, "tool_call_id"], _ORDER, _bucket(), lasts={"_call": call})
-    rest = numbered.where(F.col("tool_call_id").isNull()).withColumn("_call", F.lit(None).cast(linked.schema["_call"].dataType))
-    every = linked.unionByName(rest)
+        sums={
+            "_step": F.col("_answer"),
+            "_seq": F.coalesce(is_call, F.lit(False)).cast("bigint"),
+            "_place": F.col("event").isNotNull().cast("bigint"),
+        },
+    ).where(F.col("event").isNotNull())
+    # rows without an id share an empty one, which is never looked up
+    marked = numbered.withColumn("_id", F.coalesce("tool_call_id", F.lit("")))
+    call = F.when(is_call, F.struct(F.col("_seq").alias("seq"), F.col("_step").alias("step")))
+    linked = running(marked, [*keys, "_id"], _ORDER, _bucket(), lasts={"_call": call})
+    found = F.when(F.col("_id") != "", F.col("_call"))
     result = F.col("event").isin("tool_return", "tool_retry")
-    current = F.when(F.col("step") > 0, F.col("step"))
+    current = F.when(F.col("_step") > 0, F.col("_step"))
     step = (
         F.when(F.col("event") == "user", None)
-        .when(result, F.coalesce(F.col("_call.step"), current))
-        .otherwise(F.col("step"))
+        .when(result, F.coalesce(found["step"], current))
+        .otherwise(F.col("_step"))
     )
-    return every.select(
+    return linked.select(
         *keys,
         (F.col("_place") - 1).alias("idx"),
         F.col("event").alias("kind"),
         step.alias("step_idx"),
-        F.when(result | is_call, "tool_name").alias("_t"),
         "tool_name",
         "tool_call_id",
-        F.when(is_call, F.col("_seq")).when(result, F.col("_call.seq")).alias("call_seq"),
+        F.when(is_call, F.col("_seq")).when(result, found["seq"]).alias("call_seq"),
         "text",
         "is_final",
-    ).drop("_t")
+    )
 
 
 def trace_usage(messages: DataFrame, keys: list[str]) -> DataFrame:
@@ -118,7 +120,10 @@ def trace_usage(messages: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def turn_summary(events: DataFrame, keys: list[str]) -> DataFrame:
-    """First user text, calls per tool in order of first use, and the final text, as excerpts."""
+    """First user text, calls per tool in order of first use, and the final text, as excerpts.
+
+    ``events`` is read three times, so it is best a stored table.
+    """
     user = F.min(F.when((F.col("kind") == "user") & _filled(F.col("text")), F.struct("idx", "text")))["text"]
     base = events.groupBy(*keys).agg(excerpt(F.coalesce(user, F.lit("")), USER_EXCERPT).alias("user_text"))
     per_tool = (

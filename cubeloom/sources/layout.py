@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,11 +28,6 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-
-
 def write_periods(
     df: DataFrame, root: str, requested: DataFrame | None = None, version: int | None = None,
     max_records_per_file: int = 20_000_000,
@@ -57,7 +53,7 @@ def write_periods(
     entries = period_manifest(counts, counts.select(*KEYS) if requested is None else requested)
     entries = entries.withColumn("version", F.lit(version).cast("bigint"))
     entries.write.mode("append").parquet(f"{root}/manifest")
-    return spark.read.schema(MANIFEST).parquet(f"{root}/manifest").where(F.col("version") == version).select(*KEYS, "rows")
+    return spark.read.schema(MANIFEST).parquet(f"{root}/manifest").where(F.col("version") == version).select(*KEYS, "rows").distinct()
 
 
 def period_manifest(counts: DataFrame, requested: DataFrame) -> DataFrame:
@@ -73,10 +69,12 @@ def write_report(written: DataFrame) -> DataFrame:
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     """Latest entry of every period: ``table_id, tid, rows``."""
-    path = f"{root}/manifest"
-    if not _exists(spark, path):
+    try:
+        log = spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "table_id string, tid string, rows bigint")
-    log = spark.read.schema(MANIFEST).parquet(path)
     return log.groupBy(*KEYS).agg(F.max_by("rows", "version").alias("rows"))
 
 

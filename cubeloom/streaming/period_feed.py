@@ -11,13 +11,12 @@ from ..sources.layout import write_periods
 def replace_periods(rows: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
     """Run what has arrived and stop. ``rows`` streams whole periods per batch.
 
-    The batch number is the manifest version. A batch that is run again after a
-    failure overwrites the same periods and repeats the same entries, so the
-    result is as if it had run once.
+    A batch that is run again after a failure overwrites the same periods and
+    repeats their manifest entries, so the result is as if it had run once.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        write_periods(batch, root, version=batch_id)
+        write_periods(batch, root)
 
     return (
         rows.writeStream.foreachBatch(apply)

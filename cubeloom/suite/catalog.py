@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog, delta, search
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from . import frames
 from ._registry import query
 from .cleaning import dims_clean
@@ -36,6 +36,11 @@ FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionke
 """)
 
 
+def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table descriptions as stored documents; the catalog reads them several times."""
+    return stored(frames.metadata(spark, sf_dir), "metadata")
+
+
 @query("column_values", "SELECT table_id, column_name, pos, id, text FROM column_lists")
 def column_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "column-values")
@@ -102,7 +107,7 @@ def _types(values: DataFrame) -> DataFrame:
     """,
 )
 def typed_value_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = catalog.column_values(frames.metadata(spark, sf_dir))
+    values = catalog.column_values(_metadata(spark, sf_dir))
     linked = values.select("table_id", F.lit("omrade").alias("column_name")).distinct()
     return catalog.typed_value_map(values, _types(values), linked)
 
@@ -111,12 +116,12 @@ def typed_value_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     "table_profile",
     """
     SELECT v.table_id, v.column_name, 'description of ' || v.table_id AS description, 'kr.' AS unit,
-      CASE v.column_name WHEN 'omrade' THEN 'link' WHEN 'tid' THEN 'period' ELSE 'values' END AS kind,
-      CASE WHEN v.column_name IN ('alder', 'status') THEN COUNT(*) END AS n_values,
-      CASE WHEN v.column_name = 'omrade' THEN 'segments' END AS dim_id,
-      CASE WHEN v.column_name = 'omrade' THEN 'omrade=kode::text' END AS "join", CAST(NULL AS VARCHAR) AS join_override,
-      CASE WHEN v.column_name = 'omrade' THEN 'approx' END AS match_type, CASE WHEN v.column_name = 'omrade' THEN 'by segment' END AS note,
-      CASE WHEN v.column_name = 'omrade' THEN CASE WHEN SUM(CASE WHEN id < 'C' THEN 1 ELSE 0 END) > 0 THEN '1' ELSE '' END
+      CASE v.column_name WHEN 'omrade' THEN 'link' WHEN 'status' THEN 'link' WHEN 'tid' THEN 'period' ELSE 'values' END AS kind,
+      CASE WHEN v.column_name = 'alder' THEN COUNT(*) END AS n_values,
+      CASE v.column_name WHEN 'omrade' THEN 'segments' WHEN 'status' THEN 'states' END AS dim_id,
+      CASE v.column_name WHEN 'omrade' THEN 'omrade=kode::text' WHEN 'status' THEN 'status::text=kode' END AS "join", CAST(NULL AS VARCHAR) AS join_override,
+      CASE v.column_name WHEN 'omrade' THEN 'approx' WHEN 'status' THEN 'exact' END AS match_type, CASE WHEN v.column_name = 'omrade' THEN 'by segment' END AS note,
+      CASE WHEN v.column_name = 'status' THEN CASE WHEN SUM(CASE WHEN id <> 'P' THEN 1 ELSE 0 END) > 0 THEN '1' END WHEN v.column_name = 'omrade' THEN CASE WHEN SUM(CASE WHEN id < 'C' THEN 1 ELSE 0 END) > 0 THEN '1' ELSE '' END
         || CASE WHEN SUM(CASE WHEN id < 'C' THEN 1 ELSE 0 END) > 0 AND SUM(CASE WHEN id >= 'C' THEN 1 ELSE 0 END) > 0 THEN ',' ELSE '' END
         || CASE WHEN SUM(CASE WHEN id >= 'C' THEN 1 ELSE 0 END) > 0 THEN '2' ELSE '' END END AS levels,
       CASE WHEN v.column_name = 'tid' THEN CAST(MIN(d) AS VARCHAR) END AS min_tid, CASE WHEN v.column_name = 'tid' THEN CAST(MAX(d) AS VARCHAR) END AS max_tid
@@ -125,18 +130,19 @@ def typed_value_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = frames.metadata(spark, sf_dir)
+    meta = _metadata(spark, sf_dir)
     values = catalog.column_values(meta)
-    tables = values.select("table_id").distinct()
-    links = tables.select(
-        "table_id", F.lit("omrade").alias("column_name"), F.lit("segments").alias("dim_id"), F.lit("approx").alias("match_type"),
-        F.lit("by segment").alias("note"), F.lit(None).cast("string").alias("join_override"),
-    )
-    dim_types = spark.createDataFrame([("segments", "integer")], "dim_id string, kode_type string")
+    entries = [("omrade", "segments", "approx", "by segment"), ("status", "states", "exact", None)]
+    fields = ("column_name", "dim_id", "match_type", "note")
+    linked = F.explode(F.array(*[F.struct(*[F.lit(v).cast("string").alias(f) for f, v in zip(fields, e)]) for e in entries]))
+    links = meta.select("table_id", linked.alias("l")).select("table_id", "l.*", F.lit(None).cast("string").alias("join_override"))
+    dim_types = spark.createDataFrame([("segments", "integer"), ("states", "character varying")], "dim_id string, kode_type string")
     segment = F.col("c_mktsegment")
-    dims = frames.table(spark, sf_dir, "customer").select(segment).distinct().select(
+    segments = frames.table(spark, sf_dir, "customer").select(segment).distinct().select(
         F.lit("segments").alias("dim_id"), segment.alias("kode"), F.when(segment < "C", 1).otherwise(2).alias("niveau")
     )
+    states = frames.dims_linked(spark, sf_dir).where(F.col("dim_id") == "states").select("dim_id", "kode", "niveau")
+    dims = stored(segments.unionByName(states), "dims")
     periods = values.where(F.col("column_name") == "tid").select("table_id", "pos", F.col("id").alias("tid"))
     extents = delta.period_extent(delta.clean_periods(periods, pos="pos"))
     return catalog.table_profile(meta, values, _types(values), links, dim_types, dims, values, extents)
@@ -204,7 +210,7 @@ def level1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def discover_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = catalog.column_values(frames.metadata(spark, sf_dir))
+    values = catalog.column_values(_metadata(spark, sf_dir))
     names = F.explode(F.array(*[F.lit(n) for n in ("statusser", "omraader", "segments", "zzz")]))
     requests = values.select("table_id").distinct().select("table_id", names.alias("dim_id"))
     segments = frames.table(spark, sf_dir, "customer").select(F.lit("segments").alias("dim_id"), F.col("c_mktsegment").alias("kode"))

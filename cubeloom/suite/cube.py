@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import cube
+from ..session import stored
 from . import frames
 from ._registry import query
 from .joins import dbl
@@ -143,15 +144,22 @@ def pin_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "pin_totals_by_area",
-    "SELECT omrade, tid, CAST(indhold AS DOUBLE) AS indhold FROM fact_cube WHERE omrade <> '0' AND status = 'TOT'",
+    """
+    SELECT 'cube' AS table_id, omrade, tid, CAST(SUM(indhold) AS DOUBLE) AS indhold FROM fact_clean GROUP BY omrade, tid
+    UNION ALL SELECT 'supply', omrade, tid, CAST(indhold AS DOUBLE) FROM fact_supply
+    """,
 )
 def pin_totals_by_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    many = _cube(spark, sf_dir).withColumn("table_id", F.lit("cube"))
+    """Two tables at once; the second has no in-line totals and stays as it is."""
+    columns = ["table_id", "omrade", "status", "tid", "indhold"]
+    first = _cube(spark, sf_dir).withColumn("table_id", F.lit("cube")).select(*columns)
+    second = frames.fact_supply(spark, sf_dir).withColumns({"table_id": F.lit("supply"), "status": F.lit("all")})
     totals = spark.createDataFrame(
-        [("cube", c, t) for c, t in TOTALS.items()], "table_id string, column_name string, code string"
+        [("cube", c, t) for c, t in TOTALS.items()] + [("other", c, t) for c, t in TOTALS.items()],
+        "table_id string, column_name string, code string",
     )
-    out = cube.pin_totals_by_table(many, totals, list(TOTALS), ["omrade"])
-    return out.select("omrade", "tid", dbl("indhold"))
+    out = cube.pin_totals_by_table(first.unionByName(second.select(*columns)), totals, list(TOTALS), ["omrade"])
+    return out.select("table_id", "omrade", "tid", dbl("indhold"))
 
 
 @query("leaves_only", "SELECT omrade, status, tid, CAST(SUM(indhold) AS DOUBLE) AS indhold FROM fact_clean GROUP BY omrade, status, tid")
@@ -362,7 +370,7 @@ def per_mille_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def densify_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["omrade", "status", "tid"]
-    cells = frames.fact_clean(spark, sf_dir).groupBy(*keys).agg(dbl(F.sum("indhold")))
+    cells = stored(frames.fact_clean(spark, sf_dir).groupBy(*keys).agg(dbl(F.sum("indhold"))), "cells")
     withheld = frames.fact_raw(spark, sf_dir).where(F.col("indhold") == "..")
     return cube.densify_cube(cells, keys, withheld)
 

@@ -189,8 +189,8 @@ def frequency_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.unionByName(unknown)
 
 
-def local_periods_held(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = period_lists(spark, sf_dir)
+def held_of(lists: DataFrame) -> DataFrame:
+    """Periods held locally: nothing of every third table, gaps in the others."""
     held = (table_number(F.col("table_id")) % 3 != 0) & (F.col("pos") % 10 != 3)
     return lists.where(held).select("table_id", "tid")
 

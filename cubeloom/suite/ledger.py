@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ledger, trace
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from ..streaming.ledger_feed import post_charges
 from ..streaming.period_feed import stream_files
 from . import frames
@@ -277,4 +277,4 @@ def trace_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def turn_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["conv_id", "turn_idx"]
-    return trace.turn_summary(trace.trace_events(message_log(spark, sf_dir), keys), keys)
+    return trace.turn_summary(stored(trace.trace_events(message_log(spark, sf_dir), keys), "trace"), keys)

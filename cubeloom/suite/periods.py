@@ -31,8 +31,8 @@ def resolve_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _picked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = frames.period_lists(spark, sf_dir)
-    return sync.pick_periods(lists, frames.local_periods_held(spark, sf_dir), sync.infer_frequency(lists))
+    lists = stored(frames.period_lists(spark, sf_dir), "lists")
+    return sync.pick_periods(lists, frames.held_of(lists), sync.infer_frequency(lists))
 
 
 @query("pick_periods", "SELECT table_id, pos, tid, reason FROM picked_periods")
@@ -68,7 +68,7 @@ def period_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("table_id")
         .agg(F.greatest(F.lit(1), F.count(F.lit(1)) * 7).alias("rows_per_period"))
     )
-    return sync.period_batches(_picked(spark, sf_dir), estimates, max_rows=2000)
+    return sync.period_batches(stored(_picked(spark, sf_dir), "picked"), estimates, max_rows=2000)
 
 
 @query("metadata_periods", "SELECT table_id, pos, id AS tid FROM meta_values WHERE variable = 'Tid'")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import queryset as qsets
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from . import frames
 from ._registry import query
 from .views import view
@@ -166,17 +166,21 @@ def validate_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT 'region' AS filter_name, c_mktsegment AS value,
            (SELECT STRING_AGG(region, ', ' ORDER BY region) FROM (SELECT DISTINCT region FROM population ORDER BY region LIMIT 5)) AS sample_allowed_values
     FROM (SELECT DISTINCT c_mktsegment FROM customer)
+    UNION ALL
+    SELECT 'segment', n_name, (SELECT STRING_AGG(s, ', ' ORDER BY s) FROM (SELECT DISTINCT c_mktsegment AS s FROM customer ORDER BY s LIMIT 5)) FROM nation
     """,
 )
 def invalid_filter_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every nation and every market segment as a chosen value; only the nations are on offer."""
+    """Every nation and every market segment chosen in both filters; each offers only its own."""
     qs = population_set(spark, sf_dir)
-    named = F.lit("region").alias("filter_name")
-    options = qsets.option_list(qsets.run_query(spark, qs, "regions", {})).select(named, "value")
+    region, segment = F.lit("region").alias("filter_name"), F.lit("segment").alias("filter_name")
     segments = frames.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("value")).distinct()
     nations = frames.table(spark, sf_dir, "nation").select(F.col("n_name").alias("value"))
-    chosen = segments.unionByName(nations).select(named, "value", F.lit("all").alias("default"))
-    return qsets.invalid_filter_values(options, chosen)
+    offered = qsets.option_list(qsets.run_query(spark, qs, "regions", {})).select(region, "value")
+    options = stored(offered.unionByName(segments.select(segment, "value")), "options")
+    values = segments.unionByName(nations)
+    chosen = values.select(region, "value").unionByName(values.select(segment, "value"))
+    return qsets.invalid_filter_values(options, chosen.withColumn("default", F.lit("all")))
 
 
 @query(
