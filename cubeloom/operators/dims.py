@@ -43,7 +43,8 @@ def derive_parents(dims: DataFrame, levels: int | None = None, bucket_width: int
 
     It is the nearest earlier row one level up, unless a row of a still higher
     level lies between; null at level 1 or when that level is not open.
-    ``bucket_width`` is the stretch of ``sekvens`` handled by one task.
+    ``bucket_width`` is the stretch of ``sekvens`` handled by one task; the
+    numbers may have gaps.
     """
     if levels is None:
         levels = dims.agg(F.max("niveau")).first()[0] or 1
@@ -53,7 +54,7 @@ def derive_parents(dims: DataFrame, levels: int | None = None, bucket_width: int
     if not seen:
         return dims.withColumn("parent_kode", F.lit(None).cast(dims.schema["kode"].dataType))
     walked = running(
-        dims, ["dim_id"], ["sekvens"], F.floor(F.col("sekvens") / bucket_width), lasts=seen, inclusive=False
+        dims, ["dim_id"], ["sekvens"], F.floor(F.col("sekvens") / bucket_width), lasts=seen, inclusive=False, depth=2
     )
     parent = F.when(F.lit(False), F.lit(None).cast(dims.schema["kode"].dataType))
     for n in range(2, int(levels) + 1):

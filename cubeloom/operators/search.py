@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import name_ratio, score
 
 NAME_THRESHOLD = 0.7  # fixed value
+FEW_ROWS = 100_000
 
 
 def fuzzy_top(labels: DataFrame, queries: list[str], n: int = 5) -> DataFrame:
@@ -34,6 +35,9 @@ def fuzzy_top(labels: DataFrame, queries: list[str], n: int = 5) -> DataFrame:
     # at least one code per text, so the n best texts are enough for the n best rows
     by_text = Window.partitionBy("query").orderBy(F.desc("score"), "label")
     few = scored.withColumn("_t", F.row_number().over(by_text)).where(F.col("_t") <= n).drop("_t")
+    if n * len(wanted) <= FEW_ROWS:
+        # at most n rows per query string, however many labels there are
+        few = F.broadcast(few)
     by_row = Window.partitionBy("query").orderBy(F.desc("score"), "label", "code")
     rows = few.join(labels, "label").withColumn("rank", F.row_number().over(by_row)).where(F.col("rank") <= n)
     return rows.select("query", "rank", "code", "label", F.round("score", 6).alias("score"))

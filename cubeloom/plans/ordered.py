@@ -24,35 +24,47 @@ def running(
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     inclusive: bool = True,
+    depth: int = 1,
 ) -> DataFrame:
     """Add running sums and last non-null values to ``df``.
 
     ``bucket`` must not decrease along ``order``. ``keys`` must not be null.
-    With ``inclusive=False`` the row itself is left out.
+    With ``inclusive=False`` the row itself is left out. Where ``order`` has
+    wide gaps, a group may have nearly as many buckets as rows; ``depth=2``
+    then carries the summaries on in buckets of their own.
     """
     sums, lasts = sums or {}, lasts or {}
-    staged = df.withColumn(_BUCKET, bucket)
+    slot = f"{_BUCKET}{depth}"
+    staged = df.withColumn(slot, bucket)
 
     def stamped(value: Column) -> Column:
         return F.when(value.isNotNull(), F.struct(*[F.col(c) for c in order], value.alias("_v")))
 
-    totals = staged.groupBy(*keys, _BUCKET).agg(
+    totals = staged.groupBy(*keys, slot).agg(
         *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()],
         *[F.max(stamped(c)).alias(f"_t_{n}") for n, c in lasts.items()],
     )
-    before = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *keys,
-        _BUCKET,
-        *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums],
-        *[F.max(f"_t_{n}").over(before).alias(f"_c_{n}") for n in lasts],
-    )
+    if depth > 1:
+        carried = running(
+            totals, keys, [slot], F.floor(F.col(slot) / BUCKET_ROWS),
+            sums={f"_c_{n}": F.col(f"_t_{n}") for n in sums},
+            lasts={f"_c_{n}": F.col(f"_t_{n}") for n in lasts},
+            inclusive=False, depth=depth - 1,
+        ).select(*keys, slot, *[f"_c_{n}" for n in (*sums, *lasts)])
+    else:
+        before = Window.partitionBy(*keys).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
+        carried = totals.select(
+            *keys,
+            slot,
+            *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums],
+            *[F.max(f"_t_{n}").over(before).alias(f"_c_{n}") for n in lasts],
+        )
     inside = (
-        Window.partitionBy(*keys, _BUCKET)
+        Window.partitionBy(*keys, slot)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
-    out = staged.join(carried, [*keys, _BUCKET], "left")
+    out = staged.join(carried, [*keys, slot], "left")
     added = {
         n: F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.coalesce(F.col(f"_c_{n}"), F.lit(0))
         for n, c in sums.items()

@@ -56,6 +56,12 @@ def write_periods(
     return spark.read.schema(MANIFEST).parquet(f"{root}/manifest").where(F.col("version") == version).select(*KEYS, "rows").distinct()
 
 
+def replace_periods(reloaded: DataFrame, root: str, changed: DataFrame, version: int | None = None) -> DataFrame:
+    """Replace ``changed (table_id, tid)`` by their reloaded rows; a changed period without rows becomes empty."""
+    keys = stored(changed.select(*KEYS).distinct(), "changed")
+    return write_periods(reloaded.join(keys, KEYS, "left_semi"), root, requested=keys, version=version)
+
+
 def period_manifest(counts: DataFrame, requested: DataFrame) -> DataFrame:
     """Every requested or written period with its row count, 0 where nothing came."""
     seen = counts.select(*KEYS).unionByName(requested.select(*KEYS)).distinct()

@@ -103,12 +103,12 @@ def dim_code_to_int(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("derive_parents", "SELECT dim_id, sekvens, kode, niveau, parent_kode FROM dims_parented")
 def derive_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dims.derive_parents(frames.dims_raw(spark, sf_dir), bucket_width=frames.TREE_BUCKET)
+    found = dims.derive_parents(frames.dims_raw(spark, sf_dir))
     return found.select("dim_id", "sekvens", "kode", "niveau", "parent_kode")
 
 
 def dims_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dims.process_dim(frames.dims_raw(spark, sf_dir), levels=3, bucket_width=frames.TREE_BUCKET)
+    return dims.process_dim(frames.dims_raw(spark, sf_dir), levels=3)
 
 
 @query(
@@ -119,9 +119,7 @@ def dims_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def process_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dims.process_dim(
-        frames.dims_raw(spark, sf_dir), drop_level_one=("kn",), levels=3, bucket_width=frames.TREE_BUCKET
-    )
+    return dims.process_dim(frames.dims_raw(spark, sf_dir), drop_level_one=("kn",), levels=3)
 
 
 @query(

@@ -102,10 +102,9 @@ def fact_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def period_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One table per nation and period form, with its codes in order."""
-    day = F.to_date("o_orderdate")
-    days = customer_orders(spark, sf_dir).select("c_nationkey", day.alias("d")).distinct()
+def period_codes(dated: DataFrame) -> DataFrame:
+    """Distinct codes of ``(c_nationkey, o_orderdate)`` rows in every period form."""
+    days = dated.select("c_nationkey", F.to_date("o_orderdate").alias("d")).distinct()
     d = F.col("d")
     y, m = F.year(d).cast("string"), F.month(d)
     forms = {
@@ -119,14 +118,22 @@ def period_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
         "SPAN": F.concat(y, F.lit(":"), (F.year(d) + 2).cast("string")),
     }
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), v.alias("tid")) for k, v in forms.items()]))
-    codes = (
-        days.select("c_nationkey", pairs.alias("p"))
-        .select(F.concat(F.col("p.form"), F.col("c_nationkey").cast("string")).alias("table_id"), F.col("p.tid").alias("tid"))
-        .distinct()
-    )
+    table_id = F.concat(F.col("p.form"), F.col("c_nationkey").cast("string")).alias("table_id")
+    return days.select("c_nationkey", pairs.alias("p")).select(table_id, F.col("p.tid").alias("tid")).distinct()
+
+
+def period_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One table per nation and period form, with its codes in order."""
     # distinct codes of one table: bounded by the calendar
     order = Window.partitionBy("table_id").orderBy("tid")
-    return codes.select("table_id", (F.row_number().over(order) - 1).cast("bigint").alias("pos"), "tid")
+    position = (F.row_number().over(order) - 1).cast("bigint")
+    return period_codes(customer_orders(spark, sf_dir)).select("table_id", position.alias("pos"), "tid")
+
+
+def nations_of(spark: SparkSession, sf_dir: str, region: str) -> DataFrame:
+    regions = table(spark, sf_dir, "region").where(F.col("r_name") == region)
+    nation = table(spark, sf_dir, "nation")
+    return nation.join(regions, nation.n_regionkey == regions.r_regionkey).select("n_nationkey")
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,11 +172,15 @@ def table_number(table_id: Column) -> Column:
     return F.regexp_extract(table_id, "[0-9]+$", 0).cast("int")
 
 
+def _nation_of_table() -> Column:
+    return table_number(F.col("table_id")) == F.col("n_nationkey")
+
+
 def period_lists_open(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Period lists, a fifth of them ending in an empty code."""
+    """Period lists; those of African nations end in an empty code."""
     lists = period_lists(spark, sf_dir)
     blank = (
-        lists.where(table_number(F.col("table_id")) % 5 == 0)
+        lists.join(nations_of(spark, sf_dir, "AFRICA"), _nation_of_table(), "left_semi")
         .groupBy("table_id")
         .agg((F.max("pos") + 1).alias("pos"))
         .withColumn("tid", F.lit(""))
@@ -178,21 +189,17 @@ def period_lists_open(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frequency_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("n_nationkey")
-    nation = table(spark, sf_dir, "nation")
-    known = nation.where(key % 4 == 0).select(
-        F.concat(F.lit("MONTH"), key.cast("string")).alias("table_id"), F.lit("weekly").alias("frequency")
-    )
-    unknown = nation.where(key % 4 == 1).select(
-        F.concat(F.lit("YEAR"), key.cast("string")).alias("table_id"), F.lit("hourly").alias("frequency")
-    )
+    """Monthly tables of American nations count as weekly; those of European ones name no known frequency."""
+    key = F.col("n_nationkey").cast("string")
+    known = nations_of(spark, sf_dir, "AMERICA").select(F.concat(F.lit("MONTH"), key).alias("table_id"), F.lit("weekly").alias("frequency"))
+    unknown = nations_of(spark, sf_dir, "EUROPE").select(F.concat(F.lit("YEAR"), key).alias("table_id"), F.lit("hourly").alias("frequency"))
     return known.unionByName(unknown)
 
 
-def held_of(lists: DataFrame) -> DataFrame:
-    """Periods held locally: nothing of every third table, gaps in the others."""
-    held = (table_number(F.col("table_id")) % 3 != 0) & (F.col("pos") % 10 != 3)
-    return lists.where(held).select("table_id", "tid")
+def local_periods_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periods held: those with a closed order; Asian nations hold nothing yet."""
+    closed = period_codes(customer_orders(spark, sf_dir).where(F.col("o_orderstatus") == "F"))
+    return closed.join(nations_of(spark, sf_dir, "ASIA"), _nation_of_table(), "left_anti")
 
 
 def table_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,10 +281,6 @@ def part_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves.unionByName(brands).unionByName(types)
 
 
-# Parts of one brand and type lie about this far apart in ``part_tree``.
-TREE_BUCKET = 10_000_000
-
-
 def dims_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uncleaned classifications; codes are text."""
     geo = dim_geo(spark, sf_dir)

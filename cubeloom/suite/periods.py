@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.periods import int_range, range_text
 from ..operators import delta, sync
 from ..operators.clean import clean_measure
-from ..session import stored
+from ..session import scratch_path, stored
+from ..sources import layout
 from . import frames
 from ._registry import query
 
@@ -32,7 +33,7 @@ def resolve_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _picked(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = stored(frames.period_lists(spark, sf_dir), "lists")
-    return sync.pick_periods(lists, frames.held_of(lists), sync.infer_frequency(lists))
+    return sync.pick_periods(lists, frames.local_periods_held(spark, sf_dir), sync.infer_frequency(lists))
 
 
 @query("pick_periods", "SELECT table_id, pos, tid, reason FROM picked_periods")
@@ -92,10 +93,13 @@ def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = sync.changed_tables(catalog, frames.table_state(spark, sf_dir)).select("table_id", F.lit(True).alias("_c"))
     status = (
         F.when(F.col("_c").isNull(), "skipped")
-        .when(F.substring("table_id", 2, 20).cast("bigint") % 11 == 0, "failed")
+        .when(F.col("c_acctbal") < 0, "failed")
         .otherwise("synced")
     )
-    return catalog.join(changed, "table_id", "left").select(
+    owner = frames.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("T"), F.col("c_custkey").cast("string")).alias("table_id"), "c_acctbal"
+    )
+    return catalog.join(changed, "table_id", "left").join(owner, "table_id").select(
         "table_id", "updated", F.lit("monthly").alias("frequency"), status.alias("status")
     )
 
@@ -199,16 +203,16 @@ def reloaded_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FACT = ["table_id", "omrade", "status", "tid_text", "indhold"]
 
 
-@query(
-    "apply_delta",
-    """
+_DELTA_SQL = """
     SELECT table_id, omrade, status, tid_text, indhold FROM stored_facts
     WHERE table_id = 'F5' OR (table_id, tid_text) NOT IN (SELECT (table_id, tid_text) FROM changed_quarters)
     UNION ALL
     SELECT table_id, omrade, status, tid_text, indhold FROM reloaded_facts
     WHERE (table_id, tid_text) IN (SELECT (table_id, tid_text) FROM changed_quarters)
-    """,
-)
+    """
+
+
+@query("apply_delta", _DELTA_SQL)
 def apply_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = delta.loadable_changes(_changed(spark, sf_dir), _manifest(spark, sf_dir))
     keys = delta.normalize_periods(changed)
@@ -216,6 +220,21 @@ def apply_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta.apply_delta(target, reloaded_facts(spark, sf_dir), keys)
 
 
+@query("apply_delta_on_disk", _DELTA_SQL)
+def apply_delta_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in the period layout: only the changed periods are written."""
+    root = scratch_path(spark, "delta")
+    changed = delta.loadable_changes(_changed(spark, sf_dir), _manifest(spark, sf_dir))
+    keys = delta.normalize_periods(changed).withColumnRenamed("tid_text", "tid")
+
+    def as_stored(facts: DataFrame) -> DataFrame:
+        return facts.select("table_id", "omrade", "status", F.col("tid_text").alias("tid"), "indhold")
+
+    layout.write_periods(as_stored(loaded_facts(spark, sf_dir)), root, version=1)
+    layout.replace_periods(as_stored(reloaded_facts(spark, sf_dir)), root, keys, version=2)
+    return layout.read_periods(spark, root).withColumnRenamed("tid", "tid_text")
+
+
 @query(
     "delta_report",
     """

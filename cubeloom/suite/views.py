@@ -120,17 +120,18 @@ view("period_lists_open", """
 SELECT table_id, pos, tid FROM period_lists
 UNION ALL
 SELECT table_id, MAX(pos) + 1, '' FROM period_lists
-WHERE CAST(REGEXP_EXTRACT(table_id, '[0-9]+$') AS INTEGER) % 5 = 0 GROUP BY table_id
+WHERE CAST(REGEXP_EXTRACT(table_id, '[0-9]+$') AS INTEGER) IN (SELECT n_nationkey FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'AFRICA')
+GROUP BY table_id
 """)
 
 view("frequency_overrides", """
-SELECT 'MONTH' || n_nationkey AS table_id, 'weekly' AS frequency FROM nation WHERE n_nationkey % 4 = 0
-UNION ALL SELECT 'YEAR' || n_nationkey, 'hourly' FROM nation WHERE n_nationkey % 4 = 1
+SELECT 'MONTH' || n_nationkey AS table_id, 'weekly' AS frequency FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'AMERICA'
+UNION ALL SELECT 'YEAR' || n_nationkey, 'hourly' FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'EUROPE'
 """)
 
 view("local_periods_held", """
-SELECT table_id, tid FROM period_lists
-WHERE CAST(REGEXP_EXTRACT(table_id, '[0-9]+$') AS INTEGER) % 3 <> 0 AND pos % 10 <> 3
+SELECT table_id, tid FROM closed_codes
+WHERE CAST(REGEXP_EXTRACT(table_id, '[0-9]+$') AS INTEGER) NOT IN (SELECT n_nationkey FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA')
 """)
 
 view("frequency_of", """
@@ -168,8 +169,8 @@ FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey
 view("sync_outcomes", """
 SELECT c.table_id, c.updated, 'monthly' AS frequency,
        CASE WHEN c.updated IS NOT DISTINCT FROM s.updated THEN 'skipped'
-            WHEN CAST(SUBSTR(c.table_id, 2) AS BIGINT) % 11 = 0 THEN 'failed' ELSE 'synced' END AS status
-FROM table_catalog c LEFT JOIN table_state s ON s.table_id = c.table_id
+            WHEN k.c_acctbal < 0 THEN 'failed' ELSE 'synced' END AS status
+FROM table_catalog c JOIN customer k ON c.table_id = 'T' || k.c_custkey LEFT JOIN table_state s ON s.table_id = c.table_id
 """)
 
 view("fact_tables", """
@@ -312,3 +313,21 @@ SELECT CASE c_custkey % 10 WHEN 0 THEN 'kommuner' WHEN 1 THEN 'regioner' WHEN 2
        CAST(c_custkey + 4 AS VARCHAR) AS dagi_id, c_name AS navn, 'POINT(' || c_nationkey || ' ' || c_custkey || ')' AS geometry
 FROM customer
 """)
+
+view("closed_days", """
+SELECT DISTINCT c_nationkey AS n, CAST(o_orderdate AS DATE) AS d,
+       CAST(EXTRACT(YEAR FROM o_orderdate) AS BIGINT) AS y, CAST(EXTRACT(MONTH FROM o_orderdate) AS BIGINT) AS m
+FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'
+""")
+
+view("closed_codes", """
+SELECT DISTINCT 'DAY' || n AS table_id,
+       y || 'M' || LPAD(CAST(m AS VARCHAR), 2, '0') || 'D' || LPAD(CAST(DAY(d) AS VARCHAR), 2, '0') AS tid FROM closed_days
+UNION ALL SELECT DISTINCT 'WEEK' || n, y || 'U' || LPAD(CAST(WEEK(d) AS VARCHAR), 2, '0') FROM closed_days
+UNION ALL SELECT DISTINCT 'MONTH' || n, y || 'M' || LPAD(CAST(m AS VARCHAR), 2, '0') FROM closed_days
+UNION ALL SELECT DISTINCT 'QUARTER' || n, y || 'K' || CAST((m + 2) // 3 AS BIGINT) FROM closed_days
+UNION ALL SELECT DISTINCT 'HALF' || n, y || 'H' || CASE WHEN m <= 6 THEN '1' ELSE '2' END FROM closed_days
+UNION ALL SELECT DISTINCT 'YEAR' || n, CAST(y AS VARCHAR) FROM closed_days
+UNION ALL SELECT DISTINCT 'SPLIT' || n, y || '/' || (y + 1) FROM closed_days
+UNION ALL SELECT DISTINCT 'SPAN' || n, y || ':' || (y + 2) FROM closed_days
+""")

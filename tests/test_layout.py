@@ -32,6 +32,15 @@ def test_replaced_emptied_and_requested_periods(spark, tmp_path, rows):
     assert rows(layout.read_periods(spark, root).where("table_id = 'a'"), "v") == [(10,), (30,)]
 
 
+def test_replace_writes_changed_periods_only(spark, tmp_path, rows):
+    root = str(tmp_path / "p")
+    layout.write_periods(spark.createDataFrame([("a", "1", 1), ("a", "2", 2), ("a", "3", 3)], ROW), root, version=1)
+    changed = spark.createDataFrame([("a", "2"), ("a", "3")], "table_id string, tid string")
+    reloaded = spark.createDataFrame([("a", "1", 100), ("a", "2", 20)], ROW)
+    assert rows(layout.replace_periods(reloaded, root, changed, version=2)) == [("a", "2", 1), ("a", "3", 0)]
+    assert rows(layout.read_periods(spark, root), "v") == [(1,), (20,)]
+
+
 def test_skewed_period_is_split_over_files(spark, tmp_path):
     root = str(tmp_path / "p")
     df = spark.range(1000).select(F.lit("a").alias("table_id"), F.lit("1").alias("tid"), "id")

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cubeloom.plans import ordered
 from cubeloom.plans.ordered import dense_index, row_numbers, running
 
 
@@ -14,11 +15,12 @@ def _data(spark):
     return spark.createDataFrame(rows, "k string, pos bigint, v int")
 
 
-def test_running_equals_window(spark, rows):
+def test_running_equals_window(spark, rows, monkeypatch):
     df = _data(spark)
-    for inclusive, end in ((True, 0), (False, -1)):
+    for inclusive, end, depth in ((True, 0, 1), (False, -1, 1), (True, 0, 2), (False, -1, 2)):
+        monkeypatch.setattr(ordered, "BUCKET_ROWS", 5)
         got = running(
-            df, ["k"], ["pos"], F.floor(F.col("pos") / 7), sums={"s": F.col("v")}, lasts={"l": F.col("v")}, inclusive=inclusive
+            df, ["k"], ["pos"], F.floor(F.col("pos") / 7), sums={"s": F.col("v")}, lasts={"l": F.col("v")}, inclusive=inclusive, depth=depth
         )
         w = Window.partitionBy("k").orderBy("pos").rowsBetween(Window.unboundedPreceding, end)
         want = df.select(

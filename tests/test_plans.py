@@ -1,7 +1,5 @@
 """Shapes that matter at scale, read from the plans."""
 
-import pytest
-
 from cubeloom.operators import cube
 from cubeloom.sources import layout
 from cubeloom.suite import all_queries
@@ -13,25 +11,6 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.fixture(scope="module")
-def no_broadcast(spark):
-    """As with sides too large to broadcast."""
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    yield spark
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-
-
-def test_no_query_pairs_everything_or_forces_a_broadcast(no_broadcast):
-    bad = {}
-    for name, fn in all_queries().items():
-        text = plan(fn(no_broadcast, DATA))
-        hits = [k for k in ("CartesianProduct", "NestedLoop", "BroadcastHashJoin", "BatchEvalPython") if k in text]
-        if hits:
-            bad[name] = hits
-    assert not bad
-
-
 def test_one_column_is_read(spark):
     text = plan(all_queries()["scan_columns"](spark, DATA))
     assert "ReadSchema: struct<l_returnflag:string>" in text
