@@ -247,15 +247,15 @@ def table_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact_tables(spark, sf_dir).select("table_id", "tid").distinct().withColumn("rk", F.row_number().over(latest_first))
 
 
-def disk_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quarters = table_quarters(spark, sf_dir)
+def disk_manifest(quarters: DataFrame) -> DataFrame:
+    """Quarters on disk: none of table F5, and not the latest of F4."""
     gone = (F.col("table_id") == "F5") | ((F.col("table_id") == "F4") & (F.col("rk") == 1))
     return quarters.where(~gone).select("table_id", "tid")
 
 
-def changed_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quarters = table_quarters(spark, sf_dir).where(F.col("rk") <= 4)
-    return quarters.select("table_id", (4 - F.col("rk")).cast("bigint").alias("pos"), "tid")
+def changed_quarters(quarters: DataFrame) -> DataFrame:
+    """The four latest quarters of each table."""
+    return quarters.where(F.col("rk") <= 4).select("table_id", (4 - F.col("rk")).cast("bigint").alias("pos"), "tid")
 
 
 def part_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

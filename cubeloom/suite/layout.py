@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean
 from ..sources import files, layout, tables
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from ..streaming.period_feed import replace_periods, stream_files
 from . import frames
 from ._registry import query
@@ -91,13 +91,14 @@ def read_bulk_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def period_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .periods import loaded_facts
 
-    counts = loaded_facts(spark, sf_dir).groupBy("table_id", "tid").agg(F.count(F.lit(1)).alias("rows"))
-    return layout.period_manifest(counts, frames.table_quarters(spark, sf_dir))
+    quarters = stored(frames.table_quarters(spark, sf_dir), "quarters")
+    counts = loaded_facts(spark, sf_dir, quarters).groupBy("table_id", "tid").agg(F.count(F.lit(1)).alias("rows"))
+    return layout.period_manifest(counts, quarters)
 
 
 @query("local_periods", "SELECT DISTINCT table_id, tid FROM disk_manifest ORDER BY table_id, tid")
 def local_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.local_periods(frames.disk_manifest(spark, sf_dir))
+    return layout.local_periods(frames.disk_manifest(frames.table_quarters(spark, sf_dir)))
 
 
 def _legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +133,8 @@ def migrate_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pending_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .periods import loaded_facts
 
-    return tables.pending_tables(frames.fact_tables(spark, sf_dir), loaded_facts(spark, sf_dir))
+    quarters = stored(frames.table_quarters(spark, sf_dir), "quarters")
+    return tables.pending_tables(frames.fact_tables(spark, sf_dir), loaded_facts(spark, sf_dir, quarters))
 
 
 @query(

@@ -170,32 +170,29 @@ def int_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def normalize_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once = frames.changed_quarters(spark, sf_dir)
+    once = frames.changed_quarters(_quarters(spark, sf_dir))
     twice = once.unionByName(once.withColumn("pos", F.col("pos") + 10))
     return delta.normalize_periods(twice)
 
 
-def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(frames.disk_manifest(spark, sf_dir), "manifest")
-
-
-def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(frames.changed_quarters(spark, sf_dir), "changed")
+def _quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarters per table as a stored list; what is on disk, changed and loaded follows from it."""
+    return stored(frames.table_quarters(spark, sf_dir), "quarters")
 
 
 def _clean_facts(raw: DataFrame) -> DataFrame:
     return clean_measure(delta.clean_periods(raw)).where(F.col("indhold").isNotNull())
 
 
-def loaded_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def loaded_facts(spark: SparkSession, sf_dir: str, quarters: DataFrame) -> DataFrame:
     """Loaded tables: the two latest quarters are not there yet, and F3 is not loaded."""
-    latest = stored(frames.table_quarters(spark, sf_dir).where(F.col("rk") <= 2).select("table_id", "tid"), "latest")
+    latest = quarters.where(F.col("rk") <= 2).select("table_id", "tid")
     raw = frames.fact_tables(spark, sf_dir).where(F.col("table_id") != "F3")
     return _clean_facts(raw.join(latest, ["table_id", "tid"], "left_anti"))
 
 
-def reloaded_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    on_disk = _manifest(spark, sf_dir)
+def reloaded_facts(spark: SparkSession, sf_dir: str, quarters: DataFrame) -> DataFrame:
+    on_disk = frames.disk_manifest(quarters)
     raw = frames.fact_tables(spark, sf_dir).join(on_disk, ["table_id", "tid"], "left_semi")
     return _clean_facts(raw).withColumn("indhold", F.col("indhold") + 1)
 
@@ -214,24 +211,26 @@ _DELTA_SQL = """
 
 @query("apply_delta", _DELTA_SQL)
 def apply_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = delta.loadable_changes(_changed(spark, sf_dir), _manifest(spark, sf_dir))
+    quarters = _quarters(spark, sf_dir)
+    changed = delta.loadable_changes(frames.changed_quarters(quarters), frames.disk_manifest(quarters))
     keys = delta.normalize_periods(changed)
-    target = loaded_facts(spark, sf_dir).select(*_FACT)
-    return delta.apply_delta(target, reloaded_facts(spark, sf_dir), keys)
+    target = loaded_facts(spark, sf_dir, quarters).select(*_FACT)
+    return delta.apply_delta(target, reloaded_facts(spark, sf_dir, quarters), keys)
 
 
 @query("apply_delta_on_disk", _DELTA_SQL)
 def apply_delta_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same in the period layout: only the changed periods are written."""
     root = scratch_path(spark, "delta")
-    changed = delta.loadable_changes(_changed(spark, sf_dir), _manifest(spark, sf_dir))
+    quarters = _quarters(spark, sf_dir)
+    changed = delta.loadable_changes(frames.changed_quarters(quarters), frames.disk_manifest(quarters))
     keys = delta.normalize_periods(changed).withColumnRenamed("tid_text", "tid")
 
     def as_stored(facts: DataFrame) -> DataFrame:
         return facts.select("table_id", "omrade", "status", F.col("tid_text").alias("tid"), "indhold")
 
-    layout.write_periods(as_stored(loaded_facts(spark, sf_dir)), root, version=1)
-    layout.replace_periods(as_stored(reloaded_facts(spark, sf_dir)), root, keys, version=2)
+    layout.write_periods(as_stored(loaded_facts(spark, sf_dir, quarters)), root, version=1)
+    layout.replace_periods(as_stored(reloaded_facts(spark, sf_dir, quarters)), root, keys, version=2)
     return layout.read_periods(spark, root).withColumnRenamed("tid", "tid_text")
 
 
@@ -250,11 +249,12 @@ def apply_delta_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def delta_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quarters = _quarters(spark, sf_dir)
     return delta.delta_report(
-        loaded_facts(spark, sf_dir),
-        reloaded_facts(spark, sf_dir),
-        _changed(spark, sf_dir),
-        _manifest(spark, sf_dir),
+        loaded_facts(spark, sf_dir, quarters),
+        reloaded_facts(spark, sf_dir, quarters),
+        frames.changed_quarters(quarters),
+        frames.disk_manifest(quarters),
     )
 
 
@@ -266,7 +266,8 @@ def delta_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def missing_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delta.missing_periods(_manifest(spark, sf_dir), loaded_facts(spark, sf_dir))
+    quarters = _quarters(spark, sf_dir)
+    return delta.missing_periods(frames.disk_manifest(quarters), loaded_facts(spark, sf_dir, quarters))
 
 
 @query(
@@ -281,7 +282,8 @@ def missing_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def backfill_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delta.backfill_plan(_manifest(spark, sf_dir), loaded_facts(spark, sf_dir))
+    quarters = _quarters(spark, sf_dir)
+    return delta.backfill_plan(frames.disk_manifest(quarters), loaded_facts(spark, sf_dir, quarters))
 
 
 @query(
@@ -294,8 +296,9 @@ def backfill_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    loaded = loaded_facts(spark, sf_dir).select(*_FACT)
-    return delta.backfill(loaded, _manifest(spark, sf_dir), reloaded_facts(spark, sf_dir))
+    quarters = _quarters(spark, sf_dir)
+    loaded = loaded_facts(spark, sf_dir, quarters).select(*_FACT)
+    return delta.backfill(loaded, frames.disk_manifest(quarters), reloaded_facts(spark, sf_dir, quarters))
 
 
 @query(
