@@ -11,21 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.periods import DATE_FORMS, FIRST_YEAR, LAST_YEAR, period_date, period_form, period_span, period_text
+from ..plans.lookup import distinct_codes, join_lookup
 from ..session import stored
 
 
-def series_forms(df: DataFrame, keys: list[str], pos: str | None = None) -> DataFrame:
-    """One row per table: the form of its first non-null code.
+def series_forms(codes: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per table: the form of its first non-null code, from its distinct codes.
 
-    Without a position column the smallest code stands in for the first, so the
-    answer does not depend on how rows are spread over partitions.
+    Without positions the smallest code stands in for the first, so the answer
+    does not depend on how rows are spread over partitions.
     """
     code = F.col("tid").cast("string")
-    if pos is None:
+    if "_pos" not in codes.columns:
         first = F.min(code)
     else:
-        first = F.min(F.when(code.isNotNull(), F.struct(F.col(pos).alias("p"), code.alias("c"))))["c"]
-    if isinstance(df.schema["tid"].dataType, T.IntegralType):
+        first = F.min(F.when(code.isNotNull(), F.struct(F.col("_pos").alias("p"), code.alias("c"))))["c"]
+    if isinstance(codes.schema["tid"].dataType, T.IntegralType):
         year = first.try_cast("bigint")
         form = F.when((year > FIRST_YEAR) & (year < LAST_YEAR), "year").otherwise(
             F.raise_error(F.lit("Not a year column")).cast("string")
@@ -33,34 +34,38 @@ def series_forms(df: DataFrame, keys: list[str], pos: str | None = None) -> Data
         form = F.when(first.isNotNull(), form)
     else:
         form = period_form(first)
-    return df.groupBy(*keys).agg(form.alias("tid_form"))
+    return codes.groupBy(*keys).agg(form.alias("tid_form"))
 
 
-def clean_periods(
-    df: DataFrame, keys: list[str] | None = None, pos: str | None = None, strict: bool = True
-) -> DataFrame:
-    """Add ``tid_form, tid_date, tid_range, tid_text``; one form holds for a whole table.
-
-    A code that does not fit its table's form ends the query in strict mode;
-    otherwise the row is kept with ``tid_rejected`` true.
-    """
-    keys = ["table_id"] if keys is None else keys
-    forms = series_forms(df, keys, pos)
-    if keys:
-        # one row per table, decided before the rows are touched
-        joined = df.join(stored(forms, "forms"), keys, "left")
-    else:
-        joined = df.withColumn("tid_form", forms.scalar())
+def period_lookup(codes: DataFrame, keys: list[str], strict: bool) -> DataFrame:
+    """Every distinct code with its form, date, range and stored text."""
+    forms = series_forms(codes, keys)
+    joined = codes.join(forms, keys, "left") if keys else codes.withColumn("tid_form", forms.scalar())
     code, form = F.col("tid").cast("string"), F.col("tid_form")
     parsed = joined.withColumns({"tid_date": period_date(code, form), "tid_range": period_span(code, form)})
-    # named columns from here on, so the parsing is evaluated once per row
     day, span = F.col("tid_date"), F.col("tid_range")
     bad = code.isNotNull() & ((form.isin(*DATE_FORMS) & day.isNull()) | ((form == "span") & span.isNull()))
     text = period_text(code, form, day, span)
     if not strict:
-        return parsed.withColumns({"tid_text": text, "tid_rejected": F.coalesce(bad, F.lit(False))})
-    message = F.concat(F.lit("period "), code, F.lit(" does not fit form "), form)
-    return parsed.withColumn("tid_text", F.when(bad, F.raise_error(message).cast("string")).otherwise(text))
+        out = parsed.withColumns({"tid_text": text, "tid_rejected": F.coalesce(bad, F.lit(False))})
+    else:
+        message = F.concat(F.lit("period "), code, F.lit(" does not fit form "), form)
+        out = parsed.withColumn("tid_text", F.when(bad, F.raise_error(message).cast("string")).otherwise(text))
+    return out.drop("_pos")
+
+
+def clean_periods(
+    df: DataFrame, keys: list[str] | None = None, pos: str | None = None, strict: bool = True
+) -> DataFrame:
+    """Add ``tid_form, tid_date, tid_range, tid_text``; one form holds for a whole table.
+
+    A code that does not fit its table's form raises in strict mode; otherwise
+    the row is kept with ``tid_rejected`` true. Codes are read once per distinct
+    code; the rows only look them up.
+    """
+    on = [*(["table_id"] if keys is None else keys), "tid"]
+    codes = stored(distinct_codes(df, on, pos), "codes")
+    return join_lookup(df, stored(period_lookup(codes, on[:-1], strict), "periods"), on)
 
 
 def normalize_periods(changed: DataFrame) -> DataFrame:
