@@ -29,7 +29,7 @@ def series_forms(codes: DataFrame, keys: list[str]) -> DataFrame:
     if isinstance(codes.schema["tid"].dataType, T.IntegralType):
         year = first.try_cast("bigint")
         form = F.when((year > FIRST_YEAR) & (year < LAST_YEAR), "year").otherwise(
-            F.raise_error(F.lit("Not a year column")).cast("string")
+            F.raise_error(F.concat(F.lit("not a year: "), F.coalesce(first, F.lit("null")))).cast("string")
         )
         form = F.when(first.isNotNull(), form)
     else:

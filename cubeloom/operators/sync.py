@@ -89,8 +89,8 @@ def metadata_periods(meta: DataFrame) -> DataFrame:
 def metadata_problems(meta: DataFrame) -> DataFrame:
     """Tables whose description has no period variable, or one without values."""
     found = F.filter("variables", _is_period)
-    message = F.when(F.size(found) == 0, "Table has no Tid variable").when(
-        F.coalesce(F.size(F.get(found, F.lit(0))["values"]), F.lit(0)) <= 0, "Tid has no values"
+    message = F.when(F.size(found) == 0, "no period variable").when(
+        F.coalesce(F.size(F.get(found, F.lit(0))["values"]), F.lit(0)) <= 0, "no period values"
     )
     return meta.select("table_id", message.alias("message")).where(F.col("message").isNotNull())
 

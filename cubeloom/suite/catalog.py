@@ -77,7 +77,7 @@ def column_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("column_lookup_fuzzy")
 def column_lookup_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = dims_clean(spark, sf_dir).where(F.col("dim_id") == "kn")
+    tree = dims_clean(spark, sf_dir, "kn")
     return catalog.column_lookup(tree, n=5, query="smal rign")
 
 

@@ -107,8 +107,10 @@ def derive_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("dim_id", "sekvens", "kode", "niveau", "parent_kode")
 
 
-def dims_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dims.process_dim(frames.dims_raw(spark, sf_dir), levels=3)
+def dims_clean(spark: SparkSession, sf_dir: str, dim_id: str | None = None) -> DataFrame:
+    """All classifications cleaned, or one of them."""
+    raw = frames.dims_raw(spark, sf_dir)
+    return dims.process_dim(raw if dim_id is None else raw.where(F.col("dim_id") == dim_id), levels=3)
 
 
 @query(

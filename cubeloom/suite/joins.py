@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.periods import contains_point, parse_range_text, range_text
 from ..operators import delta, dims, joins
 from ..sources.links import parse_links
-from ..session import cut_lineage
+from ..session import stored
 from . import frames
 from ._registry import query
 from .cleaning import dims_clean
@@ -53,7 +53,7 @@ def hierarchy_rollup_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.concat_ws(".", "p_type", F.lpad(F.col("b").cast("string"), 2, "0"), F.col("p_partkey").cast("string"))
     coded = per_part.join(tree.select("p_partkey", code.alias("vare")), F.col("l_partkey") == F.col("p_partkey"))
     # stored before it is climbed, as a loaded classification is
-    tree_dim = cut_lineage(dims_clean(spark, sf_dir).where(F.col("dim_id") == "prod"))
+    tree_dim = stored(dims_clean(spark, sf_dir, "prod"), "tree")
     return dims.hierarchy_rollup(coded.select("vare", "indhold"), tree_dim, "vare", 3, 1).select("kode", "titel", dbl("indhold"))
 
 
@@ -70,7 +70,7 @@ def hierarchy_rollup_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def ancestor_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dims.ancestor_closure(cut_lineage(dims_clean(spark, sf_dir)), levels=3)
+    return dims.ancestor_closure(stored(dims_clean(spark, sf_dir), "dims"), levels=3)
 
 
 @query(

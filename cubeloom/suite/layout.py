@@ -156,7 +156,7 @@ def load_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT CAST(kode AS BIGINT) AS kode, CAST(niveau AS SMALLINT) AS niveau, titel, CAST(parent_kode AS BIGINT) AS parent_kode FROM dims_clean WHERE dim_id = 'kn'",
 )
 def load_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = dims_clean(spark, sf_dir).where(F.col("dim_id") == "kn")
+    tree = dims_clean(spark, sf_dir, "kn")
     number = {"kode": F.col("kode").cast("bigint"), "parent_kode": F.col("parent_kode").cast("bigint")}
     return tables.load_dim(tree.withColumns(number), scratch_path(spark, "dim"))
 

@@ -119,7 +119,7 @@ def test_cells_and_distinct_values(spark, rows):
 
 def test_subject_tree(spark, rows):
     nodes = spark.createDataFrame(
-        [("0", None, "DST", None), ("1", "0", "Borgere Her", None), ("2", "1", "Befolkning", None), ("3", "2", "Tal", ["A1", "A2"]), ("4", "1", "Tom", []), ("5", "0", "Leaf", ["B"]),
+        [("0", None, "Root Bank", None), ("1", "0", "Borgere Her", None), ("2", "1", "Befolkning", None), ("3", "2", "Tal", ["A1", "A2"]), ("4", "1", "Tom", []), ("5", "0", "Leaf", ["B"]),
          ("6", "2", "Inner", ["X"]), ("7", "6", "Deep", ["C"])],
         "id string, parent_id string, description string, tables array<string>",
     )

@@ -89,8 +89,8 @@ def test_typed_load(spark, tmp_path):
 
 
 def test_pending_tables(spark, rows):
-    have = spark.createDataFrame([("FOLK1A",), ("INST11",)], "table_id string")
-    assert rows(tables.pending_tables(have, spark.createDataFrame([("folk1a",)], "table_id string"))) == [("inst11",)]
+    have = spark.createDataFrame([("TAB1A",), ("TAB2B",)], "table_id string")
+    assert rows(tables.pending_tables(have, spark.createDataFrame([("tab1a",)], "table_id string"))) == [("tab2b",)]
 
 
 def test_period_feed_replaces_as_files_arrive(spark, tmp_path, rows):
