@@ -9,6 +9,8 @@ window; the largest task holds one bucket or one group's bucket summaries.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,9 @@ def running(
             *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums],
             *[F.max(f"_t_{n}").over(before).alias(f"_c_{n}") for n in lasts],
         )
+    # a group of one bucket has nothing to carry, so only long groups have rows here
+    carries = reduce(lambda x, y: x | y, [F.col(f"_c_{n}").isNotNull() for n in (*sums, *lasts)])
+    carried = carried.where(carries)
     inside = (
         Window.partitionBy(*keys, slot)
         .orderBy(*order)

@@ -110,3 +110,39 @@ def test_summary_of_many_final_texts(spark):
     summary = trace.turn_summary(trace.trace_events(log, ["conv"]), ["conv"]).first()
     joined = " ".join(f"w{i}" for i in range(200))
     assert summary.final_text == joined[:120] + "..." and summary.user_text == "_None_" and summary.tools is None
+
+
+@pytest.mark.parametrize("width", [1, 3])
+def test_one_long_log_in_many_buckets(spark, monkeypatch, width):
+    rnd = random.Random(width)
+    messages = []
+    for i in range(40):
+        call = rnd.choice("abc")
+        if rnd.random() < 0.5:
+            messages.append(("response", "stop" if rnd.random() < 0.3 else None, "m", [("text", f"t{i}", None, None), ("tool_call", None, "Sql", call)]))
+        elif rnd.random() < 0.5:
+            messages.append(("request", None, None, [("tool_return", f"r{i}", "Sql", call)]))
+        else:
+            messages.append(("request", None, None, [("user_prompt", f"u{i}", None, None)]))
+    _, whole = events(spark, messages)
+    monkeypatch.setattr(trace, "MESSAGES_PER_BUCKET", width)
+    _, cut = events(spark, messages)
+    assert cut == whole
+    # the rule itself, one message after another
+    step = seq = 0
+    calls, want = {}, []
+    for kind, _, _, parts in messages:
+        step += kind == "response"
+        for part, text, _, call in parts:
+            if part == "tool_call":
+                seq += 1
+                calls[call] = (seq, step)
+                want.append(("tool_call", seq, step))
+            elif part == "tool_return":
+                got = calls.get(call, (None, step or None))
+                want.append(("tool_return", *got))
+            elif part == "text":
+                want.append(("assistant_text", None, step))
+            else:
+                want.append(("user", None, None))
+    assert [(e.kind, e.call_seq, e.step_idx) for e in whole] == want
