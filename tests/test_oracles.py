@@ -8,9 +8,10 @@ import pytest
 
 from diff import DATA, compare, duck
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from cubeloom.suite import all_oracles, all_queries
 
-QUERIES, SQL = queries(), oracle_sql()
+QUERIES, SQL = all_queries(), all_oracles()
 # a hint on a result of n rows per query string
 BOUNDED = {"fuzzy_lookup", "column_lookup_fuzzy"}
 UNWANTED = ("CartesianProduct", "NestedLoop", "BroadcastHashJoin", "BatchEvalPython")
