@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
-from . import packing, ring, token_store
+from ..session import scratch_path, stored
+from . import nbsvm, packing, quality_rules, ring, token_store, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,27 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = stored(quality_rules.measure(table(spark, sf_dir, "documents")), "measured")
+    told = quality_rules.judge(measured, quality_rules.fit(measured))
+    return told.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
+    )
+
+
+RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query
+def op4_redirect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    return url_rules.judge(table(spark, sf_dir, "pages"), rules)
+
+
 @query
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-store")
@@ -39,11 +60,36 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.documents(spark, path, vocabulary())
 
 
+@query
+def op6_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = nbsvm.fit(docs, labels.where(~held_out), "quality")
+    scored = nbsvm.score(docs, model)
+    return scored.select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+#: Toxic junk, toxic prose, and toxic of either kind.
+CHAIN = ["toxic_junk", "toxic_prose", "toxic"]
+
+
+@query
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    bad, good = F.col("toxic") * (1 - F.col("quality")), F.col("toxic") * F.col("quality")
+    labels = table(spark, sf_dir, "labels").select("doc_id", bad.alias("toxic_junk"), good.alias("toxic_prose"), "toxic")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels, CHAIN), CHAIN)
+    return scored.select("*", F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
 @query
 def op10_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = ring.shard(table(spark, sf_dir, "documents"))
