@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, stored
-from . import nbsvm, packing, quality_rules, ring, token_store, toxicity, url_rules
+from . import nbsvm, packing, quality_rules, ring, substrings, token_store, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +72,12 @@ def op6_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_relative_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup(table(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
