@@ -36,6 +36,8 @@ SIZES = (8, 16, 24)
 NEIGHBOURS = 5
 #: Different walks, and places of an embedding that one hash takes.
 WALKS, PLACES = 4, 4
+#: A hash goes into the index if it took so many different words of at least so many bytes; others meet by chance.
+TELLING, LONG = 2, 5
 #: Text of the items in one index.
 BLOCK_BYTES = 16 << 20
 #: Size of the table that passes over most hashes no item has, as a power of two.
@@ -77,17 +79,17 @@ def embed(hashed: np.ndarray, start: np.ndarray, end: np.ndarray, walk: int) ->
     return out
 
 
-def keys(hashed: np.ndarray, start: np.ndarray, end: np.ndarray, times: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Window size and one hash of each window, for all sizes and repetitions."""
+def keys(hashed: np.ndarray, start: np.ndarray, end: np.ndarray, times: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Window size, one hash of each window and the words it took, for all sizes and repetitions."""
     for walk in range(WALKS):
         written = embed(hashed, start, end, walk)
         for size in SIZES:
             for turn in range(walk, times, WALKS):
                 places = np.random.default_rng((size, turn)).choice(_STEPS[size], PLACES, replace=False)
                 key = np.full(len(start), size * 1000 + turn, np.uint64)
-                for place in np.sort(places):
+                for place in places:
                     key = W.combine(key, written[place])
-                yield size, key
+                yield size, key, written[places]
 
 
 def edits(item: str, text: str) -> int:
@@ -136,10 +138,16 @@ def index(items: list[tuple[int, str | None]], recall: float, rate: float) -> In
     owner = w.text[start]
     end = w.first[owner + 1]
     found = []
-    for size, key in keys(hashed, start, end, times):
-        fits = end - start >= size
-        found.append((key[fits], owner[fits], (start - w.first[owner])[fits]))
-    key, item, word = (np.concatenate([f[k] for f in found]) for k in range(3))
+    long = np.unique(hashed[w.end - w.start >= LONG])
+    for size, key, took in keys(hashed, start, end, times):
+        took = np.sort(took, axis=0)
+        telling = (np.diff(took, axis=0, prepend=0) != 0) & np.isin(took, long)
+        fits = (end - start >= size) & (took != 0).all(axis=0)
+        found.append((key[fits], owner[fits], (start - w.first[owner])[fits], telling.sum(axis=0)[fits] >= TELLING))
+    key, item, word, good = (np.concatenate([f[k] for f in found]) for k in range(4))
+    # an item of few different words goes in with all its hashes
+    good |= np.bincount(item, good, len(items))[item] < times
+    key, item, word = key[good], item[good], word[good]
     order = np.argsort(key, kind="stable")
     seen = np.zeros(1 << _FILTER, bool)
     seen[(key >> np.uint64(64 - _FILTER)).astype(np.int64)] = True
@@ -160,7 +168,7 @@ def search(texts: list[bytes | None], ix: Index) -> list[tuple[int, int, int]]:
     owner = w.text[start]
     end = w.first[owner + 1]
     met = []
-    for _, key in keys(hashed, start, end, ix.times):
+    for _, key, _ in keys(hashed, start, end, ix.times):
         maybe = np.flatnonzero(ix.seen[(key >> np.uint64(64 - _FILTER)).astype(np.int64)])
         low, high = (np.searchsorted(ix.key, key[maybe], side=s) for s in ("left", "right"))
         window, at = np.repeat(maybe, high - low), W.spread(low, high - low)
@@ -195,8 +203,8 @@ def blocks(items: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
 def matches(docs: DataFrame, items: DataFrame, recall: float = 0.99, rate: float = 0.2) -> DataFrame:
     """``doc_id, item_id, edits`` for each document and each item it holds.
 
-    ``recall`` is aimed at for copies with a tenth of the words edited; exact
-    copies are always found. Null texts hold nothing; null items and items under
+    ``recall`` is aimed at for copies with a tenth of the words edited; an exact
+    copy shares every hash. Null texts hold nothing; null items and items under
     eight words are found nowhere; rows that share an id count as one document;
     empty tables give no rows.
     """
