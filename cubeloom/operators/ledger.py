@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import stored
 
 USAGE_COUNTS = ["requests", "input_tokens", "cache_write_tokens", "cache_read_tokens", "output_tokens"]
-SMALL_REST = 100_000  # undecided credits that one task may settle, by count
 
 
 def charge_amounts(usage: DataFrame, rate: Column) -> DataFrame:
@@ -27,48 +25,36 @@ def post_once(charges: DataFrame, key: str, order: list[str]) -> DataFrame:
     return charges.groupBy(key).agg(first).select(key, F.col("_first._row.*"))
 
 
-def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("_o")
-    first, second, keep = set(), set(), []
-    for a, b in zip(pdf["_a"], pdf["_b"]):
-        new = a not in first and b not in second
-        keep.append(new)
-        if new:
-            first.add(a)
-            second.add(b)
-    return pdf.loc[keep, ["_a", "_b", "_o"]]
-
-
-def accepted_credits(
-    credits: DataFrame, keys: tuple[str, str], order: str, small_rest: int = SMALL_REST
-) -> DataFrame:
+def accepted_credits(credits: DataFrame, keys: tuple[str, str], order: str) -> DataFrame:
     """Credits taken in order, each refused if an accepted one shares either key.
 
     A refused credit blocks nothing, so this is no plain "first per key". In each
     round a credit that is the earliest left at both of its keys is accepted and
     what shares a key with it is refused; the rest goes on. The result is that
     of the sequential rule. Rounds work on minima per key, so a key that holds
-    many credits costs no more than others. A rest small enough by count is
-    settled in one task. ``order`` is unique.
+    many credits costs no more than others. Where each credit depends on the one
+    before, a chain of n credits takes n / 2 rounds by the nature of the rule.
+    A null key is shared with nobody. ``order`` is unique.
     """
     first, second = keys
+    named = credits.select(F.col(first).alias("_a"), F.col(second).alias("_b"), F.col(order).alias("_o"))
+    free = named.where("_a is null and _b is null").select("_o")
     # of credits with the same two keys only the earliest can be accepted
-    left = cut_lineage(
-        credits.groupBy(F.col(first).alias("_a"), F.col(second).alias("_b")).agg(F.min(order).alias("_o"))
-    )
-    accepted = None
+    left = named.where("_a is not null or _b is not null").groupBy("_a", "_b").agg(F.min("_o").alias("_o"))
+    accepted = free
     while True:
-        remaining = left.count()
-        if remaining <= small_rest:
-            settled = left.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(_settle, left.schema)
-            accepted = settled if accepted is None else accepted.unionByName(settled)
+        left = stored(left, "credits")
+        low_a = left.where("_a is not null").groupBy("_a").agg(F.min("_o").alias("_low_a"))
+        low_b = left.where("_b is not null").groupBy("_b").agg(F.min("_o").alias("_low_b"))
+        earliest = F.coalesce(F.col("_o") == F.col("_low_a"), F.lit(True)) & F.coalesce(F.col("_o") == F.col("_low_b"), F.lit(True))
+        marked = left.join(low_a, "_a", "left").join(low_b, "_b", "left").select("_a", "_b", "_o", earliest.alias("_won"))
+        marked = stored(marked, "round")
+        won, lost = marked.where("_won"), marked.where("not _won")
+        accepted = accepted.unionByName(won.select("_o"))
+        if lost.isEmpty():
             break
-        low_a = left.groupBy("_a").agg(F.min("_o").alias("_low_a"))
-        low_b = left.groupBy("_b").agg(F.min("_o").alias("_low_b"))
-        earliest = (F.col("_o") == F.col("_low_a")) & (F.col("_o") == F.col("_low_b"))
-        won = cut_lineage(left.join(low_a, "_a").join(low_b, "_b").where(earliest).select("_a", "_b", "_o"))
-        accepted = won if accepted is None else accepted.unionByName(won)
-        left = cut_lineage(left.join(won.select("_a"), "_a", "left_anti").join(won.select("_b"), "_b", "left_anti"))
+        left = lost.join(won.select("_a").distinct(), "_a", "left_anti").join(won.select("_b").distinct(), "_b", "left_anti")
+        left = left.select("_a", "_b", "_o")
     return credits.join(accepted.select(F.col("_o").alias(order)), order, "left_semi")
 
 

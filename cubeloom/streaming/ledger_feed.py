@@ -2,23 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.ledger import post_once
 
-def post_charges(charges: DataFrame, path: str, checkpoint: str, late: str = "7 days") -> StreamingQuery:
-    """Run what has arrived and stop; retries of a key within ``late`` are dropped.
+#: Keys are stored in the order of this many hash buckets, so that a look-up passes over row groups without its own.
+BUCKETS = 64
 
-    Each batch owns its directory and overwrites it when run again, so a failure
-    between write and commit posts nothing twice.
+
+def _posted(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None  # nothing was posted yet
+
+
+def post_charges(charges: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Run what has arrived and stop; the first row of each key is posted, however late a retry comes.
+
+    A batch leaves out the keys that other batches have posted, so no state
+    expires and no first arrival is too old. Each batch owns its directory and
+    overwrites it when run again, so a failure between write and commit posts
+    nothing twice.
     """
-    once = charges.withWatermark("ts", late).dropDuplicatesWithinWatermark(["charge_key"])
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/batch={batch_id}")
+        once = post_once(batch, "charge_key", ["ts"]).withColumn("bucket", F.pmod(F.xxhash64("charge_key"), F.lit(BUCKETS)).cast("int"))
+        posted = _posted(batch.sparkSession, path)
+        if posted is not None:
+            touched = [r["bucket"] for r in once.select("bucket").distinct().collect()]  # at most BUCKETS
+            known = posted.where((F.col("batch") != batch_id) & F.col("bucket").isin(touched)).select("bucket", "charge_key")
+            once = once.join(known, ["bucket", "charge_key"], "left_anti")
+        whole = once.sortWithinPartitions("bucket").write.mode("overwrite").option("partitionOverwriteMode", "static")
+        whole.parquet(f"{path}/batch={batch_id}")
 
     return (
-        once.writeStream.foreachBatch(append)
+        charges.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -19,7 +19,7 @@ from .views import view
 RATE = Decimal("7.5")
 
 view("charge_log", """
-SELECT event_id % 9000 AS charge_key, event_id, user_id, ts, CAST(value / 100 AS DECIMAL(18,8)) AS usd_cost,
+SELECT event_id // 2 AS charge_key, event_id, user_id, ts, CAST(value / 100 AS DECIMAL(18,8)) AS usd_cost,
        CAST(event_id % 3 AS BIGINT) AS requests, CAST(FLOOR(value) AS BIGINT) AS input_tokens
 FROM events WHERE event_type <> 'purchase'
 """)
@@ -33,7 +33,7 @@ SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY charge_key ORDER BY ts,
 """)
 
 view("credit_rows", """
-SELECT event_id, user_id, CAST(value AS DECIMAL(12,2)) AS amount, 'cs' || (event_id * 7 % 1600) AS session_key, 'ev' || (event_id % 1900) AS event_key,
+SELECT event_id, user_id, CAST(value AS DECIMAL(12,2)) AS amount, 'cs' || user_id || '-' || (DAY(ts) // 5) AS session_key, 'ev' || (event_id // 7) AS event_key,
        ROW_NUMBER() OVER (ORDER BY event_id) AS rn
 FROM events WHERE event_type = 'purchase'
 """)
@@ -43,7 +43,7 @@ def charge_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage rows with repeated keys, from all events but purchases."""
     key = F.col("event_id")
     return frames.table(spark, sf_dir, "events").where(F.col("event_type") != "purchase").select(
-        (key % 9000).alias("charge_key"), "event_id", "user_id", "ts",
+        F.floor(key / 2).alias("charge_key"), "event_id", "user_id", "ts",
         (F.col("value") / 100).cast("decimal(18,8)").alias("usd_cost"),
         (key % 3).alias("requests"), F.floor("value").cast("bigint").alias("input_tokens"),
     )
@@ -54,8 +54,8 @@ def credit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("event_id")
     return frames.table(spark, sf_dir, "events").where(F.col("event_type") == "purchase").select(
         "event_id", "user_id", F.col("value").cast("decimal(12,2)").alias("amount"),
-        F.concat(F.lit("cs"), (key * 7 % 1600).cast("string")).alias("session_key"),
-        F.concat(F.lit("ev"), (key % 1900).cast("string")).alias("event_key"),
+        F.concat(F.lit("cs"), "user_id", F.lit("-"), F.floor(F.dayofmonth("ts") / 5)).alias("session_key"),
+        F.concat(F.lit("ev"), F.floor(key / 7)).alias("event_key"),
     )
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cubeloom.operators import ledger, trace
+from cubeloom.streaming.ledger_feed import post_charges
 
 RATE = Decimal("7.5")
 
@@ -24,8 +25,8 @@ CREDIT = "arrival int, session string, event string"
 
 def _sequential(data):
     a, b, taken = set(), set(), []
-    for order, s, e in sorted(data):
-        if s not in a and e not in b:
+    for order, s, e in sorted(data, key=lambda c: c[0]):
+        if (s is None or s not in a) and (e is None or e not in b):
             a.add(s), b.add(e), taken.append(order)
     return taken
 
@@ -36,15 +37,40 @@ def test_refused_credit_blocks_nothing(spark, rows):
     assert rows(got, "arrival") == [(1,), (3,)]
 
 
-@pytest.mark.parametrize("small_rest", [0, 100])
 @pytest.mark.parametrize("seed", range(2))
-def test_credits_equal_the_sequential_rule(spark, rows, seed, small_rest):
+def test_credits_equal_the_sequential_rule(spark, rows, seed):
     rnd = random.Random(seed)
     data = [(i, "hot" if rnd.random() < 0.35 else f"k{rnd.randint(0, 60)}", f"s{rnd.randint(0, 60)}") for i in range(200)]
-    got = ledger.accepted_credits(spark.createDataFrame(data, CREDIT), ("session", "event"), "arrival", small_rest)
+    got = ledger.accepted_credits(spark.createDataFrame(data, CREDIT), ("session", "event"), "arrival")
     assert [r[0] for r in sorted(got.select("arrival").collect())] == _sequential(data)
 
 
+def test_null_keys_block_nothing(spark):
+    data = [(1, "a", None), (2, None, None), (3, "b", None), (4, "a", "x"), (5, None, "x"), (6, None, "x"), (7, None, None), (8, "a", None)]
+    got = ledger.accepted_credits(spark.createDataFrame(data, CREDIT), ("session", "event"), "arrival")
+    assert sorted(r["arrival"] for r in got.collect()) == _sequential(data) == [1, 2, 3, 5, 7]
+
+
+def test_long_chain(spark):
+    data = [(i, f"k{(i + 1) // 2}", f"s{i // 2}") for i in range(100)]
+    got = ledger.accepted_credits(spark.createDataFrame(data, CREDIT), ("session", "event"), "arrival")
+    assert sorted(r["arrival"] for r in got.collect()) == _sequential(data) == list(range(0, 100, 2))
+
+
+def test_stream_keeps_old_stamps_and_drops_late_retries(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    inbox, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    schema = "charge_key bigint, ts timestamp, amount int"
+    runs = [[(1, 100, 10)], [(2, 1, 20), (1, 300, 11)], [(3, 200, 30), (3, 199, 31)], [(1, 365, 12), (4, 360, 40)], [(2, 2, 21)]]
+    for batch in runs:
+        days = [(k, datetime(2024, 1, 1) + timedelta(days=d), a) for k, d, a in batch]
+        spark.createDataFrame(days, schema).write.mode("append").parquet(inbox)
+        post_charges(spark.readStream.schema(schema).parquet(inbox), out, ckpt).awaitTermination()
+    got = sorted((r["charge_key"], r["amount"]) for r in spark.read.parquet(out).collect())
+    assert got == [(1, 10), (2, 20), (3, 31), (4, 40)]
+
+
 def test_balances(spark, rows):
     charges = spark.createDataFrame([(1, Decimal("5.00")), (2, Decimal("1.00"))], "user_id int, amount decimal(12,2)")
     credits = spark.createDataFrame([(1, Decimal("5.00")), (3, Decimal("2.00"))], "user_id int, amount decimal(12,2)")
