@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import plain_name_column
 from ..session import cut_lineage, stored
 from .dims import ancestor_closure, observed_levels
-from .joins import dim_values_for_table, join_text
+from .joins import STORED_TYPES, dim_values_for_table, spark_family, stored_type
 from .search import fuzzy_top
 
 INTEGER_TYPES = ("integer", "smallint", "bigint")
@@ -30,12 +30,13 @@ def column_values(meta: DataFrame) -> DataFrame:
 
 
 def write_column_values(values: DataFrame, path: str) -> None:
-    """Code lists on disk, one directory per table and column."""
+    """Code lists on disk, one directory per table; a table's new lists replace all its old ones."""
     (
-        values.hint("rebalance", "table_id", "column_name")
+        values.hint("rebalance", "table_id")
+        .sortWithinPartitions("table_id", "column_name")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("table_id", "column_name")
+        .partitionBy("table_id")
         .parquet(path)
     )
 
@@ -100,22 +101,15 @@ def typed_value_map(values: DataFrame, types: DataFrame, linked: DataFrame | Non
     )
 
 
-def _join_text_column(fact_type: Column, dim_type: Column, columns: Column) -> Column:
+def _join_text_column(fact_type: Column, dim_type: Column, column: Column) -> Column:
     """``join_text`` for types held as data."""
-    families = {"text": "text", "numeric": "integer", "other": "date"}
+    families = F.create_map(*[F.lit(x) for name in STORED_TYPES for x in (name, spark_family(stored_type(name)))])
+    kinds = [F.coalesce(families[F.lower(F.trim(F.regexp_replace(t, r"\(.*\)", "")))], F.lit("other")) for t in (fact_type, dim_type)]
 
-    def family(c: Column) -> Column:
-        text = c.contains("character") | c.contains("varchar") | c.contains("text")
-        return F.when(text, "text").when(c.isin(*INTEGER_TYPES, *FLOAT_TYPES), "numeric").otherwise("other")
+    def cast(kind: Column, partner: Column) -> Column:
+        return F.when((kind != partner) & (kind != "text"), "::text").otherwise("")
 
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for left, left_type in families.items():
-        for right, right_type in families.items():
-            pattern = join_text("@", left_type, right_type)
-            out = out.when(
-                (family(fact_type) == left) & (family(dim_type) == right), F.replace(F.lit(pattern), F.lit("@"), columns)
-            )
-    return out
+    return F.concat(column, cast(*kinds), F.lit("=kode"), cast(*kinds[::-1]))
 
 
 def table_profile(
@@ -151,28 +145,27 @@ def table_profile(
     )
 
 
-def subject_paths(nodes: DataFrame, root: str, max_depth: int = 32) -> DataFrame:
+def subject_paths(nodes: DataFrame, tables: DataFrame, root: str) -> DataFrame:
     """``(path, table_id)`` of every leaf that has tables, below ``root``.
 
-    ``nodes`` is ``(id, parent_id, description, tables)``. One join per level of
-    the tree, until a level is empty; the root's own name is not in the path.
+    ``nodes`` is ``(id, parent_id, description)``, ``tables`` is ``(id, table_id)``.
+    One join per level of the tree, until a level is empty; a node met before is
+    not entered again. The root's own name is not in the path.
     """
     name = F.replace(F.lower("description"), F.lit(" "), F.lit("_"))
-    tree = nodes.select("id", "parent_id", name.alias("part"), "tables")
+    tree = nodes.select("id", "parent_id", name.alias("part"))
     parents = tree.select(F.col("parent_id").alias("id")).where(F.col("id").isNotNull()).distinct()
     level = tree.where(F.col("parent_id") == root).withColumn("path", F.col("part"))
     found = None
-    for _ in range(max_depth):
+    while True:
         found = level if found is None else found.unionByName(level)
         above = level.select(F.col("id").alias("parent_id"), F.col("path").alias("_up"))
         below = tree.join(above, "parent_id").withColumn("path", F.concat_ws("/", "_up", "part"))
-        level = cut_lineage(below.select(*found.columns))
+        level = cut_lineage(below.join(found.select("id"), "id", "left_anti").select(*found.columns))
         if level.isEmpty():
             break
-    else:
-        raise ValueError(f"subject tree is deeper than {max_depth} levels")
-    leaves = found.join(parents, "id", "left_anti").where(F.size("tables") > 0)
-    return leaves.select("path", F.explode("tables").alias("table_id"))
+    leaves = found.join(parents, "id", "left_anti")
+    return leaves.join(tables, "id").select("path", "table_id")
 
 
 def subject_listing(paths: DataFrame) -> DataFrame:
@@ -183,7 +176,7 @@ def subject_listing(paths: DataFrame) -> DataFrame:
 
 
 def level1_coverage(
-    used: DataFrame, dims: DataFrame, links: DataFrame, subjects: DataFrame, levels: int | None = None
+    used: DataFrame, dims: DataFrame, links: DataFrame, subjects: DataFrame
 ) -> DataFrame:
     """Top categories each table of a subject covers.
 
@@ -191,7 +184,7 @@ def level1_coverage(
     covers on that classification; ``covered`` tells where tables differ.
     """
     code = dims.withColumn("kode", F.col("kode").cast("string")).withColumn("parent_kode", F.col("parent_kode").cast("string"))
-    tops = ancestor_closure(code, levels).where(F.col("ancestor_niveau") == 1).select("dim_id", "kode", F.col("ancestor_kode").alias("top"))
+    tops = ancestor_closure(code).where(F.col("ancestor_niveau") == 1).select("dim_id", "kode", F.col("ancestor_kode").alias("top"))
     covers = stored(
         used.join(links.select("table_id", "column_name", "dim_id"), ["table_id", "column_name"])
         .select("table_id", "dim_id", F.col("id").alias("kode"))

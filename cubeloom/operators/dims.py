@@ -38,7 +38,7 @@ def dim_code_to_int(dims: DataFrame) -> DataFrame:
     return dims.join(stored(code_decision(dims), "codes"), "dim_id").withColumn("kode_int", F.when(F.col("kode_is_int"), number))
 
 
-def derive_parents(dims: DataFrame, levels: int | None = None, bucket_width: int = BUCKET_ROWS) -> DataFrame:
+def derive_parents(dims: DataFrame, bucket_width: int = BUCKET_ROWS) -> DataFrame:
     """Parent of each row from traversal order.
 
     It is the nearest earlier row one level up, unless a row of a still higher
@@ -46,8 +46,7 @@ def derive_parents(dims: DataFrame, levels: int | None = None, bucket_width: int
     ``bucket_width`` is the stretch of ``sekvens`` handled by one task; the
     numbers may have gaps.
     """
-    if levels is None:
-        levels = dims.agg(F.max("niveau")).first()[0] or 1
+    levels = dims.agg(F.max("niveau")).first()[0] or 1
     seen = {
         f"_l{n}": F.when(F.col("niveau") == n, F.struct("sekvens", "kode")) for n in range(1, int(levels))
     }
@@ -69,7 +68,6 @@ def derive_parents(dims: DataFrame, levels: int | None = None, bucket_width: int
 def process_dim(
     dims: DataFrame,
     drop_level_one: tuple[str, ...] = (),
-    levels: int | None = None,
     bucket_width: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Names, codes, parents, then ``kode, niveau, titel, parent_kode``; rows without a code go last.
@@ -87,7 +85,7 @@ def process_dim(
     else:
         coded = df.withColumn("kode_is_int", F.lit(True)).withColumn("kode", F.col("kode").cast("string"))
     return (
-        derive_parents(coded, levels, bucket_width)
+        derive_parents(coded, bucket_width)
         .where(F.col("kode").isNotNull())
         .select("dim_id", *DIM_COLUMNS, "kode_is_int")
     )
@@ -101,15 +99,13 @@ def dim_key_choice(dims: DataFrame) -> DataFrame:
     )
 
 
-def ancestor_closure(dims: DataFrame, levels: int | None = None) -> DataFrame:
+def ancestor_closure(dims: DataFrame) -> DataFrame:
     """``(kode, niveau) -> every ancestor`` including itself at distance 0.
 
-    One join per level. The depth of a classification is small and known, so
-    the loop is bounded, and the level in the key keeps equal codes apart.
+    One join per level, until no row has a parent left. Each level is one up, so
+    the loop ends, and the level in the key keeps equal codes apart.
     """
-    if levels is None:
-        levels = dims.agg(F.max("niveau")).first()[0] or 1
-    nodes = dims.select("dim_id", "kode", "niveau", "parent_kode")
+    nodes = stored(dims.select("dim_id", "kode", "niveau", "parent_kode"), "nodes")
     up = nodes.select(
         "dim_id",
         F.col("kode").alias("ancestor_kode"),
@@ -121,13 +117,16 @@ def ancestor_closure(dims: DataFrame, levels: int | None = None) -> DataFrame:
         F.col("kode").alias("ancestor_kode"), F.col("niveau").alias("ancestor_niveau"), F.col("parent_kode").alias("_above"),
     )
     out = step
-    for _ in range(int(levels) - 1):
-        step = (
+    while True:
+        step = stored(
             step.where(F.col("_above").isNotNull())
             .select("dim_id", "kode", "niveau", F.col("_above").alias("ancestor_kode"), (F.col("ancestor_niveau") - 1).alias("ancestor_niveau"))
             .join(up, ["dim_id", "ancestor_kode", "ancestor_niveau"])
-            .select("dim_id", "kode", "niveau", "ancestor_kode", "ancestor_niveau", F.col("_next").alias("_above"))
+            .select("dim_id", "kode", "niveau", "ancestor_kode", "ancestor_niveau", F.col("_next").alias("_above")),
+            "ancestors",
         )
+        if step.isEmpty():
+            break
         out = out.unionByName(step)
     return out.drop("_above")
 

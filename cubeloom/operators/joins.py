@@ -7,50 +7,47 @@ shuffles otherwise. Keys are always plain equalities, so both ways are open.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.layers import layer_key
 from ..functions.periods import contains_point, overlaps
+from .clean import SPARK_TYPES
 
-# Stored type names by family.
-NUMERIC_TYPES = ("integer", "smallint", "bigint", "double precision", "numeric", "real")
-TEXT_MARKS = ("character", "varchar", "text")
+# Further stored type names beside those that a load gives.
+STORED_TYPES = {
+    **SPARK_TYPES, "varchar": "string", "character varying": "string", "character": "string", "numeric": "double", "real": "float",
+}
 
 
-def type_family(name: str | None) -> str:
-    name = (name or "").lower()
-    if any(mark in name for mark in TEXT_MARKS):
-        return "text"
-    return "numeric" if name in NUMERIC_TYPES else "other"
+def stored_type(name: str | None) -> T.DataType:
+    """Spark type of a stored type's name, its length or precision aside; unknown names give a null type."""
+    plain = re.sub(r"\(.*\)", "", name or "").strip().lower()
+    return T.DataType.fromDDL(STORED_TYPES[plain]) if plain in STORED_TYPES else T.NullType()
 
 
 def spark_family(kind: T.DataType) -> str:
+    """``text``, ``numeric`` or ``other``: types of one family are compared as they are."""
     if isinstance(kind, T.StringType):
         return "text"
     return "numeric" if isinstance(kind, T.NumericType) else "other"
 
 
-def _sides(left: str, right: str) -> tuple[bool, bool]:
-    """Which of the two sides must be compared as text."""
-    if left == right:
-        return False, False
-    if left == "text":
-        return False, True
-    if right == "text":
-        return True, False
-    return True, True
+def _as_text(kind: T.DataType, partner: T.DataType) -> bool:
+    """Whether a column must be cast to text to be compared with its partner."""
+    return spark_family(kind) not in (spark_family(partner), "text")
 
 
 def join_text(
     column: str, fact_type: str | None, dim_type: str | None, fact_alias: str = "", dim_alias: str = ""
 ) -> str:
     """The join condition as text, for the catalog."""
-    cast_fact, cast_dim = _sides(type_family(fact_type), type_family(dim_type))
-    left = f"{fact_alias}.{column}" if fact_alias else column
-    right = f"{dim_alias}.kode" if dim_alias else "kode"
-    return f"{left}{'::text' if cast_fact else ''}={right}{'::text' if cast_dim else ''}"
+    kinds = stored_type(fact_type), stored_type(dim_type)
+    sides = ((fact_alias, column, kinds), (dim_alias, "kode", kinds[::-1]))
+    return "=".join(".".join(filter(None, (alias, name))) + "::text" * _as_text(*pair) for alias, name, pair in sides)
 
 
 def typed_condition(facts: DataFrame, column: str, dims: DataFrame, key: str = "kode") -> Column:
@@ -59,11 +56,9 @@ def typed_condition(facts: DataFrame, column: str, dims: DataFrame, key: str = "
     The cast to text is explicit: left alone, Spark would cast text to a number
     and fail on codes such as ``TOT``.
     """
-    cast_fact, cast_dim = _sides(
-        spark_family(facts.schema[column].dataType), spark_family(dims.schema[key].dataType)
-    )
-    left, right = facts[column], dims[key]
-    return (left.cast("string") if cast_fact else left) == (right.cast("string") if cast_dim else right)
+    kinds = facts.schema[column].dataType, dims.schema[key].dataType
+    left = facts[column].cast("string") if _as_text(*kinds) else facts[column]
+    return left == (dims[key].cast("string") if _as_text(*kinds[::-1]) else dims[key])
 
 
 def join_dim(facts: DataFrame, dims: DataFrame, column: str, level: int | None = None, how: str = "inner") -> DataFrame:

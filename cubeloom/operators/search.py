@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import name_ratio, score
+from ..session import stored
 
 NAME_THRESHOLD = 0.7  # fixed value
-FEW_ROWS = 100_000
 
 
 def fuzzy_top(labels: DataFrame, queries: list[str], n: int = 5) -> DataFrame:
@@ -35,9 +35,6 @@ def fuzzy_top(labels: DataFrame, queries: list[str], n: int = 5) -> DataFrame:
     # at least one code per text, so the n best texts are enough for the n best rows
     by_text = Window.partitionBy("query").orderBy(F.desc("score"), "label")
     few = scored.withColumn("_t", F.row_number().over(by_text)).where(F.col("_t") <= n).drop("_t")
-    if n * len(wanted) <= FEW_ROWS:
-        # at most n rows per query string, however many labels there are
-        few = F.broadcast(few)
     by_row = Window.partitionBy("query").orderBy(F.desc("score"), "label", "code")
     rows = few.join(labels, "label").withColumn("rank", F.row_number().over(by_row)).where(F.col("rank") <= n)
     return rows.select("query", "rank", "code", "label", F.round("score", 6).alias("score"))
@@ -56,8 +53,11 @@ def discover_links(requests: DataFrame, values: DataFrame, dims: DataFrame) -> D
     column fits.
     """
     columns = values.select("table_id", "column_name").distinct()
-    named = requests.select("table_id", "dim_id").distinct().join(columns, "table_id")
-    named = named.withColumn("_name", F.pandas_udf(_name_scores, "double")("column_name", "dim_id"))
+    named = stored(requests.select("table_id", "dim_id").distinct().join(columns, "table_id"), "named")
+    # names recur from table to table, so each pair of names is scored once
+    pairs = named.select("column_name", "dim_id").distinct()
+    pairs = stored(pairs.withColumn("_name", F.pandas_udf(_name_scores, "double")("column_name", "dim_id")), "names")
+    named = named.join(pairs, ["column_name", "dim_id"])
     prefix = F.when(F.col("dim_id").startswith(F.col("column_name")), F.col("column_name"))
     by_name = named.groupBy("table_id", "dim_id").agg(
         F.count(prefix).alias("_prefixes"),

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.clean import decimal
+
 
 def read_bulk_csv(
     spark: SparkSession, path: str, columns: list[str], decimals: tuple[str, ...] = ()
 ) -> DataFrame:
     """Semicolon CSV with a header; codes stay text, ``decimals`` have a decimal comma.
 
-    The column names are given, so no pass infers a schema. A value that is not
-    a number, such as ``..``, is null in a decimal column.
+    The column names are given, so no pass infers a schema. In a decimal column
+    ``..`` and an empty cell are null; other text ends the query.
     """
     schema = ", ".join(f"`{c}` string" for c in columns)
     raw = spark.read.schema(schema).csv(path, sep=";", header=True, encoding="UTF-8", enforceSchema=True)
-    return raw.withColumns({c: F.replace(F.col(c), F.lit(","), F.lit(".")).try_cast("double") for c in decimals})
+    return raw.withColumns({c: decimal(F.col(c)).alias(c) for c in decimals})
 
 
 def read_geojson(spark: SparkSession, path: str, properties: list[str], layer: str) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.periods import parse_range_text, range_text
+from ..functions.periods import DATE_FORMS, parse_range_text, range_text
 from ..operators.clean import SPARK_TYPES, infer_types
 
 SORT_FIRST = 2  # leading code columns that rows are sorted by inside a file
@@ -37,16 +38,18 @@ def cast_to_stored(df: DataFrame, types: dict[str, str] | None = None) -> DataFr
 
 
 def fact_columns(cleaned: DataFrame) -> DataFrame:
-    """A cleaned fact in its final columns: one ``tid`` and one ``alder`` in stored text form.
+    """A cleaned fact of one table in its final columns: ``tid`` and ``alder`` in the type that the table's form has.
 
-    The cleaning keeps every form side by side; the load picks the one in use.
+    Dates, ranges, whole numbers or text; the cleaning keeps every form side by
+    side and says which one holds. Only the two form names reach the driver.
     """
     helpers = [c for c in cleaned.columns if c.startswith(("tid_", "alder_"))]
-    out = cleaned.withColumn("tid", F.col("tid_text"))
-    if "alder_form" in cleaned.columns:
-        out = out.withColumn(
-            "alder", F.coalesce(F.col("alder_int").cast("string"), range_text(F.col("alder_range")), F.col("alder_text"))
-        )
+    forms = [c for c in ("tid_form", "alder_form") if c in cleaned.columns]
+    used = cleaned.agg(*[F.max(c).alias(c) for c in forms]).first()
+    period = {"span": "tid_range", **{form: "tid_date" for form in DATE_FORMS}}.get(used["tid_form"], "tid_text")
+    out = cleaned.withColumn("tid", F.col(period))
+    if "alder_form" in forms:
+        out = out.withColumn("alder", F.col(f"alder_{used['alder_form'] or 'text'}"))
     return out.drop(*helpers)
 
 
@@ -55,18 +58,23 @@ def load_fact(df: DataFrame, path: str, types: dict[str, str] | None = None, par
 
     Partitioned by period, rows sorted by their leading codes inside a file, so
     the minima and maxima in the file footers cut reads the way an index would.
+    Ranges can't name directories; such a table has their text as directory
+    names and the range itself inside.
     """
     codes = [c for c in df.columns if c not in (partition, "indhold")][:SORT_FIRST]
     typed = cast_to_stored(df, types)
+    ranges = isinstance(typed.schema[partition].dataType, T.StructType)
+    folder = f"{partition}_key" if ranges else partition
+    laid = typed.withColumn(folder, range_text(F.col(partition))) if ranges else typed
     (
-        typed.hint("rebalance", partition)
-        .sortWithinPartitions(partition, *codes)
+        laid.hint("rebalance", folder)
+        .sortWithinPartitions(folder, *codes)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
-        .partitionBy(partition)
+        .partitionBy(folder)
         .parquet(path)
     )
-    return df.sparkSession.read.schema(typed.schema).parquet(path)
+    return df.sparkSession.read.schema(laid.schema).parquet(path).select(*typed.columns)
 
 
 def load_dim(df: DataFrame, path: str, types: dict[str, str] | None = None) -> DataFrame:

@@ -148,35 +148,33 @@ def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.table_profile(meta, values, _types(values), links, dim_types, dims, values, extents)
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = F.lit(None).cast("array<string>").alias("tables")
+def _nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The tree of regions, nations and segments, and the tables at its leaves."""
     region, nation = frames.table(spark, sf_dir, "region"), frames.table(spark, sf_dir, "nation")
     customer = frames.table(spark, sf_dir, "customer")
-    root = spark.createDataFrame([("0", None, "Root Bank")], "id string, parent_id string, description string").select("*", none)
+    root = spark.createDataFrame([("0", None, "Root Bank")], "id string, parent_id string, description string")
     upper = region.select(
-        F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.lit("0").alias("parent_id"), F.col("r_name").alias("description"), none
+        F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.lit("0").alias("parent_id"), F.col("r_name").alias("description")
     )
     mid = nation.select(
         F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent_id"),
-        F.replace("n_name", F.lit("_"), F.lit(" ")).alias("description"), none,
+        F.replace("n_name", F.lit("_"), F.lit(" ")).alias("description"),
     )
     key = F.col("c_nationkey").cast("string")
     held = customer.select(key.alias("k"), "c_mktsegment", F.concat(F.lit("C"), F.floor(F.col("c_custkey") / 10).cast("string")).alias("t"))
-    leaf = held.groupBy("k", "c_mktsegment").agg(F.collect_set("t").alias("tables")).select(
-        F.concat(F.lit("s"), F.col("k"), F.col("c_mktsegment")).alias("id"), F.concat(F.lit("n"), F.col("k")).alias("parent_id"),
-        F.col("c_mktsegment").alias("description"), "tables",
-    )
-    return root.unionByName(upper).unionByName(mid).unionByName(leaf)
+    leaf_id = F.concat(F.lit("s"), F.col("k"), F.col("c_mktsegment")).alias("id")
+    leaf = held.select(leaf_id, F.concat(F.lit("n"), F.col("k")).alias("parent_id"), F.col("c_mktsegment").alias("description")).distinct()
+    return root.unionByName(upper).unionByName(mid).unionByName(leaf), held.select(leaf_id, F.col("t").alias("table_id")).distinct()
 
 
 @query("subject_paths", "SELECT path, table_id FROM subject_tables")
 def subject_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.subject_paths(_nodes(spark, sf_dir), "0")
+    return catalog.subject_paths(*_nodes(spark, sf_dir), "0")
 
 
 @query("subject_listing", "SELECT DISTINCT SPLIT_PART(path, '/', 1) AS root, SPLIT_PART(path, '/', 2) AS mid FROM subject_tables ORDER BY 1, 2")
 def subject_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.subject_listing(catalog.subject_paths(_nodes(spark, sf_dir), "0"))
+    return catalog.subject_listing(catalog.subject_paths(*_nodes(spark, sf_dir), "0"))
 
 
 @query(
@@ -198,7 +196,7 @@ def level1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.when(F.col("table_id") <= "F3", "orders/early").otherwise("orders/late")
     subjects = tables.select(half.alias("path"), "table_id")
     dims = frames.dims_linked(spark, sf_dir).where(F.col("dim_id") == "geo")
-    return catalog.level1_coverage(used, dims, links, subjects, levels=2)
+    return catalog.level1_coverage(used, dims, links, subjects)
 
 
 @query(

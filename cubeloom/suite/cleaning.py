@@ -110,7 +110,7 @@ def derive_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dims_clean(spark: SparkSession, sf_dir: str, dim_id: str | None = None) -> DataFrame:
     """All classifications cleaned, or one of them."""
     raw = frames.dims_raw(spark, sf_dir)
-    return dims.process_dim(raw if dim_id is None else raw.where(F.col("dim_id") == dim_id), levels=3)
+    return dims.process_dim(raw if dim_id is None else raw.where(F.col("dim_id") == dim_id))
 
 
 @query(
@@ -121,7 +121,7 @@ def dims_clean(spark: SparkSession, sf_dir: str, dim_id: str | None = None) -> D
     """,
 )
 def process_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dims.process_dim(frames.dims_raw(spark, sf_dir), drop_level_one=("kn",), levels=3)
+    return dims.process_dim(frames.dims_raw(spark, sf_dir), drop_level_one=("kn",))
 
 
 @query(

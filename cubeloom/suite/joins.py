@@ -70,7 +70,7 @@ def hierarchy_rollup_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def ancestor_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dims.ancestor_closure(stored(dims_clean(spark, sf_dir), "dims"), levels=3)
+    return dims.ancestor_closure(dims_clean(spark, sf_dir))
 
 
 @query(

@@ -140,15 +140,45 @@ def pending_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "load_fact",
     """
-    SELECT CAST(omrade AS VARCHAR) AS omrade, status, CAST(SUBSTR(omrade, 2) AS SMALLINT) AS alder, CAST(tid_date AS VARCHAR) AS tid, CAST(indhold AS DOUBLE) AS indhold FROM fact_clean
+    SELECT CAST(omrade AS VARCHAR) AS omrade, status, CAST(SUBSTR(omrade, 2) AS SMALLINT) AS alder, tid_date AS tid, CAST(indhold AS DOUBLE) AS indhold FROM fact_clean
     """,
 )
 def load_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = frames.fact_raw(spark, sf_dir).withColumn("ALDER", F.substring("omrade", 2, 2))
-    cleaned = tables.fact_columns(clean.process_fact(raw, keys=[]))
-    typed = cleaned.withColumn("tid", F.col("tid").cast("date")).withColumn("alder", F.col("alder").cast("int"))
-    loaded = tables.load_fact(typed, scratch_path(spark, "fact"))
-    return loaded.withColumn("tid", F.col("tid").cast("string"))
+    return tables.load_fact(tables.fact_columns(clean.process_fact(raw, keys=[])), scratch_path(spark, "fact"))
+
+
+@query(
+    "load_fact_ranges",
+    """
+    SELECT status, CAST(EXTRACT(YEAR FROM tid_date) AS INTEGER) AS tid_lo, CAST(EXTRACT(YEAR FROM tid_date) + 2 AS INTEGER) AS tid_hi,
+           CAST(CAST(SUBSTR(omrade, 2) AS INTEGER) * 5 AS INTEGER) AS alder_lo, CAST(CAST(SUBSTR(omrade, 2) AS INTEGER) * 5 + 5 AS INTEGER) AS alder_hi,
+           CAST(indhold AS DOUBLE) AS indhold FROM fact_clean
+    """,
+)
+def load_fact_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-year periods and five-year ages: both load as ranges."""
+    low, year = F.substring("omrade", 2, 2).cast("int") * 5, F.substring("TID", 1, 4).cast("int")
+    raw = frames.fact_raw(spark, sf_dir).withColumns(
+        {"ALDER": F.concat_ws("-", low, low + 4), "TID": F.concat_ws(":", year, year + 1)}
+    )
+    loaded = tables.load_fact(tables.fact_columns(clean.process_fact(raw, keys=[])), scratch_path(spark, "fact"))
+    ends = [F.col(c)[e].alias(f"{c}_{e}") for c in ("tid", "alder") for e in ("lo", "hi")]
+    return loaded.select("status", *ends, "indhold")
+
+
+@query(
+    "load_fact_text",
+    """
+    SELECT omrade, status, 'after ' || EXTRACT(YEAR FROM tid_date) AS tid, 'group ' || SUBSTR(omrade, 2) AS alder, CAST(indhold AS DOUBLE) AS indhold FROM fact_clean
+    """,
+)
+def load_fact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periods and ages that are neither dates nor numbers stay text."""
+    raw = frames.fact_raw(spark, sf_dir).withColumns(
+        {"ALDER": F.concat(F.lit("group "), F.substring("omrade", 2, 2)), "TID": F.concat(F.lit("after "), F.substring("TID", 1, 4))}
+    )
+    return tables.load_fact(tables.fact_columns(clean.process_fact(raw, keys=[])), scratch_path(spark, "fact"))
 
 
 @query(

@@ -165,3 +165,13 @@ def test_value_lists_and_excerpts(spark):
     texts = spark.createDataFrame([("  a \n b  ",), ("abcdef",), (" ",), (None,)], "t string")
     assert [r[0] for r in texts.select(excerpt(F.col("t"), 4)).collect()] == ["a b", "abcd...", "_None_", "_None_"]
     assert texts.select(truncated(F.col("t"), 5)).collect()[1][0] == "abcde... (6 total chars)"
+
+
+def test_four_and_five_levels(spark, rows):
+    data = [("d", i, str(i), level) for i, level in enumerate([1, 2, 3, 4, 5, 5, 4, 2, 3, 1, 2], 1)]
+    df = spark.createDataFrame(data, "dim_id string, sekvens int, kode string, niveau int").withColumn("titel", F.col("kode"))
+    tree = dims.process_dim(df)
+    parents = {r.kode: r.parent_kode for r in tree.collect()}
+    assert parents == {"1": None, "2": "1", "3": "2", "4": "3", "5": "4", "6": "4", "7": "3", "8": "1", "9": "8", "10": None, "11": "10"}
+    got = rows(dims.ancestor_closure(tree).where("kode = '6'"), "ancestor_kode", "ancestor_niveau")
+    assert got == [("1", 1), ("2", 2), ("3", 3), ("4", 4), ("6", 5)]

@@ -119,10 +119,29 @@ def test_cells_and_distinct_values(spark, rows):
 
 def test_subject_tree(spark, rows):
     nodes = spark.createDataFrame(
-        [("0", None, "Root Bank", None), ("1", "0", "Borgere Her", None), ("2", "1", "Befolkning", None), ("3", "2", "Tal", ["A1", "A2"]), ("4", "1", "Tom", []), ("5", "0", "Leaf", ["B"]),
-         ("6", "2", "Inner", ["X"]), ("7", "6", "Deep", ["C"])],
-        "id string, parent_id string, description string, tables array<string>",
+        [("0", None, "Root Bank"), ("1", "0", "Borgere Her"), ("2", "1", "Befolkning"), ("3", "2", "Tal"), ("4", "1", "Tom"), ("5", "0", "Leaf"),
+         ("6", "2", "Inner"), ("7", "6", "Deep")],
+        "id string, parent_id string, description string",
     )
-    paths = catalog.subject_paths(nodes, "0")
+    tables = spark.createDataFrame([("3", "A1"), ("3", "A2"), ("5", "B"), ("6", "X"), ("7", "C")], "id string, table_id string")
+    paths = catalog.subject_paths(nodes, tables, "0")
     assert rows(paths) == [("borgere_her/befolkning/inner/deep", "C"), ("borgere_her/befolkning/tal", "A1"), ("borgere_her/befolkning/tal", "A2"), ("leaf", "B")]
     assert rows(catalog.subject_listing(paths)) == [("borgere_her", "befolkning")]
+
+
+def test_subject_tree_of_any_depth_with_a_cycle(spark, rows):
+    chain = [(str(k), str(k - 1), f"n{k}") for k in range(1, 41)] + [("a", "b", "a"), ("b", "a", "b"), ("1", "40", "again")]
+    nodes = spark.createDataFrame(chain, "id string, parent_id string, description string")
+    tables = spark.createDataFrame([("b", "Y")], "id string, table_id string")
+    assert rows(catalog.subject_paths(nodes, tables, "0")) == []
+    nodes = nodes.where("description <> 'again'")
+    tables = spark.createDataFrame([("40", "X")], "id string, table_id string")
+    assert rows(catalog.subject_paths(nodes, tables, "0"), "table_id") == [("X",)]
+
+
+def test_column_lists_replace_all_of_a_table(spark, tmp_path, rows):
+    schema = "table_id string, column_name string, pos bigint, id string, text string"
+    first = spark.createDataFrame([("a", "x", 0, "1", "one"), ("a", "y", 0, "2", "two"), ("b", "x", 0, "3", "three")], schema)
+    catalog.write_column_values(first, str(tmp_path))
+    catalog.write_column_values(first.where("table_id = 'a' and column_name = 'x'"), str(tmp_path))
+    assert rows(spark.read.schema(schema).parquet(str(tmp_path)), "table_id", "column_name") == [("a", "x"), ("b", "x")]

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from cubeloom.sources import files, layout, tables
@@ -70,6 +71,14 @@ def test_bulk_csv_with_mark_and_decimal_comma(spark, tmp_path, rows):
     assert rows(got) == [("000", "2024K1", 12.5), ("101", "2024K1", None)]
 
 
+def test_bulk_csv_refuses_other_text(spark, tmp_path):
+    (tmp_path / "bad.csv").write_text("A;INDHOLD\n1;oops\n2;\n", encoding="utf-8")
+    got = files.read_bulk_csv(spark, str(tmp_path / "bad.csv"), ["A", "INDHOLD"], ("INDHOLD",))
+    with pytest.raises(Exception, match="not a measure: oops"):
+        got.collect()
+    assert got.where("A = '2'").first().INDHOLD is None
+
+
 def test_geojson(spark, tmp_path, rows):
     doc = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"kode": "0101", "navn": "K"}, "geometry": {"type": "Point", "coordinates": [1, 2]}}]}
     (tmp_path / "kommuner.geojson").write_text(json.dumps(doc, indent=1))
