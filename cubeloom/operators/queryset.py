@@ -2,63 +2,53 @@
 
 from __future__ import annotations
 
-import inspect
 import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import date
+from functools import partial, reduce
 from typing import Any
-from urllib.parse import urlencode
+from urllib.parse import quote, urlencode
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .clean import dates_to_timestamps
 
-# A second colon before the name is a cast, not a parameter.
+# How a parameter is written (a second colon before the name is a cast), and how many options are
+# shown beside a value that is not one of them.
 PARAMETER = re.compile(r"(?<!:):(\w+)")
-SAMPLE_VALUES = 5  # fixed value: options shown beside a value that is not one of them
+SAMPLE_VALUES = 5
 
 
 # ---- filters ------------------------------------------------------------
 
 
 @dataclass(frozen=True)
-class SelectFilter:
-    name: str
-    default: str = "all"
-    options_query: str | None = None
+class Parameter:
+    """One named value that a reader may set: ``choice``, ``day`` or ``flag``."""
 
-    def values(self, given: Mapping[str, str]) -> dict[str, Any]:
-        return {self.name: given.get(self.name, self.default)}
+    name: str
+    kind: str
+    default: Any = None
+    options: str | None = None
 
 
-@dataclass(frozen=True)
-class DateRangeFilter:
-    name: str
-    default_from: str | None = None
-    default_to: str | None = None
+def choice(name: str, default: str = "all", options: str | None = None) -> tuple[Parameter, ...]:
+    """One of the values that the query ``options`` lists."""
+    return (Parameter(name, "choice", default, options),)
 
-    def values(self, given: Mapping[str, str]) -> dict[str, Any]:
-        lower, upper = f"{self.name}_from", f"{self.name}_to"
-        return {
-            lower: given.get(lower, self.default_from) or None,
-            upper: given.get(upper, self.default_to) or None,
-        }
 
+def day_range(name: str, first: str | None = None, last: str | None = None) -> tuple[Parameter, ...]:
+    """``<name>_from`` and ``<name>_to``; an empty day is no bound."""
+    return (Parameter(f"{name}_from", "day", first), Parameter(f"{name}_to", "day", last))
 
-@dataclass(frozen=True)
-class CheckboxFilter:
-    name: str
-    default: bool = False
 
-    def values(self, given: Mapping[str, str]) -> dict[str, Any]:
-        text = given.get(self.name)
-        return {self.name: self.default if text is None else text.lower() == "true"}
+def flag(name: str, default: bool = False) -> tuple[Parameter, ...]:
+    return (Parameter(name, "flag", default),)
 
 
-Filter = SelectFilter | DateRangeFilter | CheckboxFilter
+_READ: dict[str, Callable[[str], Any]] = {"choice": str, "day": lambda text: text or None, "flag": lambda text: text.lower() == "true"}
 
 
 def filter_key(given: Mapping[str, str]) -> str:
@@ -93,31 +83,32 @@ def metric(
 
 
 @dataclass(frozen=True)
-class QuerySet:
-    """Named SQL texts over named frames, with filters and output functions.
+class Output:
+    """A table or metric made from the results of the queries it needs, in this order."""
 
-    An output takes query results by argument name, and ``filters`` as a dict;
-    it returns a DataFrame (a table) or a ``Metric``.
-    """
+    needs: tuple[str, ...]
+    make: Callable[..., DataFrame | Metric]
+
+
+@dataclass(frozen=True)
+class QuerySet:
+    """Named SQL texts over named frames, with parameters and outputs."""
 
     name: str
     tables: Mapping[str, DataFrame]
     queries: Mapping[str, str]
-    outputs: Mapping[str, Callable[..., DataFrame | Metric]] = field(default_factory=dict)
-    filters: tuple[Filter, ...] = ()
+    outputs: Mapping[str, Output] = field(default_factory=dict)
+    parameters: tuple[Parameter, ...] = ()
     types: Mapping[str, type] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        for f in self.filters:
-            wanted = getattr(f, "options_query", None)
-            if wanted and wanted not in self.queries:
-                raise ValueError(f"filter {f.name} takes its options from {wanted}, which is no query of the set")
+        asked = {p.options for p in self.parameters if p.options} | {n for o in self.outputs.values() for n in o.needs}
+        if unknown := sorted(asked - set(self.queries)):
+            raise ValueError(f"no query of the set: {', '.join(unknown)}")
 
     def filter_values(self, given: Mapping[str, str]) -> dict[str, Any]:
-        values: dict[str, Any] = {}
-        for f in self.filters:
-            values.update(f.values(given))
-        return values
+        """The value of every parameter: as given, read by its kind, or its default."""
+        return {p.name: _READ[p.kind](given[p.name]) if given.get(p.name) is not None else p.default for p in self.parameters}
 
 
 def extract_params(text: str) -> set[str]:
@@ -196,75 +187,66 @@ def option_list(options: DataFrame) -> DataFrame:
 def run_output(
     spark: SparkSession, qs: QuerySet, name: str, filters: Mapping[str, Any], kept: Results | None = None
 ) -> DataFrame | Metric:
-    if name not in qs.outputs:
-        raise ValueError(f"no output named {name}")
-    fn = qs.outputs[name]
-    given: dict[str, Any] = {}
-    for parameter in inspect.signature(fn).parameters:
-        if parameter == "filters":
-            given["filters"] = dict(filters)
-        elif parameter in qs.queries:
-            given[parameter] = run_query(spark, qs, parameter, filters, kept)
-    return fn(**given)
+    output = qs.outputs[name]
+    return output.make(*[run_query(spark, qs, query, filters, kept) for query in output.needs])
 
 
 # ---- validation ---------------------------------------------------------
 
+_CHECKED = "kind string, name string, found bigint, problem string"
 
-def _is_empty(result: DataFrame | Metric) -> bool:
-    if isinstance(result, Metric):
-        row = result.frame.select("value").first()
-        value = row[0] if row else None
-        return value is None or (isinstance(value, str) and not value.strip())
-    return not result.columns or result.isEmpty()
+
+def _look(kind: str, name: str, result: Callable[[], DataFrame | Metric]) -> tuple[str, str, int | None, str | None]:
+    """What one check found: rows of a query, whether a table has any, whether a metric has a value."""
+    try:
+        made = result()
+        if isinstance(made, Metric):
+            return "metric", name, made.frame.where(F.trim(F.col("value").cast("string")) != "").limit(1).count(), None
+        return ("query", name, made.count(), None) if kind == "query" else ("table", name, made.limit(1).count(), None)
+    except Exception as exc:  # noqa: BLE001 - output functions are user code
+        return kind, name, None, str(exc)
 
 
 def validate_set(spark: SparkSession, qs: QuerySet, given: Mapping[str, str]) -> DataFrame:
     """Run everything; one row per query and output with rows, status and message.
 
-    An empty result is an error while no filter is set and a warning otherwise.
-    A failure is reported and does not stop the run. Only counts reach the driver.
+    What finds nothing is an error while no parameter is set and a warning
+    otherwise. A failure is reported and does not stop the run. Only counts reach
+    the driver.
     """
     filters = qs.filter_values(given)
-    empty_status = "error" if filters == qs.filter_values({}) else "warning"
     kept: Results = {}
-    rows: list[tuple[str, str, int | None, str, str | None]] = []
-    for name in sorted(qs.queries):
-        try:
-            n = run_query(spark, qs, name, filters, kept).count()
-        except (PySparkException, ValueError) as exc:
-            rows.append(("query", name, None, "error", str(exc)))
-            continue
-        rows.append(("query", name, n, *(("ok", None) if n else (empty_status, f"{name}: returned 0 rows"))))
-    for name in sorted(qs.outputs):
-        try:
-            result = run_output(spark, qs, name, filters, kept)
-            empty = _is_empty(result)
-        except Exception as exc:  # noqa: BLE001 - output functions are user code
-            rows.append(("output", name, None, "error", str(exc)))
-            continue
-        kind = "metric" if isinstance(result, Metric) else "table"
-        rows.append((kind, name, None, *((empty_status, f"{name}: returned empty {kind}") if empty else ("ok", None))))
-    release(kept)
-    return spark.createDataFrame(rows, "kind string, name string, rows bigint, status string, message string")
+    checks = [("query", name, partial(run_query, spark, qs, name, filters, kept)) for name in qs.queries]
+    checks += [("output", name, partial(run_output, spark, qs, name, filters, kept)) for name in qs.outputs]
+    try:
+        looked = spark.createDataFrame([_look(*check) for check in checks], _CHECKED)
+    finally:
+        release(kept)
+    nothing = F.col("found") == 0
+    blame = "warning" if filters != qs.filter_values({}) else "error"
+    return looked.select(
+        "kind", "name", F.when(F.col("kind") == "query", F.col("found")).alias("rows"),
+        F.when(F.col("problem").isNotNull(), "error").when(nothing, blame).otherwise("ok").alias("status"),
+        F.coalesce("problem", F.when(nothing, F.format_string("%s %s came out empty", "kind", "name"))).alias("message"),
+    )
 
 
 def invalid_filter_values(options: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Chosen values that are not offered, each with a few that are.
+    """Chosen values that are not offered, each with the first few that are.
 
-    ``options`` is ``(filter_name, value)``, ``chosen`` is ``(filter_name, value, default)``.
-    Missing, empty and default values are not checked.
+    ``options`` is ``(filter_name, pos, value)`` in the order of the list,
+    ``chosen`` is ``(filter_name, value, default)``. Missing, empty and default
+    values are not checked.
     """
     value = F.col("value")
     checked = chosen.where(value.isNotNull() & (value != "") & ~value.eqNullSafe(F.col("default")))
-    offered = options.select("filter_name", "value").distinct()
+    offered = options.groupBy("filter_name", "value").agg(F.min("pos").alias("pos"))
     wrong = checked.join(offered, ["filter_name", "value"], "left_anti")
-    order = Window.partitionBy("filter_name").orderBy("value")
+    order = Window.partitionBy("filter_name").orderBy("pos", "value")
     first = offered.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= SAMPLE_VALUES)
-    samples = first.groupBy("filter_name").agg(
-        F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("sample_allowed_values")
-    )
-    return wrong.join(samples, "filter_name", "left").select("filter_name", "value", "sample_allowed_values")
+    samples = first.groupBy("filter_name").agg(F.array_sort(F.collect_list(F.struct("_rn", "value"))).alias("_first"))
+    shown = samples.select("filter_name", F.array_join(F.col("_first.value"), ", ").alias("sample_allowed_values"))
+    return wrong.join(shown, "filter_name", "left").select("filter_name", "value", "sample_allowed_values")
 
 
 # ---- snapshots ----------------------------------------------------------
@@ -274,25 +256,27 @@ def snapshot(spark: SparkSession, qs: QuerySet, given: Mapping[str, str], folder
     """Write every output under its filter key and return the key.
 
     Tables go to ``<folder>/tables/<output>/filter_key=...``, all metrics to
-    ``<folder>/metrics/filter_key=...``. A new snapshot replaces its own key only.
+    ``<folder>/metrics/filter_key=...``. A new snapshot replaces its own key
+    only, also where an output has become empty.
     """
     key, filters = filter_key(given), qs.filter_values(given)
     kept: Results = {}
-    metrics = []
-    for name in sorted(qs.outputs):
-        result = run_output(spark, qs, name, filters, kept)
-        if isinstance(result, Metric):
-            metrics.append(result.frame.withColumn("value", F.col("value").cast("string")).withColumn("name", F.lit(name)))
-            continue
-        _write(result.withColumn("filter_key", F.lit(key)), f"{folder}/tables/{name}")
-    if metrics:
-        rows = metrics[0]
-        for more in metrics[1:]:
-            rows = rows.unionByName(more)
-        _write(rows.withColumn("filter_key", F.lit(key)), f"{folder}/metrics")
-    release(kept)
+    try:
+        made = {name: run_output(spark, qs, name, filters, kept) for name in qs.outputs}
+        metrics = [
+            m.frame.withColumn("value", F.col("value").cast("string")).withColumn("name", F.lit(name))
+            for name, m in made.items() if isinstance(m, Metric)
+        ]
+        if metrics:
+            _replace(reduce(DataFrame.unionByName, metrics), f"{folder}/metrics", key)
+        for name, result in made.items():
+            if not isinstance(result, Metric):
+                _replace(result, f"{folder}/tables/{name}", key)
+    finally:
+        release(kept)
     return key
 
 
-def _write(frame: DataFrame, path: str) -> None:
-    frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("filter_key").parquet(path)
+def _replace(frame: DataFrame, path: str, key: str) -> None:
+    """The key has a directory of its own, which is overwritten as a whole."""
+    frame.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/filter_key={quote(key, safe='')}")

@@ -1,96 +1,110 @@
 import datetime as dt
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from cubeloom.operators import queryset as qs
-from cubeloom.suite.query_sets import BY_REGION, REGIONS, TREND, periods_shown, region_table, total_population
+from cubeloom.suite.query_sets import BY_FLAG, BY_MONTH, FLAGS, busiest_month, units_shipped
 
 
 @pytest.fixture
-def population(spark):
+def shipments(spark):
     rows = [
-        ("2024-01-01", "North", 100, False), ("2024-01-01", "South", 120, False), ("2024-04-01", "North", 110, False),
-        ("2024-04-01", "South", 130, True), ("2024-07-01", "North", 115, False), ("2024-07-01", "South", 135, True),
+        ("1996-03-01", "A", "F", 40, 4), ("1996-03-01", "N", "O", 5, 1), ("1996-04-01", "A", "F", 30, 6),
+        ("1996-05-01", "N", "O", 11, 2), ("1996-05-01", "A", "O", 50, 3),
     ]
-    df = spark.createDataFrame(rows, "period string, region string, population int, include_estimate boolean")
+    df = spark.createDataFrame(rows, "month string, flag string, status string, units bigint, lines bigint")
     return qs.QuerySet(
-        "population",
-        {"population": df.withColumn("period", F.col("period").cast("date"))},
-        {"regions": REGIONS, "population_trend": TREND, "population_by_region": BY_REGION},
-        {"total_population": total_population, "periods_shown": periods_shown, "region_table": region_table},
-        (qs.SelectFilter("region", options_query="regions"), qs.DateRangeFilter("period"), qs.CheckboxFilter("include_estimate")),
+        "shipments",
+        {"shipments": df.withColumn("month", F.col("month").cast("date"))},
+        {"flags": FLAGS, "by_month": BY_MONTH, "by_flag": BY_FLAG},
+        {
+            "units_shipped": qs.Output(("by_month",), units_shipped), "busiest_month": qs.Output(("by_month",), busiest_month),
+            "flag_table": qs.Output(("by_flag",), lambda by_flag: by_flag),
+        },
+        (*qs.choice("flag", options="flags"), *qs.day_range("month"), *qs.flag("open_only")),
     )
 
 
 def test_parameters_skip_casts():
-    text = "SELECT alder::int FROM t WHERE (:region IS NULL OR r = :region) AND d >= :period_from"
-    assert qs.extract_params(text) == {"region", "period_from"}
+    text = "SELECT a::int FROM t WHERE b = COALESCE(:shape, b) AND d >= :day_from"
+    assert qs.extract_params(text) == {"shape", "day_from"}
 
 
 def test_binding():
-    assert qs.bind_value("region", "all") is None and qs.bind_value("x", None) is None
-    assert qs.bind_value("flag", True) is True
-    assert qs.bind_value("period_from", "2024-04-01") == dt.date(2024, 4, 1)
-    assert qs.bind_value("region", 3) == "3"
+    assert qs.bind_value("shape", "all") is None and qs.bind_value("x", None) is None
+    assert qs.bind_value("open", True) is True
+    assert qs.bind_value("day_from", "1997-02-03") == dt.date(1997, 2, 3)
+    assert qs.bind_value("shape", 3) == "3"
     assert qs.bind_value("customer", "c", str) == "c"
     with pytest.raises(ValueError):
         qs.bind_value("customer", "c")
     assert qs.bound_args("a = :b", {"c": 1}) == {"b": None}
 
 
-def test_filtered_metric(spark, population):
-    filters = population.filter_values({"region": "North", "period_from": "2024-04-01"})
-    assert filters == {"region": "North", "period_from": "2024-04-01", "period_to": None, "include_estimate": False}
-    metric = qs.run_output(spark, population, "total_population", filters)
-    assert metric.frame.first().value == 225
-    trend = qs.run_query(spark, population, "population_trend", filters)
-    assert dict(trend.dtypes)["period"] == "timestamp_ntz" and trend.count() == 2
+def test_values_of_parameters(shipments):
+    assert shipments.filter_values({}) == {"flag": "all", "month_from": None, "month_to": None, "open_only": False}
+    given = {"flag": "A", "month_to": "", "open_only": "TRUE", "other": "x"}
+    assert shipments.filter_values(given) == {"flag": "A", "month_from": None, "month_to": None, "open_only": True}
 
 
-def test_checkbox_and_table(spark, population, rows):
-    on = population.filter_values({"include_estimate": "true"})
-    assert rows(qs.run_output(spark, population, "region_table", on), "region", "population") == [("South", 265)]
-    with pytest.raises(ValueError, match="no output"):
-        qs.run_output(spark, population, "nothing", on)
+def test_filtered_metrics(spark, shipments):
+    filters = shipments.filter_values({"flag": "A", "month_from": "1996-03-15"})
+    shipped = qs.run_output(spark, shipments, "units_shipped", filters).frame.first()
+    assert (shipped.value, shipped.change) == (80, pytest.approx(2 / 3, abs=1e-6))
+    assert qs.run_output(spark, shipments, "busiest_month", filters).frame.first().value == "1996-04"
+    months = qs.run_query(spark, shipments, "by_month", filters)
+    assert dict(months.dtypes)["month"] == "timestamp_ntz" and months.count() == 2
+
+
+def test_flag_and_table(spark, shipments, rows):
+    on = shipments.filter_values({"open_only": "true"})
+    assert rows(qs.run_output(spark, shipments, "flag_table", on), "flag", "lines", "most") == [("A", 3, 50.0), ("N", 3, 11.0)]
+    with pytest.raises(KeyError):
+        qs.run_output(spark, shipments, "nothing", on)
 
 
 def test_options(spark, rows):
-    two = spark.createDataFrame([(84, "Region Hovedstaden"), (85, None), (None, None)], "kode int, titel string")
-    assert rows(qs.option_list(two)) == [("", ""), ("84", "Region Hovedstaden"), ("85", "85")]
-    one = spark.createDataFrame([("North",), ("South",)], "r string")
-    assert rows(qs.option_list(one)) == [("North", "North"), ("South", "South")]
+    two = spark.createDataFrame([(7, "seven"), (8, None), (None, None)], "code int, name string")
+    assert rows(qs.option_list(two)) == [("", ""), ("7", "seven"), ("8", "8")]
+    one = spark.createDataFrame([("x",), ("y",)], "r string")
+    assert rows(qs.option_list(one)) == [("x", "x"), ("y", "y")]
 
 
-def test_unknown_options_query():
-    with pytest.raises(ValueError, match="no query of the set"):
-        qs.QuerySet("x", {}, {"a": "SELECT 1"}, filters=(qs.SelectFilter("f", options_query="b"),))
+def test_unknown_queries():
+    with pytest.raises(ValueError, match="no query of the set: b, c"):
+        qs.QuerySet("x", {}, {"a": "SELECT 1"}, {"o": qs.Output(("a", "c"), print)}, qs.choice("f", options="b"))
 
 
-def test_validation_status(spark, population):
+def test_validation_status(spark, shipments):
     broken = qs.QuerySet(
-        "b", population.tables,
-        {"empty": "SELECT * FROM population WHERE region = 'Nowhere'", "bad": "SELECT nothing FROM population", "runtime": "SELECT CAST(region AS INT) AS x FROM population", "ok": REGIONS},
-        {"none": lambda empty: empty, "fails": lambda ok: 1 / 0, "zero": lambda ok: qs.metric(ok.agg(F.lit(0).alias("v")), "v", "Zero"),
-         "blank": lambda ok: qs.metric(ok.agg(F.lit(" ").alias("v")), "v", "Blank")},
-        population.filters[1:],
+        "b", shipments.tables,
+        {"empty": "SELECT * FROM shipments WHERE flag = 'Z'", "bad": "SELECT nothing FROM shipments", "ok": FLAGS,
+         "runtime": "SELECT CAST(flag AS INT) AS x FROM shipments"},
+        {"none": qs.Output(("empty",), lambda empty: empty), "fails": qs.Output(("ok",), lambda ok: 1 / 0),
+         "zero": qs.Output(("ok",), lambda ok: qs.metric(ok.agg(F.lit(0).alias("v")), "v", "Zero")),
+         "blank": qs.Output(("ok",), lambda ok: qs.metric(ok.agg(F.lit(" ").alias("v")), "v", "Blank"))},
+        shipments.parameters[1:],
     )
-    unfiltered = {r.name: (r.rows, r.status) for r in qs.validate_set(spark, broken, {}).collect()}
-    assert unfiltered == {
-        "empty": (0, "error"), "bad": (None, "error"), "runtime": (6, "ok"), "ok": (2, "ok"), "none": (None, "error"), "fails": (None, "error"),
-        "zero": (None, "ok"), "blank": (None, "error"),
-    } or unfiltered["runtime"] == (None, "error")
-    filtered = {r.name: r.status for r in qs.validate_set(spark, broken, {"include_estimate": "true"}).collect()}
-    assert filtered["empty"] == "warning" and filtered["bad"] == "error" and filtered["none"] == "warning"
+    unset = {r.name: (r.kind, r.rows, r.status) for r in qs.validate_set(spark, broken, {}).collect()}
+    assert unset == {
+        "empty": ("query", 0, "error"), "bad": ("query", None, "error"), "ok": ("query", 2, "ok"), "runtime": ("query", None, "error"),
+        "none": ("table", None, "error"), "fails": ("output", None, "error"), "zero": ("metric", None, "ok"), "blank": ("metric", None, "error"),
+    }
+    told = {r.name: (r.status, r.message) for r in qs.validate_set(spark, broken, {"open_only": "true"}).collect()}
+    assert told["empty"] == ("warning", "query empty came out empty") and told["none"] == ("warning", "table none came out empty")
+    assert told["bad"][0] == "error" and "division by zero" in told["fails"][1] and told["ok"] == ("ok", None)
 
 
 def test_invalid_filter_values(spark, rows):
-    options = spark.createDataFrame([("region", f"R{i}") for i in range(7)] + [("kon", "M")], "filter_name string, value string")
+    offered = [("size", 9 - i, f"S{i}") for i in range(7)] + [("size", 0, "S3"), ("hue", 0, "red")]
+    options = spark.createDataFrame(offered, "filter_name string, pos int, value string")
     chosen = spark.createDataFrame(
-        [("region", "R3", "all"), ("region", "X", "all"), ("region", "all", "all"), ("kon", "", "all"), ("kon", None, "all"), ("kon", "M", "all")],
+        [("size", "S3", "all"), ("size", "X", "all"), ("size", "all", "all"), ("hue", "", "all"), ("hue", None, "all"), ("hue", "red", "all")],
         "filter_name string, value string, default string",
     )
-    assert rows(qs.invalid_filter_values(options, chosen)) == [("region", "X", "R0, R1, R2, R3, R4")]
+    assert rows(qs.invalid_filter_values(options, chosen)) == [("size", "X", "S3, S6, S5, S4, S2")]
 
 
 def test_filter_key():
@@ -98,12 +112,15 @@ def test_filter_key():
     assert qs.filter_key({"b": "2", "a": "x y"}) == "a=x+y&b=2"
 
 
-def test_snapshot_replaces_its_own_key(spark, population, tmp_path, rows):
+def test_snapshot_replaces_its_own_key(spark, shipments, tmp_path, rows):
     folder = str(tmp_path)
-    assert qs.snapshot(spark, population, {}, folder) == "_"
-    qs.snapshot(spark, population, {"region": "North"}, folder)
-    qs.snapshot(spark, population, {"region": "North"}, folder)
+    assert qs.snapshot(spark, shipments, {}, folder) == "_"
+    for _ in range(2):
+        qs.snapshot(spark, shipments, {"flag": "A"}, folder)
     metrics = spark.read.parquet(f"{folder}/metrics")
     assert rows(metrics, "filter_key", "name", "value") == [
-        ("_", "periods_shown", "3"), ("_", "total_population", "710"), ("region=North", "periods_shown", "3"), ("region=North", "total_population", "325")
+        ("_", "busiest_month", "1996-04"), ("_", "units_shipped", "136"), ("flag=A", "busiest_month", "1996-04"), ("flag=A", "units_shipped", "120")
     ]
+    gone = {"flag_table": qs.Output(("by_flag",), lambda by_flag: by_flag.where("false"))}
+    qs.snapshot(spark, replace(shipments, outputs=gone), {"flag": "A"}, folder)
+    assert rows(spark.read.parquet(f"{folder}/tables/flag_table"), "filter_key", "flag") == [("_", "A"), ("_", "N")]
