@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.layers import layer_key
-from ..functions.periods import contains_point, overlaps
+from ..functions.periods import overlaps
+from ..session import stored
 from .clean import SPARK_TYPES
 
 # Further stored type names beside those that a load gives.
@@ -186,41 +187,48 @@ def latest_period(facts: DataFrame, period: str = "tid", source: DataFrame | Non
     return facts.where(F.col(period) == periods.agg(F.max(period)).scalar())
 
 
-def range_join(points: DataFrame, point: str, ranges: DataFrame, span: str, width: int = 16) -> DataFrame:
-    """Every point with every range that contains it, as an equality join.
+_POWERS = 63  # fixed value: block sizes that a 64-bit number can need, as powers of two
 
-    Ranges are laid over blocks of ``width`` integers and joined to the block of
-    the point. An open range reaches as far as the largest point.
-    """
-    block = F.floor(F.col(point) / width)
-    top = points.agg(F.max(block)).scalar()
-    low = F.floor(F.col(f"{span}.lo") / width)
-    high = F.coalesce(F.floor((F.col(f"{span}.hi") - 1) / width), top)
-    laid = ranges.withColumn("_top", high).where(F.col("_top") >= low)
-    laid = laid.withColumn("_block", F.explode(F.sequence(low, F.col("_top")))).drop("_top")
-    return (
-        points.withColumn("_block", block)
-        .join(laid, "_block")
-        .where(contains_point(F.col(span), F.col(point)))
-        .drop("_block")
-    )
 
+def _blocks(ranges: DataFrame, low: Column, high: Column) -> DataFrame:
+    """A row for each aligned block of ``[low, high)``: at most two of each size, and no two overlap."""
 
-def range_overlap_join(a: DataFrame, a_span: str, b: DataFrame, b_span: str, width: int = 16) -> DataFrame:
-    """Every pair of overlapping ranges once: it is kept in the block where the later one starts."""
-    ends = [F.max(F.coalesce(F.col(f"{s}.hi") - 1, F.col(f"{s}.lo"))) for s in (a_span, b_span)]
-    top_a, top_b = a.agg(ends[0].alias("e")).scalar(), b.agg(ends[1].alias("e")).scalar()
+    def at(k: Column) -> Column:
+        up = lambda x: -F.call_function("shiftright", -x, k)
+        first, last = up(low), F.call_function("shiftright", high, k)
+        odd = lambda x: F.pmod(x, F.lit(2)) == 1
+        left = odd(first) & (first < last)
+        right = odd(last) & (first + left.cast("bigint") < last)
+        return F.array(F.when(left, F.struct(k.alias("k"), first.alias("at"))), F.when(right, F.struct(k.alias("k"), (last - 1).alias("at"))))
 
-    def lay(df: DataFrame, span: str) -> DataFrame:
-        low = F.floor(F.col(f"{span}.lo") / width)
-        high = F.floor(F.coalesce(F.col(f"{span}.hi") - 1, F.col("_end")) / width)
-        wide = df.withColumn("_end", F.greatest(top_a, top_b))
-        return wide.withColumn("_block", F.explode(F.sequence(low, F.greatest(low, high)))).drop("_end")
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_POWERS - 1)), at))
+    return ranges.withColumn("_block", F.explode(F.filter(every, lambda b: b.isNotNull())))
 
-    start = F.floor(F.greatest(F.col(f"{a_span}.lo"), F.col(f"{b_span}.lo")) / width)
-    return (
-        lay(a, a_span)
-        .join(lay(b, b_span), "_block")
-        .where((F.col("_block") == start) & overlaps(F.col(a_span), F.col(b_span)))
-        .drop("_block")
-    )
+
+def range_join(points: DataFrame, point: str, ranges: DataFrame, span: str) -> DataFrame:
+    """Every point with every range that contains it, as an equality join.
+
+    A range is cut into aligned blocks of doubling size, at most two of each, and
+    a point lies in one block of each size that occurs. An open range reaches as
+    far as the largest point.
+    """
+    x = F.col(point).cast("bigint")
+    top = F.lit(points.agg(F.max(x)).first()[0])
+    low = F.col(f"{span}.lo").cast("bigint")
+    laid = stored(_blocks(ranges, low, F.coalesce(F.col(f"{span}.hi").cast("bigint"), top + 1)), "blocks")
+    sizes = sorted(r[0] for r in laid.select("_block.k").distinct().collect())  # at most one for each power
+    if not sizes:
+        return points.join(ranges, F.lit(False))
+    met = points.withColumn("_k", F.explode(F.array(*[F.lit(k) for k in sizes])))
+    met = met.withColumn("_block", F.struct(F.col("_k").alias("k"), F.call_function("shiftright", x, F.col("_k")).alias("at")))
+    return met.drop("_k").join(laid, "_block").drop("_block")
+
+
+def range_overlap_join(a: DataFrame, a_span: str, b: DataFrame, b_span: str) -> DataFrame:
+    """Every pair of overlapping ranges once: one of them starts inside the other."""
+    low_a, low_b = F.col(f"{a_span}.lo"), F.col(f"{b_span}.lo")
+    inside = range_join(a.withColumn("_start", low_a), "_start", b, b_span)
+    around = range_join(b.withColumn("_start", low_b), "_start", a, a_span).where(low_b > low_a)
+    columns = [*a.columns, *b.columns]
+    both = inside.select(*columns).unionByName(around.select(*columns))
+    return both.where(overlaps(F.col(a_span), F.col(b_span)))

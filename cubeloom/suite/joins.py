@@ -327,7 +327,23 @@ def _bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = frames.table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    return joins.range_join(points, "p_size", _bands(spark, sf_dir), "span", width=8).select("p_partkey", "p_size", "band")
+    return joins.range_join(points, "p_size", _bands(spark, sf_dir), "span").select("p_partkey", "p_size", "band")
+
+
+@query(
+    "range_join_wide",
+    """
+    SELECT o_orderkey, l.lo FROM orders JOIN (SELECT DISTINCT o_custkey * 40 AS lo, CASE WHEN o_custkey % 50 > 0 THEN o_custkey * 40 + 60 END AS hi FROM orders WHERE o_custkey % 10 = 0) l
+      ON lo <= o_orderkey AND (hi IS NULL OR o_orderkey < hi)
+    """,
+)
+def range_join_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges over order keys; every fifth is open."""
+    orders, low = frames.table(spark, sf_dir, "orders"), F.col("o_custkey") * 40
+    span = F.struct(low.alias("lo"), F.when(F.col("o_custkey") % 50 > 0, low + 60).alias("hi"))
+    ranges = orders.where(F.col("o_custkey") % 10 == 0).select("o_custkey").distinct().select(span.alias("span"))
+    found = joins.range_join(orders.select("o_orderkey"), "o_orderkey", ranges, "span")
+    return found.select("o_orderkey", F.col("span.lo").alias("lo"))
 
 
 @query(
@@ -339,4 +355,4 @@ def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def range_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
     spans = frames.table(spark, sf_dir, "part").select("p_partkey", "p_size", F.struct(size.alias("lo"), (size + 3).alias("hi")).alias("own"))
-    return joins.range_overlap_join(spans, "own", _bands(spark, sf_dir), "span", width=8).select("p_partkey", "p_size", "band")
+    return joins.range_overlap_join(spans, "own", _bands(spark, sf_dir), "span").select("p_partkey", "p_size", "band")

@@ -108,9 +108,12 @@ def test_range_joins_equal_brute_force(spark, rows):
     want = sorted((p, r) for p, x in points for r, lo, hi in spans if inside(lo, hi, x))
     meet = lambda a, b: (a[2] is None or b[1] < a[2]) and (b[2] is None or a[1] < b[2])
     both = sorted((a[0], b[0]) for a in spans for b in spans if meet(a, b))
-    for width in (1, 7, 64):
-        assert sorted(rows(joins.range_join(pts, "x", ranges, "span", width), "p", "r")) == want
-        assert sorted(rows(joins.range_overlap_join(ranges, "span", others, "other", width), "r", "q")) == both
+    assert sorted(rows(joins.range_join(pts, "x", ranges, "span"), "p", "r")) == want
+    assert sorted(rows(joins.range_overlap_join(ranges, "span", others, "other"), "r", "q")) == both
+    far = spark.createDataFrame([(1, (-5, None)), (2, (10**9, 2 * 10**9)), (3, (7, 7))], "r int, span struct<lo:int,hi:int>")
+    pts = spark.createDataFrame([(1, -6), (2, -5), (3, 10**9 - 1), (4, 10**9), (5, 2 * 10**9), (6, 7)], "p int, x int")
+    assert sorted(rows(joins.range_join(pts, "x", far, "span"), "p", "r")) == [(2, 1), (3, 1), (4, 1), (4, 2), (5, 1), (6, 1)]
+    assert rows(joins.range_join(pts, "x", far.where("r = 3"), "span"), "p") == []
 
 
 def test_boundaries(spark, rows):
