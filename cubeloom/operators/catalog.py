@@ -9,7 +9,7 @@ from ..functions.text import plain_name_column
 from ..session import cut_lineage, stored
 from .dims import ancestor_closure, observed_levels
 from .joins import STORED_TYPES, dim_values_for_table, spark_family, stored_type
-from .search import fuzzy_top
+from .search import discover_links, fuzzy_top
 
 INTEGER_TYPES = ("integer", "smallint", "bigint")
 FLOAT_TYPES = ("double precision", "numeric", "real")
@@ -61,12 +61,17 @@ def column_lookup(
 
     ``values`` is ``(dim_id, kode, niveau, titel, parent_kode)`` of one
     classification or ``(pos, id, text)`` of one column. With ``for_table`` only
-    codes that occur in that table remain.
+    codes that occur in that table remain, in the linked column or, without a link,
+    in the one that fits best.
     """
     is_dim = "kode" in values.columns
     code, label = ("kode", "titel") if is_dim else ("id", "text")
     if for_table is not None:
-        mine = links.where(F.col("table_id") == for_table)
+        mine = links.where(F.col("table_id") == for_table).select("table_id", "dim_id", "column_name")
+        asked = values.select(F.lit(for_table).alias("table_id"), "dim_id").distinct()
+        unlinked = stored(asked.join(mine, ["table_id", "dim_id"], "left_anti"), "unlinked")
+        guessed = discover_links(unlinked, used.where(F.col("table_id") == for_table), values)
+        mine = mine.unionByName(guessed.where("column_name is not null").drop("rule"))
         values = dim_values_for_table(values, used, mine).drop("table_id")
     if query is None:
         order = ["niveau", "kode"] if is_dim else ["pos"]

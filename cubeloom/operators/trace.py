@@ -49,7 +49,7 @@ def _parts(messages: DataFrame, keys: list[str]) -> DataFrame:
         F.when(F.col("_answered") & (kind == "tool_return") & ~F.coalesce(repeated, F.lit(False)), "tool_return")
         .when(F.col("_answered") & (kind == "retry"), "tool_retry")
         .when(F.col("_answered"), None)
-        .when((F.col("_side") == "request") & (kind == "user_prompt") & (F.coalesce(F.length(text), F.lit(0)) > 0), "user")
+        .when((F.col("_side") == "request") & (kind == "user_prompt") & (F.coalesce(F.length(text), F.lit(1)) > 0), "user")
         .when(response & (kind == "thinking") & _filled(text), "thinking")
         .when(response & (kind == "text") & _filled(text), "assistant_text")
         .when(response & (kind == "tool_call"), "tool_call")
@@ -66,6 +66,8 @@ def _parts(messages: DataFrame, keys: list[str]) -> DataFrame:
 def trace_events(messages: DataFrame, keys: list[str]) -> DataFrame:
     """Ordered events of every log: ``idx, kind, step_idx, call_seq, ...``.
 
+    A prompt without text holds an attachment only and is kept with a null text.
+
     Results are linked to the latest earlier call with their id; one without a
     call carries the current step.
     """
@@ -77,6 +79,7 @@ def trace_events(messages: DataFrame, keys: list[str]) -> DataFrame:
             "_seq": F.coalesce(is_call, F.lit(False)).cast("bigint"),
             "_place": F.col("event").isNotNull().cast("bigint"),
         },
+        depth=2,
     ).where(F.col("event").isNotNull())
     # rows without an id share an empty one, which is never looked up
     marked = numbered.withColumn("_id", F.coalesce("tool_call_id", F.lit("")))

@@ -45,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
     )
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     fallback = tempfile.mkdtemp(prefix="cubeloom-ckpt-")
     spark.conf.set("spark.checkpoint.dir", fallback)

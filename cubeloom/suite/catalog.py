@@ -75,6 +75,20 @@ def column_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "column_lookup_inferred",
+    """
+    SELECT kode, titel FROM (SELECT d.kode, d.titel, d.niveau FROM dims_linked d WHERE d.dim_id = 'geo' AND d.kode IN
+      (SELECT id FROM fact_codes WHERE table_id = 'F3' AND column_name = 'omrade') ORDER BY d.niveau, d.kode LIMIT 9)
+    """,
+)
+def column_lookup_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table without links: the column is found by its codes."""
+    geo = frames.dims_linked(spark, sf_dir).where(F.col("dim_id") == "geo")
+    links = frames.fact_links(spark, sf_dir).where(F.col("table_id") != "F3")
+    return catalog.column_lookup(geo, n=9, for_table="F3", used=fact_codes(spark, sf_dir), links=links)
+
+
 @query("column_lookup_fuzzy")
 def column_lookup_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = dims_clean(spark, sf_dir, "kn")

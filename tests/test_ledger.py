@@ -172,3 +172,10 @@ def test_one_long_log_in_many_buckets(spark, monkeypatch, width):
             else:
                 want.append(("user", None, None))
     assert [(e.kind, e.call_seq, e.step_idx) for e in whole] == want
+
+
+def test_prompt_with_an_attachment_only(spark):
+    _, got = events(spark, [
+        ("request", None, None, [("user_prompt", None, None, None), ("user_prompt", "", None, None)]), ("response", "stop", "m", [("text", "a", None, None)]),
+    ])
+    assert [(e.kind, e.text) for e in got] == [("user", None), ("assistant_text", "a")]
