@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,9 @@ SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
+#: Scratch paths handed out so far, for jobs that clean up behind themselves.
+SCRATCH: list[str] = []
+
 
 def local_session(cores: int | str = 8, app: str = "cubeloom", memory: str = "8g") -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
@@ -75,6 +79,14 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for a written result."""
-    from uuid import uuid4
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid4().hex}")
+    SCRATCH.append(path)
+    return path
+
 
-    return os.path.join(shared_dir(spark), f"{name}-{uuid4().hex}")
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Remove written results that nothing reads any more, wherever Spark has put them."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
