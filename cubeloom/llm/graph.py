@@ -21,17 +21,19 @@ def components(edges: DataFrame) -> DataFrame:
     ends = edges.where(F.col("a") != F.col("b"))
     ends = ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     current = stored(ends, "edges")
-    before = None
-    while (now := _state(current)) != before and now[0]:
-        current, before = stored(_small_star(_large_star(current)), "edges"), now
+    while not _stars(current):
+        current = stored(_small_star(_large_star(current)), "edges")
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
-def _state(edges: DataFrame) -> tuple[int, object]:
-    of = F.xxhash64("a", "b").cast("decimal(38,0)")
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(of).alias("h")).first()
-    return row["n"], row["h"]
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one smaller node that hangs on none. Then that is the smallest of its component."""
+    both = edges.select(F.col("a").alias("node"), F.lit(1).alias("ups"), F.lit(0).alias("downs")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("ups"), F.lit(1).alias("downs"))
+    )
+    each = both.groupBy("node").agg(F.sum("ups").alias("ups"), F.max("downs").alias("downs"))
+    return each.where((F.col("ups") > 1) | (F.col("ups") > 0) & (F.col("downs") > 0)).isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ table of fixed size only. Any order gives the same result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from .graph import components
 #: Buckets of the frequency table, as a power of two.
 BUCKETS = 18
 #: Untested pairs for each posting up to which the last round may begin; above it, leaders are tried again.
-PAIRS_A_POSTING = 4
+PAIRS_A_POSTING = 100
 _PARTS = 4
 
 
@@ -205,13 +206,12 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     of_set = every.select("doc_id", *key).join(nodes.select(*key, "node"), key, "left")
     several = of_set.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     same_id = stored(of_set.join(several, "doc_id").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "same-id")
-    links, tested = [same_id], None
+    links, tested = [] if same_id.isEmpty() else [same_id], None
+    roots = same_id.select(F.col("a").alias("node"), F.col("b").alias("root"))
     turn, new = 0, 1
     while True:
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.unionByName(more)
-        roots = stored(components(edges), "components")
+        if links:
+            roots = stored(components(reduce(DataFrame.unionByName, links)), "components")
         rooted = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
         rooted = stored(rooted.join(mixed, "token", "left_semi"), "open")
@@ -224,11 +224,12 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = stored(verify(pairs, texts, n, percent), "links")
         new = found.count()
-        links.append(found)
+        links = [*links, found] if new else links
         turn += 1
         if last:
             break
-    edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = stored(components(edges.unionByName(links[-1])), "components") if new else roots
+    if new:
+        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = stored(components(edges.unionByName(found)), "components")
     told = of_set.join(roots, "node", "left")
     return told.select("doc_id", "n_shingles", F.coalesce("root", "node", "doc_id").alias("component_id"))
