@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, stored
-from . import decontaminate, nbsvm, ngram_join, packing, quality_rules, ring, substrings, token_store, toxicity, url_rules
+from . import decontaminate, nbsvm, ngram_join, packing, quality_rules, ring, sql, substrings, token_store, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -110,3 +110,10 @@ def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = ring.shard(table(spark, sf_dir, "documents"))
     return placed.select("*", F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+ORACLES |= {
+    "op3_ngram_join": sql.NGRAM_JOIN,
+    "op4_redirect_rules": sql.redirect_rules(RULES),
+    "op7_relative_parsing": sql.RELATIVE_PARSING,
+}
