@@ -29,12 +29,11 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from . import words as W
 
 #: Words in a window, and in the k-grams that anchor it.
@@ -174,8 +173,8 @@ def dedup(docs: DataFrame, span: int = SPAN, with_text: bool = True) -> DataFram
     A text that loses nothing is unchanged. Windows are judged on the input.
     Rows that repeat an id never remove words of each other; a row without an id
     neither loses words nor removes any; null and short texts lose nothing; an
-    empty table gives no rows. Without ``with_text`` the text is left out where
-    the operator needn't keep it.
+    empty table gives no rows. Without ``with_text`` the text is null, and fewer
+    texts are read a second time.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -193,7 +192,9 @@ def dedup(docs: DataFrame, span: int = SPAN, with_text: bool = True) -> DataFram
         F.collect_list(F.when(~F.col("old"), F.col("block"))).alias("_open"),
     )
     rest = [F.col(c) for c in docs.columns if c != "text"]
-    rows = docs.select(F.struct(*rest).alias("rest"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = docs.select(
+        F.struct(*rest).alias("rest"), F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("mark")
+    )
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make(rows: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
@@ -207,25 +208,23 @@ def dedup(docs: DataFrame, span: int = SPAN, with_text: bool = True) -> DataFram
             held = pa.ListArray.from_arrays(pa.array(np.searchsorted(asks[:, 0], np.arange(len(texts) + 1).astype(np.uint64)), pa.int32()), _signed(np.ascontiguousarray(asks[:, 1])))
             found = _found(blocks, covered, texts)
             pending = np.bincount(own, minlength=len(texts)) > 0
-            # an open document goes on whole, with the words covered so far as spans
-            kept = found[0] if with_text else pa.nulls(len(texts), pa.string())
-            found[0] = pc.if_else(pa.array(pending), rows.column("text"), kept)
+            # no text is written here: the spans and the open windows say all
+            found[0] = pa.nulls(len(texts), pa.string())
             return pa.RecordBatch.from_arrays(
-                [rows.column("rest"), rows.column("doc_id"), *found, pa.array(pending), held], ["rest", "doc_id", *_NAMES, "pending", "asks"]
+                [rows.column("rest"), rows.column("doc_id"), *found, rows.column("mark"), pa.array(pending), held],
+                ["rest", "doc_id", *_NAMES, "mark", "pending", "asks"],
             )
 
         return W.by_step(make)(batches)
 
-    parsed = rows.join(by_doc, "doc_id", "left").select("rest", "doc_id", "text", "_old", "_open")
+    parsed = rows.join(by_doc, "doc_id", "left").select("rest", "doc_id", "text", "mark", "_old", "_open")
     path = scratch_path(spark, "parsed")
-    out = parsed.mapInArrow(parse, _schema(parsed, _FOUND + ", pending boolean, asks array<bigint>"))
-    out.write.option("compression", "zstd").parquet(path)
+    out = parsed.mapInArrow(parse, _schema(parsed, _FOUND + ", mark bigint, pending boolean, asks array<bigint>"))
+    out.write.parquet(path)
     out = spark.read.schema(out.schema).parquet(path)
-    done = out.where("not pending").drop("pending", "asks")
-    waiting = out.where("pending")
-    asks = waiting.select("doc_id", F.explode("asks").alias("window"))
+    asks = out.where("pending").select("doc_id", F.explode("asks").alias("window"))
     hits = asks.withColumn("first", F.min("doc_id").over(Window.partitionBy("window"))).where("doc_id > first")
-    hits = hits.groupBy("doc_id").agg(F.collect_set("window").alias("_hits"))
+    hits = stored(hits.groupBy("doc_id").agg(F.collect_set("window").alias("_hits")), "hits")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make(rows: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
@@ -235,7 +234,7 @@ def dedup(docs: DataFrame, span: int = SPAN, with_text: bool = True) -> DataFram
             covered = blocks.cover(blocks.windows[hit])
             spans = rows.column("spans")
             inner = spans.flatten()
-            begin = inner.field("start").to_numpy() + np.repeat(blocks.words.first[:-1], spans.value_lengths().to_numpy())
+            begin = inner.field("start").to_numpy() + np.repeat(blocks.words.first[:-1], spans.value_lengths().fill_null(0).to_numpy())
             covered[W.spread(begin, inner.field("n").to_numpy().astype(np.int64))] = True
             found = _found(blocks, covered, texts)
             if not with_text:
@@ -244,9 +243,14 @@ def dedup(docs: DataFrame, span: int = SPAN, with_text: bool = True) -> DataFram
 
         return W.by_step(make)(batches)
 
-    ready = waiting.select("rest", "doc_id", "text", "spans").join(hits, "doc_id", "left").select("rest", "doc_id", "text", "spans", "_hits")
+    spans = out.select("doc_id", "mark", "spans").join(hits, "doc_id", "left" if with_text else "inner").dropDuplicates(["doc_id", "mark"])
+    # with texts all rows are read once more, else those with a hit; the others are done
+    ready = rows.join(spans, ["doc_id", "mark"], "left" if with_text else "inner")
+    ready = ready.select("rest", "doc_id", "text", "spans", "_hits")
     finished = ready.mapInArrow(finish, _schema(ready, _FOUND))
-    return done.unionByName(finished)
+    if with_text:
+        return finished
+    return out.join(hits, "doc_id", "left_anti").drop("mark", "pending", "asks").unionByName(finished)
 
 
 def _schema(df: DataFrame, more: str) -> StructType:

@@ -38,6 +38,8 @@ def check(df, span):
     rows = substrings.dedup(df, span).collect()
     got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows)
     assert got == plain([(r["doc_id"], r["text"]) for r in df.collect()], span)
+    bare = substrings.dedup(df, span, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert Counter(tuple(r) for r in bare) == got
     return rows
 
 
