@@ -10,7 +10,9 @@ around the window must be at most ``rate`` of the item's length.
 
 Windows begin at anchors, the lowest words of every few neighbours, so an item
 and its copy begin windows at the same words. Their sizes are those of the
-items, rounded down to a few classes; one walk serves all classes.
+items, rounded down to a few classes; one walk serves all classes. An item may
+be too short to have an anchor that leaves room for a window, so items under
+twelve words are looked up as whole runs of words as well.
 
 Documents are read once for each block of items, and nothing of them is
 shuffled. A block is bounded in bytes, so its index can be sent to every task.
@@ -30,12 +32,14 @@ from pyspark.sql import functions as F
 
 from . import words as W
 
-#: Window sizes in words; items shorter than the first are not searched for.
+#: Window sizes in words.
 SIZES = (8, 16, 24)
 #: Neighbouring words of which one is an anchor.
 NEIGHBOURS = 5
 #: Different walks, and places of an embedding that one hash takes.
 WALKS, PLACES = 4, 4
+#: Items of fewer words may have no window: the first anchor is among the first NEIGHBOURS words.
+SHORT = SIZES[0] + NEIGHBOURS - 1
 #: A hash goes into the index if it took so many different words of at least so many bytes; others meet by chance.
 TELLING, LONG = 2, 5
 #: Text of the items in one index.
@@ -128,6 +132,30 @@ class Index:
     seen: np.ndarray
     times: int
     rate: float
+    run_key: np.ndarray
+    run_item: np.ndarray
+    run_word: np.ndarray
+    run_seen: np.ndarray
+    run_sizes: list[int]
+
+
+def runs(w: W.Words, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Hash of the whole of each item under ``SHORT`` words, sorted, with the item and the run's word in it; the lengths."""
+    size = np.where(w.counts < SHORT, w.counts, 0)
+    sizes = np.unique(size[size > 0]).tolist()
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for n in sizes:
+        item = np.flatnonzero(size == n)
+        found.append((W.grams(hashed, n, seed=n)[w.first[item]], item, np.zeros(len(item), np.int64)))
+    key, item, word = (np.concatenate([f[k] for f in found]) for k in range(3))
+    order = np.argsort(key, kind="stable")
+    return key[order], item[order], word[order], sizes
+
+
+def _seen(key: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << _FILTER, bool)
+    out[(key >> np.uint64(64 - _FILTER)).astype(np.int64)] = True
+    return out
 
 
 def index(items: list[tuple[int, str | None]], recall: float, rate: float) -> Index:
@@ -149,10 +177,12 @@ def index(items: list[tuple[int, str | None]], recall: float, rate: float) -> In
     good |= np.bincount(item, good, len(items))[item] < times
     key, item, word = key[good], item[good], word[good]
     order = np.argsort(key, kind="stable")
-    seen = np.zeros(1 << _FILTER, bool)
-    seen[(key >> np.uint64(64 - _FILTER)).astype(np.int64)] = True
+    run_key, run_item, run_word, run_sizes = runs(w, hashed)
     texts = [_plain(w, w.first[i], w.first[i + 1]) for i in range(len(items))]
-    return Index([i for i, _ in items], texts, w.counts, key[order], item[order], word[order], seen, times, rate)
+    return Index(
+        [i for i, _ in items], texts, w.counts, key[order], item[order], word[order], _seen(key), times, rate,
+        run_key, run_item, run_word, _seen(run_key), run_sizes,
+    )
 
 
 def _plain(w: W.Words, start: int, end: int) -> str:
@@ -174,13 +204,20 @@ def search(texts: list[bytes | None], ix: Index) -> list[tuple[int, int, int]]:
         window, at = np.repeat(maybe, high - low), W.spread(low, high - low)
         # where the item would begin in the text
         met.append(np.stack((owner[window], ix.item[at], start[window] - ix.word[at]), axis=1))
+    text = w.text
+    for size in ix.run_sizes:
+        key = W.grams(hashed, size, seed=size)
+        maybe = np.flatnonzero(ix.run_seen[(key >> np.uint64(64 - _FILTER)).astype(np.int64)] & W.inside(w, size))
+        low, high = (np.searchsorted(ix.run_key, key[maybe], side=s) for s in ("left", "right"))
+        begin, at = np.repeat(maybe, high - low), W.spread(low, high - low)
+        met.append(np.stack((text[begin], ix.run_item[at], begin - ix.run_word[at]), axis=1))
     best: dict[tuple[int, int], int] = {}
     done: dict[tuple[int, int], int] = {}
     for text, item, begin in np.unique(np.concatenate(met), axis=0).tolist():
         n = int(ix.counts[item])
         slack = int(ix.rate * n) + 2
         # a stretch covers the places near it as well
-        if (text, item) in done and begin - done[text, item] <= slack:
+        if best.get((text, item)) == 0 or ((text, item) in done and begin - done[text, item] <= slack):
             continue
         done[text, item] = begin
         a, b = max(int(w.first[text]), begin - 2 * slack), min(int(w.first[text + 1]), begin + n + 3 * slack)
@@ -204,9 +241,10 @@ def matches(docs: DataFrame, items: DataFrame, recall: float = 0.99, rate: float
     """``doc_id, item_id, edits`` for each document and each item it holds.
 
     ``recall`` is aimed at for copies with a tenth of the words edited; an exact
-    copy shares every hash. Null texts hold nothing; null items and items under
-    eight words are found nowhere; rows that share an id count as one document;
-    empty tables give no rows.
+    copy shares every hash, and of items under ``SHORT`` words, which may have no
+    window, all exact copies are found. Null texts hold nothing; items without
+    words are found nowhere; rows that share an id count as one document; empty
+    tables give no rows.
     """
 
     def use(docs: DataFrame, ix: Broadcast[Index]) -> DataFrame:

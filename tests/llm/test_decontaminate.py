@@ -83,6 +83,17 @@ def test_recall_on_edited_copies(spark, seed):
     assert sum(got[k] == want[k] for k in got) >= 0.99 * len(got)
 
 
+def test_exact_copies_of_short_items(spark):
+    """Items of one to twelve words, whether or not one of their words is an anchor with room behind it."""
+    rng = random.Random(3)
+    items = [(n * 100 + k, " ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(n))) for n in range(1, 13) for k in range(12)]
+    docs = spark.createDataFrame([(i, f"Not {' '.join(prose(rng, 20))} {t.upper()} or else", None, None, None) for i, t in items], SCHEMA)
+    docs = docs.unionByName(spark.createDataFrame([(-1, " ".join(prose(rng, 200)), None, None, None)], SCHEMA))
+    got = {(r["doc_id"], r["item_id"], r["edits"]) for r in decontaminate.matches(docs, spark.createDataFrame(items, ITEMS)).collect()}
+    assert got == {(i, i, 0) for i, _ in items}
+    assert [r["doc_id"] for r in decontaminate.clean(docs, spark.createDataFrame(items, ITEMS)).collect()] == [-1]
+
+
 def test_blocks_hold_all_items(spark, monkeypatch):
     items = spark.createDataFrame([(i, f"item number {i} " * 8) for i in range(50)] + [(None, None), (3, "item number 3 " * 8)], ITEMS)
     docs = spark.createDataFrame([(i, "x " * 20 + f"ITEM number {i} " * 8, None, None, None) for i in range(50)], SCHEMA)
