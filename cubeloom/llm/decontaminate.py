@@ -10,9 +10,12 @@ around the window must be at most ``rate`` of the item's length.
 
 Windows begin at anchors, the lowest words of every few neighbours, so an item
 and its copy begin windows at the same words. Their sizes are those of the
-items, rounded down to a few classes; one walk serves all classes. An item may
-be too short to have an anchor that leaves room for a window, so items under
-twelve words are looked up as whole runs of words as well.
+items, rounded down to a few classes; one walk serves all classes.
+
+Walks meet by chance, and an item may be too short for a window. So short runs
+of words are looked up as well, without anchors: ``e`` edited words leave one of
+``e + 1`` equal parts of an item whole, so a copy with up to ``rate`` of the
+words edited always shares a run of that length with its item.
 
 Documents are read once for each block of items, and nothing of them is
 shuffled. A block is bounded in bytes, so its index can be sent to every task.
@@ -38,8 +41,8 @@ SIZES = (8, 16, 24)
 NEIGHBOURS = 5
 #: Different walks, and places of an embedding that one hash takes.
 WALKS, PLACES = 4, 4
-#: Items of fewer words may have no window: the first anchor is among the first NEIGHBOURS words.
-SHORT = SIZES[0] + NEIGHBOURS - 1
+#: Words in the runs that are looked up, at most; fewer where so many edits can leave shorter parts only.
+RUN = 3
 #: A hash goes into the index if it took so many different words of at least so many bytes; others meet by chance.
 TELLING, LONG = 2, 5
 #: Text of the items in one index.
@@ -137,16 +140,25 @@ class Index:
     run_word: np.ndarray
     run_seen: np.ndarray
     run_sizes: list[int]
+    hashed: np.ndarray
+    first: np.ndarray
+
+
+def edited(n: np.ndarray, rate: float) -> np.ndarray:
+    """Words that may be edited in items of ``n`` words."""
+    return np.floor(rate * n + 1e-9).astype(np.int64)
 
 
-def runs(w: W.Words, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """Hash of the whole of each item under ``SHORT`` words, sorted, with the item and the run's word in it; the lengths."""
-    size = np.where(w.counts < SHORT, w.counts, 0)
+def runs(w: W.Words, hashed: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Hash of each run of the length that an item's edits leave whole, sorted, with the item and the run's word in it; the lengths."""
+    size = np.minimum(w.counts // (edited(w.counts, rate) + 1), RUN)
     sizes = np.unique(size[size > 0]).tolist()
     found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    text = w.text
     for n in sizes:
-        item = np.flatnonzero(size == n)
-        found.append((W.grams(hashed, n, seed=n)[w.first[item]], item, np.zeros(len(item), np.int64)))
+        begin = np.flatnonzero(W.inside(w, n) & (size[text[: max(0, len(text) - n + 1)]] == n))
+        item = text[begin]
+        found.append((W.grams(hashed, n, seed=n)[begin], item, begin - w.first[item]))
     key, item, word = (np.concatenate([f[k] for f in found]) for k in range(3))
     order = np.argsort(key, kind="stable")
     return key[order], item[order], word[order], sizes
@@ -177,11 +189,11 @@ def index(items: list[tuple[int, str | None]], recall: float, rate: float) -> In
     good |= np.bincount(item, good, len(items))[item] < times
     key, item, word = key[good], item[good], word[good]
     order = np.argsort(key, kind="stable")
-    run_key, run_item, run_word, run_sizes = runs(w, hashed)
+    run_key, run_item, run_word, run_sizes = runs(w, hashed, rate)
     texts = [_plain(w, w.first[i], w.first[i + 1]) for i in range(len(items))]
     return Index(
         [i for i, _ in items], texts, w.counts, key[order], item[order], word[order], _seen(key), times, rate,
-        run_key, run_item, run_word, _seen(run_key), run_sizes,
+        run_key, run_item, run_word, _seen(run_key), run_sizes, hashed, w.first,
     )
 
 
@@ -190,6 +202,22 @@ def _plain(w: W.Words, start: int, end: int) -> str:
     return b" ".join(w.data[a:b] for a, b in zip(w.start[start:end].tolist(), w.end[start:end].tolist(), strict=True)).decode()
 
 
+def alike(w: W.Words, hashed: np.ndarray, ix: Index, met: np.ndarray) -> np.ndarray:
+    """Those of ``met`` that have enough of the item's words near: each edited word costs one, and as many again are allowed."""
+    out = [met[:0]]
+    for part in np.array_split(met, len(met) // 20_000 + 1):
+        text, item, begin = part.T
+        n = ix.counts[item]
+        e = edited(n, ix.rate)
+        low, high = np.maximum(w.first[text], begin - 2 * e), np.minimum(w.first[text + 1], begin + n + 2 * e)
+        case = np.arange(len(part), dtype=np.uint64)
+        near = np.unique(W.combine(np.repeat(case, high - low), hashed[W.spread(low, high - low)]))
+        of = np.repeat(np.arange(len(part)), n)
+        there = np.isin(W.combine(case[of], ix.hashed[W.spread(ix.first[item], n)]), near)
+        out.append(part[np.bincount(of[there], minlength=len(part)) >= n - 2 * e])
+    return np.concatenate(out)
+
+
 def search(texts: list[bytes | None], ix: Index) -> list[tuple[int, int, int]]:
     """``text, item, edits`` for each item found in each text, with the fewest edits found."""
     w = W.split(texts, fold=True)
@@ -205,12 +233,14 @@ def search(texts: list[bytes | None], ix: Index) -> list[tuple[int, int, int]]:
         # where the item would begin in the text
         met.append(np.stack((owner[window], ix.item[at], start[window] - ix.word[at]), axis=1))
     text = w.text
+    shared = [np.zeros((0, 3), np.int64)]
     for size in ix.run_sizes:
         key = W.grams(hashed, size, seed=size)
         maybe = np.flatnonzero(ix.run_seen[(key >> np.uint64(64 - _FILTER)).astype(np.int64)] & W.inside(w, size))
         low, high = (np.searchsorted(ix.run_key, key[maybe], side=s) for s in ("left", "right"))
         begin, at = np.repeat(maybe, high - low), W.spread(low, high - low)
-        met.append(np.stack((text[begin], ix.run_item[at], begin - ix.run_word[at]), axis=1))
+        shared.append(np.unique(np.stack((text[begin], ix.run_item[at], begin - ix.run_word[at]), axis=1), axis=0))
+    met.append(alike(w, hashed, ix, np.concatenate(shared)))
     best: dict[tuple[int, int], int] = {}
     done: dict[tuple[int, int], int] = {}
     for text, item, begin in np.unique(np.concatenate(met), axis=0).tolist():
@@ -240,11 +270,11 @@ def blocks(items: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
 def matches(docs: DataFrame, items: DataFrame, recall: float = 0.99, rate: float = 0.2) -> DataFrame:
     """``doc_id, item_id, edits`` for each document and each item it holds.
 
-    ``recall`` is aimed at for copies with a tenth of the words edited; an exact
-    copy shares every hash, and of items under ``SHORT`` words, which may have no
-    window, all exact copies are found. Null texts hold nothing; items without
-    words are found nowhere; rows that share an id count as one document; empty
-    tables give no rows.
+    A copy with up to ``rate`` of the item's words edited is always found if it is
+    a match. Where more words are edited, each by few characters, ``recall`` only
+    sets how many hashes are tried. Null texts hold nothing; items without words
+    are found nowhere; rows that share an id count as one document; empty tables
+    give no rows.
     """
 
     def use(docs: DataFrame, ix: Broadcast[Index]) -> DataFrame:

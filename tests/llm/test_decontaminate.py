@@ -94,6 +94,29 @@ def test_exact_copies_of_short_items(spark):
     assert [r["doc_id"] for r in decontaminate.clean(docs, spark.createDataFrame(items, ITEMS)).collect()] == [-1]
 
 
+@pytest.mark.parametrize("rate", [0.2, 0.3])
+def test_all_copies_with_up_to_rate_of_the_words_edited(spark, rate):
+    """Items of 15 to 20 words: everything brute force takes is found, from no edit up to ``rate`` of the words."""
+    rng = random.Random(7)
+    items = [(i, " ".join(prose(rng, rng.randint(15, 20)))) for i in range(60)]
+    rows, want = [], set()
+    for d in range(400):
+        i, text = items[d % 60]
+        words = text.split()
+        most = int(rate * len(words) + 1e-9)
+        for _ in range(most if d % 2 else rng.randint(0, most)):
+            k = rng.randrange(len(words))
+            words[k : k + 1] = rng.choice([[], ["new", words[k]], [words[k][::-1]]])
+        whole = fold(" ".join(prose(rng, 60) + words + prose(rng, 60)))
+        if decontaminate.edits(text, whole) <= rate * len(text):
+            want.add((d, i))
+        rows.append((d, whole, None, None, None))
+    docs, items = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, ITEMS)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, items, rate=rate).collect()}
+    assert got == want and len(want) > 350
+    assert {r["doc_id"] for r in decontaminate.clean(docs, items, rate=rate).collect()} == set(range(400)) - {d for d, _ in want}
+
+
 def test_blocks_hold_all_items(spark, monkeypatch):
     items = spark.createDataFrame([(i, f"item number {i} " * 8) for i in range(50)] + [(None, None), (3, "item number 3 " * 8)], ITEMS)
     docs = spark.createDataFrame([(i, "x " * 20 + f"ITEM number {i} " * 8, None, None, None) for i in range(50)], SCHEMA)
