@@ -1,9 +1,10 @@
 """Remove passages that a document with a smaller id already has.
 
-Relative Lempel-Ziv parsing over the corpus itself: the documents with smaller
-ids are the reference, kept as indexed blocks, and a document is parsed into
-factors, the longest runs of words that the reference has. A factor of at least
-``span`` words is a duplicate.
+In place of a greedy Relative Lempel-Ziv parse: the documents with smaller ids
+are the reference, kept as indexed blocks, and blocks and windows of a document
+are looked up there by hash. No longest match is extended; a "factor" below is
+a run of words covered by blocks that were found. ``span`` words or more that
+the reference has are a duplicate.
 
 * Blocks are cut by content. Every run of ``span`` words (a window) has an
   anchor, its lowest k-gram; the words under neighbouring windows of one anchor
