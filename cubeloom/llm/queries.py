@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, stored
-from . import decontaminate, nbsvm, ngram_join, packing, quality_rules, ring, sql, substrings, token_store, toxicity, url_rules
+from . import (
+    decontaminate, html_text, nbsvm, ngram_join, packing, quality_rules, ring, sql, substrings, token_store, toxicity, turn_trie, url_rules,
+    whitening,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -112,8 +115,28 @@ def op10_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("*", F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op11_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    placed = turn_trie.turns(table(spark, sf_dir, "conversations"))
+    return turn_trie.trie(turn_trie.with_shared_heads(placed, 20, heads))
+
+
+@query
+def op13_spectrum_slicing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbers = whitening.whole_numbers(table(spark, sf_dir, "embeddings"))
+    return whitening.whiten(numbers, whitening.fit(numbers, components=16))
+
+
 ORACLES |= {
     "op3_ngram_join": sql.NGRAM_JOIN,
     "op4_redirect_rules": sql.redirect_rules(RULES),
     "op7_relative_parsing": sql.RELATIVE_PARSING,
+    "op11_block_rules": sql.BLOCK_RULES,
+    "op12_turn_trie": sql.TURN_TRIE,
 }

