@@ -16,6 +16,8 @@ _KINDS = (
     (_byte >= 97) & (_byte <= 122), (_byte >= 65) & (_byte <= 90), (_byte >= 48) & (_byte <= 57), _byte >= 128,
     (_byte < 128) & ~np.isin(_byte, [*range(48, 58), *range(65, 91), *range(97, 123)]) & ~W.SPACE,
 )
+#: Stands where the eighths of a text would, beyond the largest of them.
+_WORDLESS = 9
 _LETTER = _KINDS[0] | _KINDS[1] | _KINDS[3]
 
 
@@ -25,12 +27,11 @@ def indicators(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     Features are lower-cased words without outer symbols, their beginnings,
     beginnings met more than once, shapes of words (kinds of characters, last character, short or long) alone
     and in twos and threes, and how much of the text is made of word trigrams it
-    has more than once, in eighths.
+    has more than once, in eighths. A text without words has one feature that
+    says so. No text's features depend on the others.
     """
     w = W.split(texts)
     text = w.text
-    if not len(text):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     data = np.frombuffer(w.data, np.uint8)
     kinds, start, end = np.zeros(len(text), np.uint64), w.start, w.end
     for k, kind in enumerate(_KINDS):
@@ -61,7 +62,7 @@ def indicators(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     owner = text[: len(ok)][ok].astype(np.uint64)
     _, back, many = np.unique(W.combine(owner, W.grams(W.hashes(w), 3)[ok]), return_inverse=True, return_counts=True)
     again = np.bincount(owner.astype(np.int64)[many[back] > 1], minlength=len(texts))
-    eighth = np.ceil(8 * again / np.maximum(w.counts, 1)).astype(np.uint64)
+    eighth = np.where(w.counts > 0, np.ceil(8 * again / np.maximum(w.counts, 1)), _WORDLESS).astype(np.uint64)
     parts.append((np.arange(len(texts)), W.mix(eighth + np.uint64(1 << 40))))
     owner = np.concatenate([p[0] for p in parts])
     feature = (np.concatenate([p[1] for p in parts]) >> np.uint64(64 - BITS)).astype(np.int64)

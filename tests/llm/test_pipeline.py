@@ -33,7 +33,7 @@ def test_stages_on_given_documents(spark):
     assert {r["doc_id"]: r for r in rows} == {i: r for i, r in before.items() if i in good}
 
     before = {r["doc_id"]: r for r in rows}
-    groups = plain_groups([(r["doc_id"], r["text"]) for r in rows], 3, 90)
+    groups = plain_groups([(r["doc_id"], r["text"]) for r in rows], 5, 80)
     docs, rows = step("n-gram Jaccard join", docs)
     assert {r["doc_id"]: r for r in rows} == {i: before[i] for i, _, root in groups if i == root}
 

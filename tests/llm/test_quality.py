@@ -109,6 +109,44 @@ def test_classifiers_on_odd_and_empty(spark, odd, empty):
     assert toxicity.score(odd, toxicity.fit(odd, labels, ["quality"]), ["quality"]).count() == odd.count()
 
 
+ALONE = [None, "", " \n", "one", "a b a b a b a b", "Ein Test, noch einer!", "$$$ win ### now", "x" * 70_000, "", "many words " * 500]
+
+
+def plain_margin(text, weights, scale, tail, earlier):
+    """One text on its own, feature by feature."""
+    held = sorted(set(X.indicators([None if text is None else text.encode()])[1].tolist()))
+    assert held
+    size = sum(float(scale[f]) ** 2 for f in held) ** 0.5 or 1.0
+    return sum(float(weights[f]) for f in held) / size + sum(float(a) * b for a, b in zip(tail, [*earlier, 1.0], strict=True))
+
+
+def plain_chain(text, models):
+    earlier = []
+    for weights, scale, tail, (slope, shift) in models:
+        z = slope * plain_margin(text, weights, scale, tail, earlier) + shift
+        earlier.append(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
+    return earlier
+
+
+def test_scores_do_not_depend_on_neighbours(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model, chain = nbsvm.fit(docs, labels, "quality"), toxicity.fit(docs, labels, ["quality", "toxic"])
+    texts = ALONE + [r["text"] for r in docs.orderBy("doc_id").limit(60).collect()] + ALONE
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for parts, batch in ((1, 10_000), (3, 10_000), (50, 10_000), (2, 1)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            one = {r["doc_id"]: r["score"] for r in nbsvm.score(rows.repartition(parts), model).collect()}
+            two = {r["doc_id"]: (r["p_quality"], r["p_toxic"]) for r in toxicity.score(rows.repartition(parts), chain, ["quality", "toxic"]).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        for i, text in enumerate(texts):
+            assert abs(one[i] - plain_chain(text, [model])[0]) < 1e-5
+            assert np.allclose(two[i], plain_chain(text, chain), atol=1e-5)
+    assert one[0] == one[1] == one[2] == one[len(texts) - 2 - 7]
+
+
 def test_dual_coordinate_descent_reaches_the_optimum():
     rng = np.random.default_rng(3)
     rows = [np.sort(rng.choice(40, 6, replace=False)) for _ in range(60)]
