@@ -6,6 +6,8 @@ the key that periods are compared on.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,10 @@ from ..plans.lookup import distinct_codes, join_lookup
 from ..session import stored
 
 
+#: Cleans raw rows of some periods, given ``(table_id, tid)`` of all periods of their tables.
+Clean = Callable[[DataFrame, DataFrame], DataFrame]
+
+
 def series_forms(codes: DataFrame, keys: list[str]) -> DataFrame:
     """One row per table: the form of its first non-null code, from its distinct codes.
 
@@ -55,16 +61,18 @@ def period_lookup(codes: DataFrame, keys: list[str], strict: bool) -> DataFrame:
 
 
 def clean_periods(
-    df: DataFrame, keys: list[str] | None = None, pos: str | None = None, strict: bool = True
+    df: DataFrame, keys: list[str] | None = None, pos: str | None = None, strict: bool = True, codes: DataFrame | None = None
 ) -> DataFrame:
     """Add ``tid_form, tid_date, tid_range, tid_text``; one form holds for a whole table.
 
     A code that does not fit its table's form raises in strict mode; otherwise
     the row is kept with ``tid_rejected`` true. Codes are read once per distinct
-    code; the rows only look them up.
+    code; the rows only look them up. Where ``df`` has some periods of its tables
+    only, ``codes`` (such as a manifest) has all of them, so that the form is
+    that of the whole table.
     """
     on = [*(["table_id"] if keys is None else keys), "tid"]
-    codes = stored(distinct_codes(df, on, pos), "codes")
+    codes = stored(distinct_codes(df if codes is None else codes, on, pos), "codes")
     return join_lookup(df, stored(period_lookup(codes, on[:-1], strict), "periods"), on)
 
 
@@ -98,9 +106,19 @@ def apply_delta(target: DataFrame, reloaded: DataFrame, changed: DataFrame) -> D
 def delta_report(target: DataFrame, reloaded: DataFrame, changed: DataFrame, manifest: DataFrame) -> DataFrame:
     """Per table: status, rows deleted and inserted, changed periods without a file.
 
-    ``changed`` holds the raw codes ``(table_id, pos, tid)``.
+    ``changed`` holds the raw codes ``(table_id, pos, tid)``. Only rows of changed periods are counted.
     """
-    tables = changed.select("table_id").distinct()
+    keys = stored(normalize_periods(loadable_changes(changed, manifest)).select("table_id", "tid_text"), "keys")
+
+    def rows(df: DataFrame) -> DataFrame:
+        hit = df.select("table_id", "tid_text").join(keys, ["table_id", "tid_text"], "left_semi")
+        return hit.groupBy("table_id").agg(F.count(F.lit(1)).alias("rows"))
+
+    return report(changed, manifest, rows(target), rows(reloaded))
+
+
+def report(changed: DataFrame, manifest: DataFrame, deleted: DataFrame, inserted: DataFrame) -> DataFrame:
+    """The report of a delta from counts ``(table_id, rows)`` of what was deleted and inserted."""
     held = manifest.select("table_id", "tid").distinct().withColumn("_held", F.lit(1))
     disk = (
         changed.select("table_id", "tid")
@@ -109,17 +127,10 @@ def delta_report(target: DataFrame, reloaded: DataFrame, changed: DataFrame, man
         .groupBy("table_id")
         .agg(F.count("_held").alias("_found"), F.count_if(F.col("_held").isNull()).alias("missing_periods"))
     )
-    keys = normalize_periods(loadable_changes(changed, manifest)).select("table_id", "tid_text")
-
-    def rows(df: DataFrame, name: str) -> DataFrame:
-        hit = df.select("table_id", "tid_text").groupBy("table_id", "tid_text").agg(F.count(F.lit(1)).alias("_c"))
-        return hit.join(keys, ["table_id", "tid_text"]).groupBy("table_id").agg(F.sum("_c").alias(name))
-
     zero = F.lit(0).cast("bigint")
     return (
-        tables.join(disk, "table_id")
-        .join(rows(target, "_deleted"), "table_id", "left")
-        .join(rows(reloaded, "_inserted"), "table_id", "left")
+        disk.join(deleted.groupBy("table_id").agg(F.sum("rows").alias("_deleted")), "table_id", "left")
+        .join(inserted.groupBy("table_id").agg(F.sum("rows").alias("_inserted")), "table_id", "left")
         .select(
             "table_id",
             F.when(F.col("_found") > 0, "applied").otherwise("skipped").alias("status"),
@@ -159,10 +170,15 @@ def backfill_plan(manifest: DataFrame, loaded: DataFrame) -> DataFrame:
     )
 
 
-def backfill(loaded: DataFrame, manifest: DataFrame, on_disk: DataFrame) -> DataFrame:
-    """Stored facts with the absent periods of every table added from cleaned disk rows."""
-    absent = stored(missing_periods(manifest, loaded).select("table_id", "tid_text"), "absent")
-    return apply_delta(loaded, on_disk, absent)
+def backfill(loaded: DataFrame, manifest: DataFrame, raw: DataFrame, clean: Clean) -> DataFrame:
+    """Stored facts with the absent periods of every table added from the raw rows.
+
+    What is absent is told from the manifest first, so only those raw rows are
+    cleaned; ``clean`` gets them and the manifest with all codes.
+    """
+    absent = stored(missing_periods(manifest, loaded), "absent")
+    rows = raw.join(absent.select("table_id", "tid"), ["table_id", "tid"], "left_semi")
+    return apply_delta(loaded, clean(rows, manifest), absent.select("table_id", "tid_text"))
 
 
 def period_extent(facts: DataFrame) -> DataFrame:

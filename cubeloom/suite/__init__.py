@@ -6,7 +6,7 @@ from importlib import import_module
 
 from ._registry import ORACLES, QUERIES
 
-SECTIONS = ("periods", "cleaning", "joins", "cube", "query_sets", "layout", "catalog", "ledger")
+SECTIONS = ("periods", "sync_runs", "cleaning", "joins", "cube", "query_sets", "layout", "catalog", "ledger")
 
 
 def _load() -> None:

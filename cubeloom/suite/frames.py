@@ -266,6 +266,18 @@ def changed_quarters(quarters: DataFrame) -> DataFrame:
     return quarters.where(F.col("rk") <= 4).select("table_id", (4 - F.col("rk")).cast("bigint").alias("pos"), "tid")
 
 
+def segment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw rows of one table per market segment and order priority; those of segment B and priority 2 have a unit in the measure."""
+    orders = table(spark, sf_dir, "orders")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    price = F.replace(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(","))
+    table_id = F.concat(F.substring("c_mktsegment", 1, 1), F.substring("o_orderpriority", 1, 1))
+    return orders.join(customer, orders.o_custkey == customer.c_custkey).select(
+        table_id.alias("table_id"), F.col("o_orderstatus").alias("status"), F.to_date("o_orderdate").alias("day"),
+        quarter_code(F.col("o_orderdate")).alias("tid"), F.when(table_id == "B2", F.concat(price, F.lit(" kr"))).otherwise(price).alias("indhold"),
+    )
+
+
 def part_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Type, brand and part as a three-level tree with its traversal order."""
     kind = F.ascii("p_type").cast("bigint") * 26 + F.ascii(F.substring("p_type", 2, 1))

@@ -9,7 +9,7 @@ from ..functions.periods import int_range, range_text
 from ..operators import delta, sync
 from ..operators.clean import clean_measure
 from ..session import scratch_path, stored
-from ..sources import layout
+from ..sources import delta_files, layout
 from . import frames
 from ._registry import query
 
@@ -33,7 +33,8 @@ def resolve_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _picked(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = stored(frames.period_lists(spark, sf_dir), "lists")
-    return sync.pick_periods(lists, frames.local_periods_held(spark, sf_dir), sync.infer_frequency(lists))
+    frequencies = sync.resolve_frequency(lists, frames.frequency_overrides(spark, sf_dir))
+    return sync.pick_periods(lists, frames.local_periods_held(spark, sf_dir), frequencies)
 
 
 @query("pick_periods", "SELECT table_id, pos, tid, reason FROM picked_periods")
@@ -180,8 +181,12 @@ def _quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(frames.table_quarters(spark, sf_dir), "quarters")
 
 
-def _clean_facts(raw: DataFrame) -> DataFrame:
-    return clean_measure(delta.clean_periods(raw)).where(F.col("indhold").isNotNull())
+def _clean_facts(raw: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    return clean_measure(delta.clean_periods(raw, codes=codes)).where(F.col("indhold").isNotNull())
+
+
+def _reloaded(raw: DataFrame, codes: DataFrame) -> DataFrame:
+    return _clean_facts(raw, codes).withColumn("indhold", F.col("indhold") + 1)
 
 
 def loaded_facts(spark: SparkSession, sf_dir: str, quarters: DataFrame) -> DataFrame:
@@ -191,10 +196,11 @@ def loaded_facts(spark: SparkSession, sf_dir: str, quarters: DataFrame) -> DataF
     return _clean_facts(raw.join(latest, ["table_id", "tid"], "left_anti"))
 
 
-def reloaded_facts(spark: SparkSession, sf_dir: str, quarters: DataFrame) -> DataFrame:
+def reloaded_facts(spark: SparkSession, sf_dir: str, quarters: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Disk rows of the wanted raw periods, cleaned; the others are left out before anything is cleaned."""
     on_disk = frames.disk_manifest(quarters)
-    raw = frames.fact_tables(spark, sf_dir).join(on_disk, ["table_id", "tid"], "left_semi")
-    return _clean_facts(raw).withColumn("indhold", F.col("indhold") + 1)
+    keys = wanted.select("table_id", "tid").join(on_disk, ["table_id", "tid"], "left_semi")
+    return _reloaded(frames.fact_tables(spark, sf_dir).join(keys, ["table_id", "tid"], "left_semi"), on_disk)
 
 
 _FACT = ["table_id", "omrade", "status", "tid_text", "indhold"]
@@ -215,28 +221,29 @@ def apply_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = delta.loadable_changes(frames.changed_quarters(quarters), frames.disk_manifest(quarters))
     keys = delta.normalize_periods(changed)
     target = loaded_facts(spark, sf_dir, quarters).select(*_FACT)
-    return delta.apply_delta(target, reloaded_facts(spark, sf_dir, quarters), keys)
+    return delta.apply_delta(target, reloaded_facts(spark, sf_dir, quarters, changed), keys)
+
+
+def _on_disk(spark: SparkSession, sf_dir: str, quarters: DataFrame) -> tuple[str, str]:
+    """Raw and stored tables in the period layout."""
+    raw_root, stored_root = scratch_path(spark, "raw"), scratch_path(spark, "stored-periods")
+    raw = frames.fact_tables(spark, sf_dir).join(frames.disk_manifest(quarters), ["table_id", "tid"], "left_semi")
+    layout.write_periods(raw, raw_root, version=1)
+    facts = loaded_facts(spark, sf_dir, quarters)
+    layout.write_periods(facts.select("table_id", "omrade", "status", F.col("tid_text").alias("tid"), "indhold"), stored_root, version=1)
+    return raw_root, stored_root
 
 
 @query("apply_delta_on_disk", _DELTA_SQL)
 def apply_delta_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same in the period layout: only the changed periods are written."""
-    root = scratch_path(spark, "delta")
+    """The same in the period layout: only the changed periods are read, cleaned and written."""
     quarters = _quarters(spark, sf_dir)
-    changed = delta.loadable_changes(frames.changed_quarters(quarters), frames.disk_manifest(quarters))
-    keys = delta.normalize_periods(changed).withColumnRenamed("tid_text", "tid")
-
-    def as_stored(facts: DataFrame) -> DataFrame:
-        return facts.select("table_id", "omrade", "status", F.col("tid_text").alias("tid"), "indhold")
-
-    layout.write_periods(as_stored(loaded_facts(spark, sf_dir, quarters)), root, version=1)
-    layout.replace_periods(as_stored(reloaded_facts(spark, sf_dir, quarters)), root, keys, version=2)
-    return layout.read_periods(spark, root).withColumnRenamed("tid", "tid_text")
+    raw_root, stored_root = _on_disk(spark, sf_dir, quarters)
+    delta_files.apply_delta(spark, raw_root, stored_root, frames.changed_quarters(quarters), _reloaded, version=2)
+    return layout.read_periods(spark, stored_root).withColumnRenamed("tid", "tid_text")
 
 
-@query(
-    "delta_report",
-    """
+_REPORT_SQL = """
     SELECT c.table_id, CASE WHEN c.table_id = 'F5' THEN 'skipped' ELSE 'applied' END AS status,
            CASE WHEN c.table_id = 'F5' THEN 'no_partition_data' END AS reason,
            (SELECT COUNT(*) FROM stored_facts s JOIN changed_quarters q ON q.table_id = s.table_id AND q.tid_text = s.tid_text
@@ -246,16 +253,23 @@ def apply_delta_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
            (SELECT COUNT(*) FROM changed_quarters q LEFT JOIN disk_manifest m ON m.table_id = q.table_id AND m.tid = q.tid
             WHERE q.table_id = c.table_id AND m.tid IS NULL) AS missing_periods
     FROM (SELECT DISTINCT table_id FROM changed_quarters) c
-    """,
-)
+    """
+
+
+@query("delta_report", _REPORT_SQL)
 def delta_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     quarters = _quarters(spark, sf_dir)
-    return delta.delta_report(
-        loaded_facts(spark, sf_dir, quarters),
-        reloaded_facts(spark, sf_dir, quarters),
-        frames.changed_quarters(quarters),
-        frames.disk_manifest(quarters),
-    )
+    changed = frames.changed_quarters(quarters)
+    fresh = reloaded_facts(spark, sf_dir, quarters, changed)
+    return delta.delta_report(loaded_facts(spark, sf_dir, quarters), fresh, changed, frames.disk_manifest(quarters))
+
+
+@query("delta_report_on_disk", _REPORT_SQL)
+def delta_report_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deleted rows are told from the manifest, inserted ones from the write."""
+    quarters = _quarters(spark, sf_dir)
+    raw_root, stored_root = _on_disk(spark, sf_dir, quarters)
+    return delta_files.apply_delta(spark, raw_root, stored_root, frames.changed_quarters(quarters), _reloaded, version=2)
 
 
 @query(
@@ -286,19 +300,27 @@ def backfill_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta.backfill_plan(frames.disk_manifest(quarters), loaded_facts(spark, sf_dir, quarters))
 
 
-@query(
-    "backfill",
-    """
+_BACKFILL_SQL = """
     SELECT table_id, omrade, status, tid_text, indhold FROM stored_facts
     UNION ALL
     SELECT r.table_id, r.omrade, r.status, r.tid_text, r.indhold FROM reloaded_facts r
     WHERE (r.table_id, r.tid_text) NOT IN (SELECT DISTINCT (table_id, tid_text) FROM stored_facts)
-    """,
-)
+    """
+
+
+@query("backfill", _BACKFILL_SQL)
 def backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     quarters = _quarters(spark, sf_dir)
-    loaded = loaded_facts(spark, sf_dir, quarters).select(*_FACT)
-    return delta.backfill(loaded, frames.disk_manifest(quarters), reloaded_facts(spark, sf_dir, quarters))
+    loaded = stored(loaded_facts(spark, sf_dir, quarters).select(*_FACT), "loaded")
+    return delta.backfill(loaded, frames.disk_manifest(quarters), frames.fact_tables(spark, sf_dir), _reloaded)
+
+
+@query("backfill_on_disk", _BACKFILL_SQL)
+def backfill_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quarters = _quarters(spark, sf_dir)
+    raw_root, stored_root = _on_disk(spark, sf_dir, quarters)
+    delta_files.backfill(spark, raw_root, stored_root, _reloaded, version=2)
+    return layout.read_periods(spark, stored_root).withColumnRenamed("tid", "tid_text")
 
 
 @query(

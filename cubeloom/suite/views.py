@@ -148,7 +148,8 @@ FROM (SELECT table_id, ARG_MAX(tid, pos) FILTER (WHERE tid <> '') AS s FROM peri
 view("picked_periods", """
 SELECT l.table_id, l.pos, l.tid, CASE WHEN h.table_id IS NULL THEN 'bootstrap' WHEN p.tid IS NULL THEN 'new' ELSE 'revision' END AS reason
 FROM period_lists l
-JOIN frequency_of f ON f.table_id = l.table_id
+JOIN (SELECT i.table_id, COALESCE(o.frequency, i.frequency) AS frequency FROM frequency_of i
+      LEFT JOIN (SELECT * FROM frequency_overrides WHERE frequency = 'weekly') o ON o.table_id = i.table_id) f ON f.table_id = l.table_id
 JOIN (SELECT table_id, COUNT(*) AS n FROM period_lists GROUP BY table_id) c ON c.table_id = l.table_id
 LEFT JOIN (SELECT DISTINCT table_id FROM local_periods_held) h ON h.table_id = l.table_id
 LEFT JOIN local_periods_held p ON p.table_id = l.table_id AND p.tid = l.tid
@@ -331,3 +332,33 @@ UNION ALL SELECT DISTINCT 'YEAR' || n, CAST(y AS VARCHAR) FROM closed_days
 UNION ALL SELECT DISTINCT 'SPLIT' || n, y || '/' || (y + 1) FROM closed_days
 UNION ALL SELECT DISTINCT 'SPAN' || n, y || ':' || (y + 2) FROM closed_days
 """)
+
+view("segment_rows", """
+SELECT LEFT(c_mktsegment, 1) || LEFT(o_orderpriority, 1) AS table_id, o_orderstatus AS status, CAST(o_orderdate AS DATE) AS day,
+       CAST(EXTRACT(YEAR FROM o_orderdate) AS VARCHAR) || 'K' || CAST(EXTRACT(QUARTER FROM o_orderdate) AS VARCHAR) AS tid,
+       REPLACE(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), '.', ',')
+         || CASE WHEN o_orderpriority LIKE '2%' AND c_mktsegment LIKE 'B%' THEN ' kr' ELSE '' END AS indhold
+FROM orders JOIN customer ON o_custkey = c_custkey
+""")
+
+view("segment_quarters", """
+SELECT table_id, tid, COUNT(*) AS rows, ROW_NUMBER() OVER (PARTITION BY table_id ORDER BY tid DESC) AS rk FROM segment_rows GROUP BY table_id, tid
+""")
+
+view("segment_picked", """
+SELECT q.* FROM segment_quarters q
+WHERE table_id[1] = 'A' OR rk <= CASE WHEN table_id = 'H1' THEN 4 ELSE 2 END
+""")
+
+view("segment_outcomes", """
+SELECT c.table_id, c.updated, CASE WHEN same THEN 'skipped' WHEN message IS NOT NULL THEN 'failed' ELSE 'synced' END AS status,
+       CASE WHEN same THEN 'unchanged' ELSE message END AS reason,
+       CASE WHEN same OR c.table_id = 'F5' THEN NULL WHEN c.table_id = 'H1' THEN 'weekly' ELSE 'quarterly' END AS frequency,
+       CASE WHEN NOT same AND message IS NULL THEN p.n END AS periods_fetched, CASE WHEN NOT same AND message IS NULL THEN CAST(p.rows AS BIGINT) END AS rows_written,
+       CASE WHEN NOT same AND message IS NULL THEN p.n END AS files_written, CASE WHEN NOT same AND message IS NULL THEN c.table_id[1] = 'A' END AS bootstrap
+FROM (SELECT table_id, CAST(MAX(day) AS VARCHAR) AS updated, table_id[1] = 'M' AS same FROM segment_rows GROUP BY table_id ORDER BY table_id LIMIT 22) c
+LEFT JOIN (SELECT table_id, COUNT(*) AS n, SUM(rows) AS rows FROM segment_picked GROUP BY table_id) p ON p.table_id = c.table_id
+LEFT JOIN (SELECT 'F5' AS table_id, 'no period values' AS message
+           UNION ALL SELECT r.table_id, MIN('not a measure: ' || indhold) FROM segment_rows r JOIN segment_picked p ON p.table_id = r.table_id AND p.tid = r.tid
+           WHERE indhold LIKE '% kr' GROUP BY r.table_id) m ON m.table_id = c.table_id
+""")

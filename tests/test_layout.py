@@ -46,7 +46,80 @@ def test_skewed_period_is_split_over_files(spark, tmp_path):
     root = str(tmp_path / "p")
     df = spark.range(1000).select(F.lit("a").alias("table_id"), F.lit("1").alias("tid"), "id")
     layout.write_periods(df, root, max_records_per_file=300)
-    assert len(list((tmp_path / "p" / "facts" / "table_id=a" / "tid=1").glob("*.parquet"))) >= 4
+    assert len(list((tmp_path / "p" / "facts").glob("version=*/table_id=a/tid=1/*.parquet"))) >= 4
+
+
+KEY = "table_id string, tid string"
+
+
+def test_names_of_any_kind_are_found(spark, tmp_path, rows):
+    root = str(tmp_path / "p")
+    names = ["a b", "x=y", "50%", "q?*", "[1]{2}", "it's", 'say "so"', "back\\slash", "æøå", "a/b:c#d", "tab\there", "^caret", "plus+", None]
+    data = [(t, p, i) for i, (t, p) in enumerate(zip(names, reversed(names)))]
+    layout.write_periods(spark.createDataFrame(data, ROW), root)
+    assert rows(layout.read_periods(spark, root), "table_id", "tid", "v") == sorted(data, key=repr)
+    for t, p, i in data[:-1]:
+        if p is not None:
+            assert rows(layout.scan_periods(spark, root, t, [p]), "v") == [(i,)]
+
+
+def test_load_that_broke_off_is_not_seen(spark, tmp_path, rows, monkeypatch):
+    root = str(tmp_path / "p")
+    layout.write_periods(spark.createDataFrame([("a", "1", 1), ("a", "2", 2)], ROW), root, version=1)
+
+    def broken(*args):
+        raise RuntimeError("gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(layout, "period_manifest", broken)
+        with pytest.raises(RuntimeError, match="gone"):
+            layout.write_periods(spark.createDataFrame([("a", "2", 20), ("a", "3", 30)], ROW), root, version=2)
+    assert (tmp_path / "p" / "facts" / "version=2").exists()
+    assert rows(layout.read_periods(spark, root), "tid", "v") == [("1", 1), ("2", 2)]
+    assert rows(layout.manifest(spark, root)) == [("a", "1", 1), ("a", "2", 1)]
+    layout.write_periods(spark.createDataFrame([("a", "3", 33)], ROW), root, version=2)
+    assert rows(layout.read_periods(spark, root), "tid", "v") == [("1", 1), ("2", 2), ("3", 33)]
+    with pytest.raises(ValueError, match="published already"):
+        layout.write_periods(spark.createDataFrame([("a", "3", 0)], ROW), root, version=2)
+
+
+def test_reader_during_a_replacement_sees_one_state(spark, tmp_path, rows):
+    root = str(tmp_path / "p")
+    layout.write_periods(spark.createDataFrame([("a", "1", 1), ("a", "2", 2)], ROW), root, version=1)
+    before = layout.read_periods(spark, root)
+    layout.replace_periods(spark.createDataFrame([("a", "1", 10)], ROW), root, spark.createDataFrame([("a", "1"), ("a", "2")], KEY), version=2)
+    assert rows(before, "v") == [(1,), (2,)] and rows(layout.read_periods(spark, root), "v") == [(10,)]
+    # a replacement may read what it replaces
+    more = layout.read_periods(spark, root).withColumn("v", F.col("v") + 1)
+    layout.write_periods(more.select("table_id", "tid", "v"), root, version=3)
+    assert rows(layout.read_periods(spark, root), "v") == [(11,)]
+    (tmp_path / "p" / "facts" / "version=0").mkdir()
+    assert layout.drop_superseded(spark, root, before=3) == 4
+    assert rows(layout.read_periods(spark, root), "v") == [(11,)] and rows(layout.manifest(spark, root)) == [("a", "1", 1), ("a", "2", 0)]
+
+
+def test_input_runs_once(spark, tmp_path):
+    seen = str(tmp_path / "seen")
+
+    def mark(batches):
+        for b in batches:
+            with open(seen, "a") as f:
+                f.write(f"{len(b)}\n")
+            yield b
+
+    df = spark.createDataFrame([("a", str(i % 3), i) for i in range(90)], ROW).coalesce(1).mapInPandas(mark, ROW)
+    layout.write_periods(df, str(tmp_path / "p"))
+    assert sum(map(int, open(seen).read().split())) == 90
+
+
+def test_older_files_lack_a_column(spark, tmp_path, rows):
+    root = str(tmp_path / "p")
+    layout.write_periods(spark.createDataFrame([("a", "1", 1)], ROW), root, version=1)
+    layout.write_periods(spark.createDataFrame([("a", "2", 2, "n")], ROW + ", note string"), root, version=2)
+    assert rows(layout.read_periods(spark, root), "tid", "v", "note") == [("1", 1, None), ("2", 2, "n")]
+    nothing = layout.load_periods(spark, root, spark.createDataFrame([("z", "1")], KEY))
+    assert nothing[0].columns == layout.read_periods(spark, root).columns and nothing[0].collect() == [] and rows(nothing[1]) == [("z", "1")]
+    assert layout.read_periods(spark, str(tmp_path / "none")).collect() == []
 
 
 def test_migration(spark, tmp_path, rows):
