@@ -8,14 +8,16 @@ shuffles otherwise. Keys are always plain equalities, so both ways are open.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.layers import layer_key
 from ..functions.periods import overlaps
-from ..session import stored
 from .clean import SPARK_TYPES
 
 # Further stored type names beside those that a load gives.
@@ -187,41 +189,99 @@ def latest_period(facts: DataFrame, period: str = "tid", source: DataFrame | Non
     return facts.where(F.col(period) == periods.agg(F.max(period)).scalar())
 
 
-_POWERS = 63  # fixed value: block sizes that a 64-bit number can need, as powers of two
+#: Points in a slot from which on it is split.
+SLOT_POINTS = 1 << 18
+#: Pairs that a task emits at once.
+PAIRS = 1 << 16
 
 
-def _blocks(ranges: DataFrame, low: Column, high: Column) -> DataFrame:
-    """A row for each aligned block of ``[low, high)``: at most two of each size, and no two overlap."""
+def _slot(x: Column, bounds: list[int]) -> Column:
+    """How many of the ascending ``bounds`` are at most ``x``, by halving."""
 
-    def at(k: Column) -> Column:
-        up = lambda x: -F.call_function("shiftright", -x, k)
-        first, last = up(low), F.call_function("shiftright", high, k)
-        odd = lambda x: F.pmod(x, F.lit(2)) == 1
-        left = odd(first) & (first < last)
-        right = odd(last) & (first + left.cast("bigint") < last)
-        return F.array(F.when(left, F.struct(k.alias("k"), first.alias("at"))), F.when(right, F.struct(k.alias("k"), (last - 1).alias("at"))))
+    def between(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x < F.lit(bounds[mid]), between(lo, mid)).otherwise(between(mid + 1, hi))
 
-    every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_POWERS - 1)), at))
-    return ranges.withColumn("_block", F.explode(F.filter(every, lambda b: b.isNotNull())))
+    return between(0, len(bounds))
 
 
 def range_join(points: DataFrame, point: str, ranges: DataFrame, span: str) -> DataFrame:
-    """Every point with every range that contains it, as an equality join.
+    """Every point with every range that contains it, by a sweep along the axis.
 
-    A range is cut into aligned blocks of doubling size, at most two of each, and
-    a point lies in one block of each size that occurs. An open range reaches as
-    far as the largest point.
+    The axis is cut into slots at quantiles of the ranges' starts. A point goes to
+    its slot once; a range goes to each slot it touches, an open one to all that
+    follow. A slot with many points is split, and its ranges go to each part. A
+    task meets ranges and points of a slot in order: it keeps the ranges that are
+    still open at the current point, and finds the points of a range by two
+    searches, so the work follows the number of pairs. Null points and
+    ranges without a start meet nothing.
+
+    Points are shuffled once; before, one pass counts them per slot.
     """
-    x = F.col(point).cast("bigint")
-    top = F.lit(points.agg(F.max(x)).first()[0])
-    low = F.col(f"{span}.lo").cast("bigint")
-    laid = stored(_blocks(ranges, low, F.coalesce(F.col(f"{span}.hi").cast("bigint"), top + 1)), "blocks")
-    sizes = sorted(r[0] for r in laid.select("_block.k").distinct().collect())  # at most one for each power
-    if not sizes:
-        return points.join(ranges, F.lit(False))
-    met = points.withColumn("_k", F.explode(F.array(*[F.lit(k) for k in sizes])))
-    met = met.withColumn("_block", F.struct(F.col("_k").alias("k"), F.call_function("shiftright", x, F.col("_k")).alias("at")))
-    return met.drop("_k").join(laid, "_block").drop("_block")
+    spark = points.sparkSession
+    x, low, high = F.col(point).cast("bigint"), F.col(f"{span}.lo").cast("bigint"), F.col(f"{span}.hi").cast("bigint")
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # exact in the extremes, close elsewhere: any cuts give the same pairs
+    cuts = ranges.agg(F.percentile_approx(low, [k / slots for k in range(1, slots)] or [0.5])).first()[0]
+    bounds = sorted(set(cuts or []))
+    counted = points.where(x.isNotNull()).groupBy(_slot(x, bounds).alias("slot")).count().collect()  # a row per slot
+    split = [1] * (len(bounds) + 1)
+    for r in counted:
+        split[r["slot"]] = -(-r["count"] // SLOT_POINTS)
+    parts = F.array(*[F.lit(k) for k in split])
+
+    at = points.where(x.isNotNull()).select(F.struct(*points.columns).alias("p"), x.alias("lo"))
+    at = at.withColumn("slot", _slot(F.col("lo"), bounds))
+    part = F.pmod(F.xxhash64("p"), F.get(parts, "slot")).cast("int")
+    no_range = F.lit(None).cast(ranges.schema).alias("r")
+    at = at.select("slot", part.alias("part"), "lo", F.lit(None).cast("bigint").alias("hi"), "p", no_range)
+    touched = F.sequence(_slot(F.col("lo"), bounds), F.when(F.col("hi").isNull(), len(bounds)).otherwise(_slot(F.col("hi") - 1, bounds)))
+    spread = ranges.where(low.isNotNull() & (high.isNull() | (high > low))).select(F.struct(*ranges.columns).alias("r"), low.alias("lo"), high.alias("hi"))
+    spread = spread.withColumn("slot", F.explode(touched)).where(F.get(parts, "slot") > 0)
+    spread = spread.withColumn("part", F.explode(F.sequence(F.lit(0), F.get(parts, "slot") - 1)))
+    spread = spread.select("slot", "part", "lo", "hi", F.lit(None).cast(at.schema["p"].dataType).alias("p"), "r")
+
+    both = at.unionByName(spread).withColumn("is_point", F.col("p").isNotNull())
+    dealt = both.repartition("slot", "part").sortWithinPartitions("slot", "part", "lo", "is_point")
+    schema = T.StructType([T.StructField("p", at.schema["p"].dataType), T.StructField("r", spread.schema["r"].dataType)])
+    return dealt.mapInArrow(_sweep, schema).select("p.*", "r.*")
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of points and ranges from rows in order of slot, part and place, ranges before points."""
+    here: tuple[int, int] | None = None
+    lows, highs, rows = np.zeros(0, np.int64), np.zeros(0, np.int64), None  # ranges still open
+    for batch in batches:
+        slot, part, lo = (batch.column(c).to_numpy() for c in ("slot", "part", "lo"))
+        hi = batch.column("hi").fill_null(np.iinfo(np.int64).max).to_numpy()
+        is_point = batch.column("is_point").to_numpy(zero_copy_only=False)
+        p, r = batch.column("p"), batch.column("r")
+        edge = np.flatnonzero(np.concatenate(([True], (slot[1:] != slot[:-1]) | (part[1:] != part[:-1]), [True]))) if len(slot) else []
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            if (slot[a], part[a]) != here:
+                here = (slot[a], part[a])
+                lows, highs, rows = lows[:0], highs[:0], None
+            new, spots = a + np.flatnonzero(~is_point[a:b]), a + np.flatnonzero(is_point[a:b])
+            if len(new):
+                more = r.take(pa.array(new))
+                lows, highs = np.concatenate((lows, lo[new])), np.concatenate((highs, hi[new]))
+                rows = more if rows is None else pa.concat_arrays([rows, more])
+            if not len(spots) or rows is None:
+                continue
+            x = lo[spots]
+            first = np.searchsorted(x, lows, "left")
+            count = np.maximum(np.searchsorted(x, highs, "left") - first, 0)
+            total = np.cumsum(count)
+            for k in range(0, int(total[-1]), PAIRS):
+                nth = np.arange(k, min(k + PAIRS, int(total[-1])))
+                own = np.searchsorted(total, nth, "right")
+                met = spots[first[own] + nth - (total[own] - count[own])]
+                yield pa.record_batch([p.take(pa.array(met)), rows.take(pa.array(own))], ["p", "r"])
+            still = np.flatnonzero(highs > x[-1])
+            if len(still) < len(highs):
+                lows, highs, rows = lows[still], highs[still], rows.take(pa.array(still))
 
 
 def range_overlap_join(a: DataFrame, a_span: str, b: DataFrame, b_span: str) -> DataFrame:

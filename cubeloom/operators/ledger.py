@@ -19,10 +19,14 @@ def charge_amounts(usage: DataFrame, rate: Column) -> DataFrame:
 
 
 def post_once(charges: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of every key. A minimum per key is combined before the shuffle; a window is not."""
+    """The first row of every key; a null key is shared with nobody, so each row without a key stays.
+
+    A minimum per key is combined before the shuffle; a window is not.
+    """
     rest = [c for c in charges.columns if c != key]
     first = F.min(F.struct(*order, F.struct(*rest).alias("_row"))).alias("_first")
-    return charges.groupBy(key).agg(first).select(key, F.col("_first._row.*"))
+    keyed = charges.where(F.col(key).isNotNull()).groupBy(key).agg(first).select(key, F.col("_first._row.*"))
+    return keyed.unionByName(charges.where(F.col(key).isNull()).select(key, *rest))
 
 
 def accepted_credits(credits: DataFrame, keys: tuple[str, str], order: str) -> DataFrame:

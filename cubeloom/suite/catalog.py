@@ -194,23 +194,20 @@ def subject_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "level1_coverage",
     """
-    SELECT a.path, a.table_id, 'geo' AS dim_id, t.top, c.table_id IS NOT NULL AS covered FROM
-      (SELECT 'orders/' || CASE WHEN table_id <= 'F3' THEN 'early' ELSE 'late' END AS path, table_id FROM (SELECT DISTINCT table_id FROM fact_tables)) a
-    JOIN (SELECT DISTINCT 'orders/' || CASE WHEN table_id <= 'F3' THEN 'early' ELSE 'late' END AS path, top FROM c) t ON t.path = a.path
+    WITH c AS (SELECT DISTINCT 'C' || (c_custkey // 10) AS table_id, CAST(81 + n_regionkey AS VARCHAR) AS top FROM customer JOIN nation ON n_nationkey = c_nationkey)
+    SELECT a.path, a.table_id, 'geo' AS dim_id, t.top, c.table_id IS NOT NULL AS covered FROM (SELECT DISTINCT path, table_id FROM subject_tables) a
+    JOIN (SELECT DISTINCT path, top FROM subject_tables s JOIN c ON c.table_id = s.table_id) t ON t.path = a.path
     LEFT JOIN c ON c.table_id = a.table_id AND c.top = t.top
-    """.replace(" c ", " (SELECT DISTINCT table_id, CAST(d.parent_kode AS VARCHAR) AS top FROM fact_tables JOIN dim_geo d ON CAST(d.kode AS VARCHAR) = omrade WHERE omrade > '10' || SUBSTR(table_id, 2)) c ").replace(
-        "FROM c)", "FROM (SELECT DISTINCT table_id, CAST(d.parent_kode AS VARCHAR) AS top FROM fact_tables JOIN dim_geo d ON CAST(d.kode AS VARCHAR) = omrade WHERE omrade > '10' || SUBSTR(table_id, 2)))"
-    ),
+    """,
 )
 def level1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = frames.fact_tables(spark, sf_dir).where(F.col("omrade") > F.concat(F.lit("10"), F.substring("table_id", 2, 1)))
-    used = facts.select("table_id", F.lit("omrade").alias("column_name"), F.col("omrade").alias("id")).distinct()
-    tables = frames.fact_tables(spark, sf_dir).select("table_id").distinct()
-    links = tables.select("table_id", F.lit("omrade").alias("column_name"), F.lit("geo").alias("dim_id"))
-    half = F.when(F.col("table_id") <= "F3", "orders/early").otherwise("orders/late")
-    subjects = tables.select(half.alias("path"), "table_id")
+    """Tables of ten customers each under the subjects of their nations and segments; few have customers in every region."""
+    table_id = F.concat(F.lit("C"), F.floor(F.col("c_custkey") / 10).cast("string"))
+    area = (F.col("c_nationkey") + 101).cast("string")
+    used = frames.table(spark, sf_dir, "customer").select(table_id.alias("table_id"), F.lit("omrade").alias("column_name"), area.alias("id")).distinct()
+    links = used.select("table_id", "column_name", F.lit("geo").alias("dim_id")).distinct()
     dims = frames.dims_linked(spark, sf_dir).where(F.col("dim_id") == "geo")
-    return catalog.level1_coverage(used, dims, links, subjects)
+    return catalog.level1_coverage(used, dims, links, catalog.subject_paths(*_nodes(spark, sf_dir), "0"))
 
 
 @query(

@@ -123,20 +123,21 @@ def join_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     "join_padded",
     """
     SELECT d.titel, COUNT(*) AS n, CAST(SUM(CAST(p_retailprice AS DECIMAL(18,2))) AS DOUBLE) AS indhold FROM part
-    JOIN (SELECT DISTINCT CAST(p_size AS BIGINT) AS kode, CASE WHEN p_size % 2 = 0 THEN 5 ELSE 4 END AS niveau, 'size ' || p_size AS titel FROM part) d
+    JOIN (SELECT DISTINCT CAST(p_size AS BIGINT) AS kode, 5 AS niveau, 'size ' || p_size AS titel FROM part
+          UNION SELECT DISTINCT CAST(p_size // 10 AS BIGINT), 4, 'sizes from ' || (p_size // 10) * 10 FROM part) d
       ON LPAD(CAST(d.kode AS VARCHAR), 6, '0') = LPAD(CAST(p_size AS VARCHAR), 6, '0') AND d.niveau = 5
     GROUP BY d.titel
     """,
 )
 def join_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sizes on level 5; the tens above them have codes that sizes have as well."""
     part = frames.table(spark, sf_dir, "part")
-    size = F.col("p_size")
+    size, ten = F.col("p_size"), F.floor(F.col("p_size") / 10)
     facts = part.select(F.lpad(size.cast("string"), 6, "0").alias("branche"), F.col("p_retailprice").cast("decimal(18,2)").alias("indhold"))
-    sizes = part.select("p_size").distinct().select(
-        size.cast("bigint").alias("kode"), F.when(size % 2 == 0, 5).otherwise(4).alias("niveau"),
-        F.concat(F.lit("size "), size.cast("string")).alias("titel"),
-    )
-    joined = joins.join_padded(facts, sizes, "branche", 6, level=5)
+    each = part.select("p_size").distinct()
+    sizes = each.select(size.cast("bigint").alias("kode"), F.lit(5).alias("niveau"), F.concat(F.lit("size "), size.cast("string")).alias("titel"))
+    tens = each.select(ten.cast("bigint").alias("kode"), F.lit(4).alias("niveau"), F.concat(F.lit("sizes from "), (ten * 10).cast("string")).alias("titel"))
+    joined = joins.join_padded(facts, sizes.unionByName(tens.distinct()), "branche", 6, level=5)
     return joined.groupBy("titel").agg(F.count(F.lit(1)).alias("n"), dbl(F.sum("indhold")))
 
 
@@ -159,12 +160,13 @@ def join_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     "join_keep_unmatched",
     """
     SELECT f.omrade, f.status, f.tid, d.titel, CAST(f.indhold AS DOUBLE) AS indhold FROM fact_cube f
-    LEFT JOIN dim_geo d ON f.omrade = CAST(d.kode AS VARCHAR) AND d.niveau = 2 AND d.parent_kode <> 82
+    LEFT JOIN (SELECT * FROM dims_linked WHERE dim_id = 'states') d ON f.status = d.kode AND d.niveau = 1
     """,
 )
 def join_keep_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    geo = frames.dim_geo(spark, sf_dir).where(F.col("parent_kode") != 82)
-    named = joins.join_dim(frames.fact_cube(spark, sf_dir), geo, "omrade", level=2, how="left")
+    """The classification of states lacks ``P``, and no state is the total."""
+    states = frames.dims_linked(spark, sf_dir).where(F.col("dim_id") == "states")
+    named = joins.join_dim(frames.fact_cube(spark, sf_dir), states, "status", level=1, how="left")
     return named.select("omrade", "status", "tid", "titel", dbl("indhold"))
 
 
@@ -333,15 +335,18 @@ def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "range_join_wide",
     """
-    SELECT o_orderkey, l.lo FROM orders JOIN (SELECT DISTINCT o_custkey * 40 AS lo, CASE WHEN o_custkey % 50 > 0 THEN o_custkey * 40 + 60 END AS hi FROM orders WHERE o_custkey % 10 = 0) l
+    SELECT o_orderkey, l.lo FROM orders JOIN (
+      SELECT DISTINCT o_custkey * 40 AS lo, CASE WHEN o_custkey NOT IN (SELECT MAX(o_custkey) FROM orders GROUP BY o_orderpriority) THEN o_custkey * 40 + 60 END AS hi
+      FROM orders) l
       ON lo <= o_orderkey AND (hi IS NULL OR o_orderkey < hi)
     """,
 )
 def range_join_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranges over order keys; every fifth is open."""
+    """A range over order keys for each customer; those of the last customer of each priority are open."""
     orders, low = frames.table(spark, sf_dir, "orders"), F.col("o_custkey") * 40
-    span = F.struct(low.alias("lo"), F.when(F.col("o_custkey") % 50 > 0, low + 60).alias("hi"))
-    ranges = orders.where(F.col("o_custkey") % 10 == 0).select("o_custkey").distinct().select(span.alias("span"))
+    last = orders.groupBy("o_orderpriority").agg(F.max("o_custkey").alias("o_custkey")).select("o_custkey").distinct().withColumn("open", F.lit(True))
+    marked = orders.select("o_custkey").distinct().join(last, "o_custkey", "left")
+    ranges = marked.select(F.struct(low.alias("lo"), F.when(F.col("open").isNull(), low + 60).alias("hi")).alias("span"))
     found = joins.range_join(orders.select("o_orderkey"), "o_orderkey", ranges, "span")
     return found.select("o_orderkey", F.col("span.lo").alias("lo"))
 

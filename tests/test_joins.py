@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -140,3 +141,32 @@ def test_typed_value_map_falls_back_per_column(spark, rows):
     assert rows(catalog.typed_value_map(values, types, linked), "column_name", "id_kind", "id_int", "id_float", "id_text") == [
         ("alder", "text", None, None, "0"), ("alder", "text", None, None, "IALT"), ("n", "float", None, 7.0, None)
     ]
+
+
+def test_range_join_sweeps_hot_points_and_slots(spark, rows, monkeypatch):
+    """A third of the points at one place, many ranges over several slots, slots split in parts, small batches."""
+    rnd = random.Random(9)
+    xs = [50] * 200 + [rnd.randint(-300, 300) for _ in range(400)] + [None]
+    spans = [(i, rnd.randint(-300, 300), rnd.choice([None, 0, 1, 5, 400])) for i in range(150)] + [(900, 50, 1), (901, 50, 0), (902, None, 7)]
+    points = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "p int, x bigint").repartition(5)
+    ranges = spark.createDataFrame([(i, (lo, None if w is None else (lo or 0) + w)) for i, lo, w in spans], "r int, span struct<lo:bigint,hi:bigint>")
+    want = sorted(
+        (p, i) for p, x in enumerate(xs) for i, lo, w in spans if x is not None and lo is not None and lo <= x and (w is None or x < lo + w)
+    )
+    monkeypatch.setattr(joins, "SLOT_POINTS", 40)
+    for batch in (10_000, 7):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = joins.range_join(points, "x", ranges, "span")
+            assert got.columns == ["p", "x", "r", "span"] and sorted(rows(got, "p", "r")) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert joins.range_join(points.limit(0), "x", ranges, "span").count() == 0
+    assert joins.range_join(points, "x", ranges.limit(0), "span").count() == 0
+
+
+def test_range_join_shuffles_points_once(spark):
+    points = spark.range(1000).withColumnRenamed("id", "x")
+    ranges = spark.range(9).selectExpr("struct(id * 3 as lo, id * 3 + 700 as hi) as span")
+    plan = joins.range_join(points, "x", ranges, "span")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan

@@ -71,6 +71,48 @@ def test_stream_keeps_old_stamps_and_drops_late_retries(spark, tmp_path):
     assert got == [(1, 10), (2, 20), (3, 31), (4, 40)]
 
 
+def test_null_keys_are_shared_with_nobody(spark, tmp_path, rows):
+    schema = "charge_key bigint, ts timestamp, amount int"
+    from datetime import datetime
+
+    day = datetime(2024, 1, 1)
+    df = spark.createDataFrame([(None, day, 1), (None, day, 1), (5, day, 2), (5, day, 3), (None, day, 4)], schema)
+    assert rows(ledger.post_once(df, "charge_key", ["ts"]), "charge_key", "amount") == [(5, 2), (None, 1), (None, 1), (None, 4)]
+    inbox, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    for _ in range(2):
+        df.write.mode("append").parquet(inbox)
+        post_charges(spark.readStream.schema(schema).parquet(inbox), out, ckpt).awaitTermination()
+    assert rows(spark.read.parquet(out), "charge_key", "amount") == [(5, 2), *[(None, 1)] * 4, *[(None, 4)] * 2]
+
+
+def test_stream_needs_no_posted_row_and_survives_a_lost_commit(spark, tmp_path, rows):
+    """What is posted may be moved away; a batch whose commit was lost runs again and posts the same."""
+    import shutil
+    from datetime import datetime, timedelta
+
+    inbox, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    schema = "charge_key bigint, ts timestamp, amount int"
+
+    def post(*data):
+        days = [(k, datetime(2024, 1, 1) + timedelta(days=d), a) for k, d, a in data]
+        spark.createDataFrame(days, schema).coalesce(1).write.mode("append").parquet(inbox)
+        run()
+
+    def run():
+        post_charges(spark.readStream.schema(schema).parquet(inbox), out, ckpt).awaitTermination()
+
+    post((1, 5, 10), (2, 5, 20))
+    shutil.move(f"{out}/batch=0", str(tmp_path / "archive"))
+    post((1, 4, 11), (3, 9, 30), (3, 8, 31))
+    assert rows(spark.read.parquet(out), "charge_key", "amount") == [(3, 31)]
+    for f in (tmp_path / "ckpt" / "keyed" / "commits").glob("*1*"):
+        f.unlink()
+    run()
+    assert rows(spark.read.parquet(out), "charge_key", "amount") == [(3, 31)]
+    post((2, 1, 21), (3, 1, 32), (4, 1, 40))
+    assert rows(spark.read.parquet(out), "charge_key", "amount") == [(3, 31), (4, 40)]
+
+
 def test_balances(spark, rows):
     charges = spark.createDataFrame([(1, Decimal("5.00")), (2, Decimal("1.00"))], "user_id int, amount decimal(12,2)")
     credits = spark.createDataFrame([(1, Decimal("5.00")), (3, Decimal("2.00"))], "user_id int, amount decimal(12,2)")
