@@ -81,6 +81,43 @@ def read_bulk_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_bulk_csv(spark, path, names, decimals=("INDHOLD",))
 
 
+def _mixed_bulk(spark: SparkSession, sf_dir: str) -> str:
+    """Bulk files of one cube: one column order per order state, and a unit in the measures of state P."""
+    path, raw = scratch_path(spark, "mixed-bulk"), frames.fact_raw(spark, sf_dir)
+    orders = {"F": ["omrade", "status", "tid", "indhold"], "O": ["tid", "indhold", "note", "omrade", "status"], "P": ["indhold", "omrade", "tid", "status"]}
+    for state, names in orders.items():
+        rows = raw.where(F.col("status") == state).withColumn("note", F.lit("a;b"))
+        unit = F.when(F.col("indhold") == "..", F.col("indhold")).otherwise(F.concat("indhold", F.lit(" kr")))
+        rows = rows.withColumn("indhold", unit) if state == "P" else rows
+        rows.select(*[F.col(c).alias(c.upper()) for c in names]).write.mode("append").csv(path, sep=";", header=True)
+    return path
+
+
+_BULK = ["omrade", "status", "tid", "indhold"]
+
+
+@query(
+    "read_bulk_mixed",
+    """
+    SELECT omrade, status, tid, CASE WHEN indhold <> '..' THEN CAST(REPLACE(indhold, ',', '.') AS DOUBLE) END AS indhold FROM fact_raw
+    WHERE status <> 'P' OR indhold = '..'
+    """,
+)
+def read_bulk_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_bulk(spark, _mixed_bulk(spark, sf_dir), _BULK, ("indhold",))[0]
+
+
+@query(
+    "read_bulk_rejects",
+    """
+    SELECT indhold || ' kr;' || omrade || ';' || tid || ';P' AS line, 'not a measure: ' || indhold || ' kr' AS reason FROM fact_raw
+    WHERE status = 'P' AND indhold <> '..'
+    """,
+)
+def read_bulk_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_bulk(spark, _mixed_bulk(spark, sf_dir), _BULK, ("indhold",))[1].select("line", "reason")
+
+
 @query(
     "period_manifest",
     """

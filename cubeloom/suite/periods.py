@@ -78,6 +78,16 @@ def metadata_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.metadata_periods(frames.metadata(spark, sf_dir))
 
 
+@query("metadata_problems", "SELECT table_id, 'no period values' AS message FROM (SELECT DISTINCT table_id FROM period_lists_open WHERE tid = '')")
+def metadata_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists that end in an empty code stand for descriptions without periods."""
+    lists = frames.period_lists_open(spark, sf_dir)
+    whole = lists.groupBy("table_id").agg(F.sort_array(F.collect_list("tid")).alias("codes"), F.max(F.col("tid") == "").alias("open"))
+    codes = F.when(F.col("open"), F.array().cast("array<string>")).otherwise(F.col("codes"))
+    meta = whole.select("table_id", F.array(F.struct(F.lit("Tid").alias("id"), codes.alias("values"))).alias("variables"))
+    return sync.metadata_problems(meta)
+
+
 @query(
     "changed_tables",
     """

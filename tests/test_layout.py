@@ -152,6 +152,28 @@ def test_bulk_csv_refuses_other_text(spark, tmp_path):
     assert got.where("A = '2'").first().INDHOLD is None
 
 
+def test_bulk_csv_by_header_with_rejects(spark, tmp_path, rows):
+    folder = tmp_path / "bulk"
+    folder.mkdir()
+    (folder / "a.csv").write_text("\ufeffOMRÅDE;TID;INDHOLD\n000;2024K1;12,5\n101;2024K1\n102;2024K1;1;2\n\n103;2024K1;x\n", encoding="utf-8")
+    (folder / "b.csv").write_text('tid;extra;indhold;"område"\r\n2020;"a;b ""c""";..;101\r\n2021;;;"1;02"\r\n', encoding="utf-8")
+    (folder / "c.csv").write_text("OMRÅDE;INDHOLD\n7;1\n", encoding="utf-8")
+    (folder / "d.csv").write_text("OMRÅDE;TID;INDHOLD\n", encoding="utf-8")
+    (folder / "e.csv").write_text("", encoding="utf-8")
+    columns = ["OMRÅDE", "TID", "INDHOLD"]
+    good, bad = files.read_bulk(spark, str(folder), columns, ("INDHOLD",))
+    assert rows(good) == [("000", "2024K1", 12.5), ("101", "2020", None), ("1;02", "2021", None)]
+    told = sorted((r["file"].rsplit("/", 1)[1], r["line"], r["reason"]) for r in bad.collect())
+    assert told == [
+        ("a.csv", "101;2024K1", "fields are missing"), ("a.csv", "102;2024K1;1;2", "fields too many"), ("a.csv", "103;2024K1;x", "not a measure: x"),
+        ("c.csv", "7;1", "no column TID"),
+    ]
+    assert rows(files.read_bulk_csv(spark, str(folder / "b.csv"), ["OMRÅDE", "TID"])) == [("101", "2020"), ("1;02", "2021")]
+    for name, message in (("a.csv", "fields (are missing|too many): 10"), ("c.csv", "no column TID: 7;1")):
+        with pytest.raises(Exception, match=message):
+            files.read_bulk_csv(spark, str(folder / name), columns).collect()
+
+
 def test_geojson(spark, tmp_path, rows):
     doc = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"kode": "0101", "navn": "K"}, "geometry": {"type": "Point", "coordinates": [1, 2]}}]}
     (tmp_path / "kommuner.geojson").write_text(json.dumps(doc, indent=1))
