@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 
+import numpy as np
+
 # Weights of the combined score.
 TOKEN_WEIGHT = 0.95
 NEAR_LENGTHS = 1.5
@@ -89,5 +93,77 @@ def score(query: str, label: str) -> float:
     )
 
 
+#: Letters are counted in so many groups; letters that share one only raise a bound.
+GROUPS = 64
+
+
+@dataclass
+class Profile:
+    """What bounds are reckoned from, for some texts: letters by group, lengths of the forms that are compared, words."""
+
+    letters: np.ndarray
+    length: np.ndarray
+    sorted_length: np.ndarray
+    set_length: np.ndarray
+    gaps: np.ndarray
+    words: list[set[str]]
+
+
+def profile(texts: Sequence[str]) -> Profile:
+    """The letters exclude white space; ``gaps`` counts the spaces between sorted words."""
+    split = [t.split() for t in texts]
+    letters = np.zeros((len(texts), GROUPS), np.int32)
+    for i, parts in enumerate(split):
+        codes = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4") % GROUPS
+        letters[i] = np.bincount(codes, minlength=GROUPS)
+    number = lambda values: np.fromiter(values, np.int64, len(texts))
+    words = [set(p) for p in split]
+    return Profile(
+        letters, number(len(t) for t in texts), number(len(" ".join(p)) for p in split), number(len(" ".join(w)) for w in words),
+        number(max(len(p) - 1, 0) for p in split), words,
+    )
+
+
+def score_bounds(query: Profile, texts: Profile) -> np.ndarray:
+    """For each text a number that ``score`` of the one query in ``query`` with it can't exceed.
+
+    No common subsequence is longer than the letters two texts share, whatever
+    their order. A stretch of k letters that holds c of them gives at most
+    ``2c / (size + k)``, which is largest where k is c. With shared words the word
+    forms that hold nothing else are reckoned as they are.
+    """
+    size = int(query.length[0])
+    if not size:
+        return np.zeros(len(texts.length))
+    shared = np.minimum(query.letters[0], texts.letters).sum(axis=1)
+    length = texts.length
+    space_q, space_t = size - query.letters[0].sum(), length - texts.letters.sum(axis=1)
+    whole = shared + np.minimum(space_q, space_t)
+    ordered = shared + np.minimum(query.gaps[0], texts.gaps)
+    least = lambda own, other: np.minimum(own, other)
+    sets = np.minimum(ordered, least(query.set_length[0], texts.set_length))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plain = 200.0 * whole / (size + length)
+        near = np.maximum(200.0 * ordered / (query.sorted_length[0] + texts.sorted_length), 200.0 * sets / (query.set_length[0] + texts.set_length))
+        part = 200.0 * whole / (least(size, length) + whole)
+        part_words = np.maximum(
+            200.0 * ordered / (least(query.sorted_length[0], texts.sorted_length) + ordered), 200.0 * sets / (least(query.set_length[0], texts.set_length) + sets)
+        )
+    near, part_words, part = np.nan_to_num(near, nan=100.0), np.nan_to_num(part_words, nan=100.0), np.nan_to_num(part)
+    own = query.words[0]
+    for i in np.flatnonzero(np.fromiter((not own.isdisjoint(w) for w in texts.words), bool, len(texts.words))).tolist():
+        both, part_words[i] = own & texts.words[i], 100.0
+        if len(both) in (len(own), len(texts.words[i])):
+            near[i] = 100.0
+        else:  # the shared words alone against either side
+            joined = sum(map(len, both)) + len(both) - 1
+            near[i] = max(near[i], 200.0 * joined / (joined + min(query.set_length[0], texts.set_length[i])))
+    apart = np.maximum(size, length) / np.maximum(np.minimum(size, length), 1)
+    weight = np.where(apart <= FAR_LENGTHS, PARTIAL_WEIGHT, FAR_PARTIAL_WEIGHT)
+    far = np.maximum(weight * part, TOKEN_WEIGHT * weight * part_words)
+    best = np.maximum(plain, np.where(apart < NEAR_LENGTHS, TOKEN_WEIGHT * near, far))
+    return np.where(length > 0, np.minimum(best, 100.0) + 1e-9, 0.0)
+
+
 def name_ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()

@@ -2,33 +2,58 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import name_ratio, score
+from ..functions.similarity import Profile, name_ratio, profile, score, score_bounds
 from ..session import stored
 
 NAME_THRESHOLD = 0.7  # fixed value
 
 
+class Best:
+    """The ``n`` best texts for one query so far, by score, then text; ``scored`` counts the texts that were scored."""
+
+    def __init__(self, query: str, n: int) -> None:
+        self.query, self.n, self.own, self.scored = query, n, profile([query]), 0
+        self.kept: list[tuple[float, str]] = []
+
+    def offer(self, texts: list[str], profiles: Profile) -> None:
+        """Score texts from the highest bound down, until no bound reaches the n-th best score."""
+        bounds = score_bounds(self.own, profiles)
+        for i in np.argsort(-bounds, kind="stable").tolist():
+            if len(self.kept) == self.n and bounds[i] < -self.kept[-1][0]:
+                break
+            self.scored += 1
+            insort(self.kept, (-score(self.query, texts[i]), texts[i]))
+            del self.kept[self.n :]
+
+
 def fuzzy_top(labels: DataFrame, queries: list[str], n: int = 5) -> DataFrame:
     """The ``n`` best labels for each query string: ``query, rank, code, label, score``.
 
-    ``labels`` is ``(code, label)``. A text is scored once however many codes
-    carry it. Each batch of texts passes on its own best ``n`` under the final
-    order, by score, then text; texts are distinct, so the best ``n`` of all are
-    among them and pairs never pile up.
+    ``labels`` is ``(code, label)``. A text counts once, however many codes carry
+    it, and is scored only where its bound, from the letters and words it shares
+    with the query, reaches the n-th best score met so far; so the result is that
+    of scoring all. Each task passes on its own best ``n``; texts are distinct,
+    so the best ``n`` of all are among them and pairs never pile up.
     """
     wanted = list(dict.fromkeys(queries))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = [Best(q, n) for q in wanted]
         for batch in batches:
-            for q in wanted:
-                scored = pd.DataFrame({"query": q, "label": batch["label"], "score": [score(q, t) for t in batch["label"]]})
-                yield scored.sort_values(["score", "label"], ascending=[False, True]).head(n)
+            texts = batch["label"].tolist()
+            profiles = profile(texts)
+            for one in found:
+                one.offer(texts, profiles)
+        rows = [(one.query, label, -negative) for one in found for negative, label in one.kept]
+        yield pd.DataFrame(rows, columns=["query", "label", "score"])
 
     texts = labels.select("label").where(F.col("label").isNotNull()).distinct()
     scored = texts.mapInPandas(best, "query string, label string, score double")
