@@ -30,30 +30,89 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
+def query_part(url: Column) -> Column:
+    return F.coalesce(F.regexp_extract(url, _URL, 3), F.lit(""))
+
+
+def without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments; it begins with a slash."""
+    segments = F.split(F.regexp_replace(path, "^/", ""), "/")
+    last = F.element_at(segments, -1)
+    start = F.array().cast("array<string>")
+    kept = F.aggregate(
+        segments, start,
+        lambda acc, s: F.when(s == ".", acc).when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+
+
 def alias_key(url: Column) -> Column:
-    """What makes two urls one: host, path and query, without scheme and fragment. Null without ``://``."""
-    return F.when(F.instr(url, "://") > 0, F.concat(host(url), path(url), F.regexp_extract(url, _URL, 3)))
+    """What makes two urls one: host, path without dot segments, and query. Null without ``://``."""
+    return F.when(F.instr(url, "://") > 0, F.concat(host(url), without_dots(path(url)), query_part(url)))
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """``url, target`` for each canonical link and each redirect in ``html``."""
-    tags = F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    told = pages.where(F.instr("url", "://") > 0).select("url", F.explode(tags).alias("tag"))
-    quoted = r"\s*=\s*[\"']?\s*"
-    canonical = F.col("tag").rlike(rf"(?is)^<link\b.*\brel{quoted}canonical\b")
-    refresh = F.col("tag").rlike(rf"(?is)^<meta\b.*\bhttp-equiv{quoted}refresh\b")
-    href = F.when(canonical, F.regexp_extract("tag", rf"(?is)\bhref{quoted}([^\s\"'>]+)", 1)).when(
-        refresh, F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?([^\s\"'>]+)", 1)
+#: What no tag counts in: comments and elements whose content is text.
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|textarea|title|noscript)\b.*?(?:</\1\s*>|\z)"
+_TAG = r"""(?is)<(?:link|meta|base)(?=[\s/])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+# Named references that a url may hold.
+_NAMED = {"&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">", "&sol;": "/", "&colon;": ":", "&quest;": "?", "&num;": "#", "&amp;": "&"}
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute with its character references decoded, empty where there is none."""
+    found = F.regexp_extract(tag, rf"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    bare = F.trim(F.regexp_replace(found, r"""^["']|["']$""", ""), F.lit(" \t\n\f\r"))
+    numbers = F.array_distinct(F.regexp_extract_all(bare, F.lit(r"(?i)&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});"), F.lit(0)))
+    digits = lambda r: F.regexp_extract(r, r"([0-9a-fA-F]+);", 1)
+    code = lambda r: F.when(F.lower(r).startswith("&#x"), F.conv(digits(r), 16, 10)).otherwise(digits(r)).cast("bigint")
+    decoded = F.aggregate(numbers, bare, lambda acc, r: F.when(code(r).between(1, 127), F.replace(acc, r, F.char(code(r)))).otherwise(acc))
+    for name, letter in _NAMED.items():
+        decoded = F.replace(decoded, F.lit(name), F.lit(letter))
+    return decoded
+
+
+def resolve(base: Column, reference: Column) -> Column:
+    """The absolute url that a reference on a page with url ``base`` names; null if it names no page of a host.
+
+    A reference is absolute only if it begins with a scheme. One to a part of the
+    page itself, or to something without a host (``mailto:``), names no other page.
+    """
+    ref = F.regexp_replace(reference, r"(?s)#.*", "")
+    here = F.concat(F.lit("http://"), host(base))
+    ref_path, ref_query = F.regexp_extract(ref, r"(?s)^[^?]*", 0), F.regexp_extract(ref, r"(?s)\?.*", 0)
+    folder = F.regexp_replace(path(base), r"[^/]*$", "")
+    tidy = lambda url: F.concat(F.lit("http://"), host(url), without_dots(path(url)), query_part(url))
+    return (
+        F.when(ref == "", None)
+        .when(ref.rlike(r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]"), tidy(ref))
+        .when(ref.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), None)
+        .when(ref.rlike(r"^//[^/?#]"), tidy(F.concat(F.lit("http:"), ref)))
+        .when(ref.startswith("//"), None)
+        .when(ref.startswith("/"), F.concat(here, without_dots(ref_path), ref_query))
+        .when(ref.startswith("?"), F.concat(here, without_dots(path(base)), ref_query))
+        .otherwise(F.concat(here, without_dots(F.concat(folder, F.when(folder == "", "/").otherwise(""), ref_path)), ref_query))
     )
-    here = F.concat(F.lit("http://"), host(F.col("url")))
-    folder = F.regexp_replace(path(F.col("url")), r"[^/]*$", "")
-    whole = (
-        F.when(F.col("href").contains("://"), F.col("href"))
-        .when(F.col("href").startswith("//"), F.concat(F.lit("http:"), "href"))
-        .when(F.col("href").startswith("/"), F.concat(here, "href"))
-        .otherwise(F.concat(here, F.when(folder == "", "/").otherwise(folder), "href"))
+
+
+def links(pages: DataFrame) -> DataFrame:
+    """``url, target`` for each canonical link and each redirect in ``html``.
+
+    Tags in comments, scripts and the like don't count. References are decoded and
+    resolved against the first ``base`` or else the page's own url.
+    """
+    tags = F.regexp_extract_all(F.regexp_replace("html", _HIDDEN, " "), F.lit(_TAG), F.lit(0))
+    told = pages.where((F.instr("url", "://") > 0) & F.col("html").rlike(r"(?i)canonical|refresh")).select("url", tags.alias("tags"))
+    bases = F.filter("tags", lambda t: t.rlike(r"(?is)^<base(?=[\s/]).*[\s\"'/]href\s*="))
+    base_href = F.when(F.size(bases) > 0, _attribute(F.get(bases, F.lit(0)), "href"))
+    told = told.select("url", F.coalesce(resolve(F.col("url"), base_href), F.col("url")).alias("base"), F.explode("tags").alias("tag"))
+    tag = F.col("tag")
+    relations = F.split(F.lower(_attribute(tag, "rel")), r"\s+")
+    refresh = F.regexp_extract(_attribute(tag, "content"), r"""(?is)^\s*[0-9.]*\s*[;,]?\s*url\s*=\s*["']?\s*([^"']*)""", 1)
+    href = F.when(tag.rlike("(?i)^<link") & F.array_contains(relations, "canonical"), _attribute(tag, "href")).when(
+        tag.rlike("(?i)^<meta") & (F.lower(_attribute(tag, "http-equiv")) == "refresh"), F.trim(refresh, F.lit(" \t\n\f\r"))
     )
-    return told.select("url", href.alias("href")).where("href != ''").select("url", whole.alias("target"))
+    found = told.select("url", resolve(F.col("base"), href).alias("target"))
+    return found.where(F.col("target").isNotNull())
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -96,7 +155,8 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     edges = linked.select(alias_key(F.col("url")).alias("a"), alias_key(F.col("target")).alias("b"))
     rooted = stored(components(edges), "aliases")
     ends = linked.select("url").union(linked.select("target")).distinct()
-    ends = ends.select(alias_key(F.col("url")).alias("node"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    place = without_dots(path(F.col("url")))
+    ends = ends.select(alias_key(F.col("url")).alias("node"), host(F.col("url")).alias("host"), place.alias("path"))
     bad = matched(ends, rules).where("action = 'block'").select("node").distinct()
     bad_roots = rooted.join(bad, "node", "left_semi").select("root").distinct()
     tainted = rooted.join(bad_roots, "root", "left_semi").select(F.col("node").alias("key"), F.lit("block").alias("by_alias"))

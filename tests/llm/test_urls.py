@@ -86,6 +86,53 @@ def test_aliases(spark):
     assert got[3]["rule"] == "com/" and got[1]["rule"] is None
 
 
+def test_references_are_resolved_by_the_usual_rules(spark):
+    """Each page has one canonical link; its target by hand, null where it names no other page."""
+    page = "https://U.org/a/b/c?x={}#f"
+    cases = {
+        "https://shop.net/es/9": "http://shop.net/es/9", "HTTP://Shop.NET/es/9?a#b": "http://shop.net/es/9?a", "/go?u=https://shop.net/es/9": "http://u.org/go?u=https://shop.net/es/9",
+        "../z": "http://u.org/a/z", "./z/./y/../w": "http://u.org/a/b/z/w", "../../../z": "http://u.org/z", "..": "http://u.org/a/", "?p=2": "http://u.org/a/b/c?p=2",
+        "#top": None, "": None, "mailto:a@b.net": None, "javascript:void(0)": None, "//e.org/6": "http://e.org/6", "//": None, "z?q=../r": "http://u.org/a/b/z?q=../r",
+        "/a&amp;b?c=1&amp;d=2": "http://u.org/a&b?c=1&d=2", "/&#x61;&#98;": "http://u.org/ab", "  z  ": "http://u.org/a/b/z", "http:": None, "x:y": None,
+    }
+    rows = [(i, page.format(i), f'<link rel="canonical" href="{ref}">') for i, ref in enumerate(cases)]
+    found = url_rules.links(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    got = {r["url"]: r["target"] for r in found}
+    assert [got.get(page.format(i)) for i in range(len(cases))] == list(cases.values()) and len(found) == len(got)
+
+
+def test_links_by_hand(spark):
+    bad = "http://shop.net/es/9"
+    blocked = [
+        f'<link rel="alternate canonical" href="{bad}">', f"<LINK title='a > b' href={bad} rel=CANONICAL>", f'<base href="http://shop.net/es/x"><link rel=canonical href="9">',
+        f'<link rel="canonical" href="http://shop.net/es/&#57;">', f'<meta content="3; URL=\'{bad}\'" http-equiv="Refresh">', '<link rel="canonical" href="http://shop.net/fr/../es/./9">',
+        f'<!-- x --><link rel="canonical" href="{bad}"><!-- y -->',
+    ]
+    free = [
+        f'<!-- <link rel="canonical" href="{bad}"> -->', f'<script>var a = \'<link rel="canonical" href="{bad}">\';</script>', f'<link rel="canonical" href="/go?u={bad}">',
+        f'<link data-rel="canonical" href="{bad}">', f'<link rel="canonicals" href="{bad}">', f'<meta http-equiv="refresh" content="5">', f'<meta name="refresh" content="0; url={bad}">',
+        f'<!-- open <link rel="canonical" href="{bad}">', f'<link rel="canonical" data-href="{bad}">',
+    ]
+    rows = [(i, f"http://p{i}.org/a", h) for i, h in enumerate(blocked + free)]
+    got = judged(spark, rows)
+    assert {i for i, r in got.items() if r["verdict"] == "block"} == set(range(len(blocked)))
+
+
+def test_aliases_through_pages_named_in_several_ways(spark):
+    link = '<link rel="canonical" href="{}">'
+    rows = [
+        (1, "http://a.org", link.format("http://b.org/x/../y?p=1&amp;q=2")), (2, "https://B.org/y?p=1&q=2#z", link.format("http://net/fr/1")),
+        (3, "http://c.org/d/", link.format("http://a.org/")), (4, "http://c.org/d/e", link.format(".")), (5, "http://c.org/d", link.format("?")),
+    ]
+    assert {i for i, r in judged(spark, rows).items() if r["verdict"] == "block"} == {1, 2, 3, 4}
+
+
+def test_long_html_is_read(spark):
+    deep = "<link rel='x' " + "a='b' " * 20_000 + ">" + "<!--" + "y" * 300_000 + "-->" + "<script>" + "<" * 200_000
+    rows = [(1, "http://a.org/1", '<link rel="canonical" href="http://net/fr/1">' + deep)]
+    assert judged(spark, rows)[1]["verdict"] == "block"
+
+
 def plain_components(edges):
     near = defaultdict(set)
     for a, b in edges:
