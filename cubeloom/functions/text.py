@@ -70,12 +70,15 @@ def change_text(change: Column) -> Column:
     return F.when(change >= 0, F.concat(F.lit("↑ +"), shown)).when(change < 0, F.concat(F.lit("↓ "), shown))
 
 
-def value_list_text(values: Column, most: int = 10, ends: int = 5) -> Column:
-    """All values if at most ``most``, else the first and last ``ends``."""
+def value_list_text(values: Column, most: int = 10, ends: int = 5, size: Column | None = None) -> Column:
+    """All values if at most ``most``, else the first and last ``ends``.
+
+    ``size`` is the length of the whole list where ``values`` holds only its ends.
+    """
     shown = F.concat(
         F.array_join(F.slice(values, 1, ends), ", "), F.lit(" ... "), F.array_join(F.slice(values, -ends, ends), ", ")
     )
-    return F.when(F.size(values) <= most, F.array_join(values, ", ")).otherwise(shown)
+    return F.when((F.size(values) if size is None else size) <= most, F.array_join(values, ", ")).otherwise(shown)
 
 
 def excerpt(text: Column, size: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import plain_name_column
+from ..functions.text import plain_name_column, value_list_text
 from ..session import cut_lineage, stored
 from .dims import ancestor_closure, observed_levels
 from .joins import STORED_TYPES, dim_values_for_table, spark_family, stored_type
@@ -14,6 +14,7 @@ from .search import discover_links, fuzzy_top
 INTEGER_TYPES = ("integer", "smallint", "bigint")
 FLOAT_TYPES = ("double precision", "numeric", "real")
 PERIOD_COLUMN = "tid"
+MOST_SHOWN, ENDS_SHOWN = 20, 5  # fixed values
 
 
 def dim_values(dims: DataFrame) -> DataFrame:
@@ -117,11 +118,24 @@ def _join_text_column(fact_type: Column, dim_type: Column, column: Column) -> Co
     return F.concat(column, cast(*kinds), F.lit("=kode"), cast(*kinds[::-1]))
 
 
+def value_texts(values: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``id=text`` pairs of each code list on one line; of a long list its first and last ones.
+
+    ``pos`` counts from 0 and ``sizes`` has ``n_values``, so the ends are known
+    before codes are gathered and no list is gathered whole.
+    """
+    key, n, pos = ["table_id", "column_name"], F.col("n_values"), F.col("pos")
+    shown = values.join(sizes, key).where((n <= MOST_SHOWN) | (pos < ENDS_SHOWN) | (pos >= n - ENDS_SHOWN))
+    pair = F.concat(F.coalesce("id", F.lit("")), F.lit("="), F.coalesce("text", F.lit("")))
+    gathered = shown.groupBy(*key).agg(F.max("n_values").alias("n"), F.array_sort(F.collect_list(F.struct("pos", pair.alias("pair")))).alias("pairs"))
+    return gathered.select(*key, value_list_text(F.col("pairs.pair"), MOST_SHOWN, ENDS_SHOWN, size=F.col("n")).alias("value_text"))
+
+
 def table_profile(
     meta: DataFrame, values: DataFrame, types: DataFrame, links: DataFrame, dim_types: DataFrame,
     dims: DataFrame, used: DataFrame, extents: DataFrame,
 ) -> DataFrame:
-    """One row per column of every table: a value map, a link or a period extent.
+    """One row per column of every table: its values, a link or a period extent.
 
     ``types`` is ``(table_id, column_name, column_type)``, ``dim_types`` is
     ``(dim_id, kode_type)``, ``used`` the distinct codes in the facts, ``extents``
@@ -131,8 +145,10 @@ def table_profile(
     described = links.join(dim_types, "dim_id", "left")
     levels = observed_levels(used, dims, links).select("table_id", "column_name", "levels")
     key = ["table_id", "column_name"]
+    unlinked = values.where(F.col("column_name") != PERIOD_COLUMN).join(links.select(*key), key, "left_anti")
     joined = (
         columns.join(types, key, "left")
+        .join(value_texts(unlinked, columns), key, "left")
         .join(described, key, "left")
         .join(levels, key, "left")
         .join(extents, "table_id", "left")
@@ -143,7 +159,7 @@ def table_profile(
     join = F.when(is_link, _join_text_column(F.coalesce("column_type", F.lit("")), F.coalesce("kode_type", F.lit("")), F.col("column_name")))
     return joined.select(
         *key, "description", "unit", kind.alias("kind"),
-        F.when(kind == "values", F.col("n_values")).alias("n_values"),
+        F.when(kind == "values", F.col("n_values")).alias("n_values"), "value_text",
         "dim_id", join.alias("join"), "join_override", "match_type", "note", "levels",
         F.when(is_period, F.col("min_tid")).alias("min_tid"),
         F.when(is_period, F.col("max_tid")).alias("max_tid"),

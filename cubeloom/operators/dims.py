@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.ordered import BUCKET_ROWS, running
+from ..plans.ordered import BUCKET_ROWS, running, stretches
 from ..session import stored
 from .clean import normalize_names
 
@@ -43,26 +43,24 @@ def derive_parents(dims: DataFrame, bucket_width: int = BUCKET_ROWS) -> DataFram
 
     It is the nearest earlier row one level up, unless a row of a still higher
     level lies between; null at level 1 or when that level is not open.
-    ``bucket_width`` is the stretch of ``sekvens`` handled by one task; the
-    numbers may have gaps.
+    ``bucket_width`` is the number of rows handled by one task; ``sekvens`` may
+    have gaps of any size.
     """
-    levels = dims.agg(F.max("niveau")).first()[0] or 1
-    seen = {
-        f"_l{n}": F.when(F.col("niveau") == n, F.struct("sekvens", "kode")) for n in range(1, int(levels))
-    }
-    if not seen:
+    size, levels = dims.agg(F.count(F.lit(1)), F.max("niveau")).first()
+    levels = int(levels or 1)
+    if levels == 1:
         return dims.withColumn("parent_kode", F.lit(None).cast(dims.schema["kode"].dataType))
-    walked = running(
-        dims, ["dim_id"], ["sekvens"], F.floor(F.col("sekvens") / bucket_width), lasts=seen, inclusive=False, depth=2
-    )
+    seen = {f"_l{n}": F.when(F.col("niveau") == n, F.struct("sekvens", "kode")) for n in range(1, levels)}
+    laid = stretches(dims, ["dim_id"], ["sekvens"], size, "_stretch", bucket_width)
+    walked = running(laid, ["dim_id"], ["sekvens"], F.col("_stretch"), lasts=seen, inclusive=False)
     parent = F.when(F.lit(False), F.lit(None).cast(dims.schema["kode"].dataType))
-    for n in range(2, int(levels) + 1):
+    for n in range(2, levels + 1):
         near = F.col(f"_l{n - 1}")
         cuts = [F.col(f"_l{k}")["sekvens"] for k in range(1, n - 1)]
         cut = F.greatest(*cuts) if len(cuts) > 1 else (cuts[0] if cuts else F.lit(None).cast("bigint"))
         open_ = cut.isNull() | (near["sekvens"] > cut)
         parent = parent.when((F.col("niveau") == n) & open_, near["kode"])
-    return walked.withColumn("parent_kode", parent).drop(*seen)
+    return walked.withColumn("parent_kode", parent).drop("_stretch", *seen)
 
 
 def process_dim(
@@ -100,35 +98,33 @@ def dim_key_choice(dims: DataFrame) -> DataFrame:
 
 
 def ancestor_closure(dims: DataFrame) -> DataFrame:
-    """``(kode, niveau) -> every ancestor`` including itself at distance 0.
+    """``(kode, niveau) -> every ancestor`` including itself at distance 0, each pair once.
 
-    One join per level, until no row has a parent left. Each level is one up, so
-    the loop ends, and the level in the key keeps equal codes apart.
+    By doubling: jumps of n levels joined to all ancestors nearer than n give
+    those at n to 2n - 1, and two jumps in a row are one of 2n, so the rounds
+    grow with the logarithm of the depth. Each level is one up, so the loop
+    ends, and the level in the key keeps equal codes apart.
     """
-    nodes = stored(dims.select("dim_id", "kode", "niveau", "parent_kode"), "nodes")
-    up = nodes.select(
-        "dim_id",
-        F.col("kode").alias("ancestor_kode"),
-        F.col("niveau").alias("ancestor_niveau"),
-        F.col("parent_kode").alias("_next"),
-    )
-    step = nodes.select(
-        "dim_id", "kode", "niveau",
-        F.col("kode").alias("ancestor_kode"), F.col("niveau").alias("ancestor_niveau"), F.col("parent_kode").alias("_above"),
+    key, end = ["dim_id", "kode", "niveau"], ["dim_id", "ancestor_kode", "ancestor_niveau"]
+    nodes = stored(dims.select(*key, "parent_kode").distinct(), "nodes")
+    several = not nodes.groupBy(*key).count().where(F.col("count") > 1).isEmpty()
+
+    def onward(jumps: DataFrame, pairs: DataFrame) -> DataFrame:
+        ends = pairs.select("dim_id", *[F.col(c).alias(f"ancestor_{c}") for c in key[1:]], *[F.col(c).alias(f"_{c}") for c in end[1:]])
+        met = jumps.join(ends, end).select(*key, *[F.col(f"_{c}").alias(c) for c in end[1:]])
+        # only a node with two parents reaches an ancestor by two ways
+        return met.distinct() if several else met
+
+    itself = nodes.select(*key, F.col("kode").alias("ancestor_kode"), F.col("niveau").alias("ancestor_niveau")).distinct()
+    found = itself
+    jumps = nodes.where("parent_kode is not null").select(
+        *key, F.col("parent_kode").alias("ancestor_kode"), (F.col("niveau") - 1).alias("ancestor_niveau")
     )
-    out = step
     while True:
-        step = stored(
-            step.where(F.col("_above").isNotNull())
-            .select("dim_id", "kode", "niveau", F.col("_above").alias("ancestor_kode"), (F.col("ancestor_niveau") - 1).alias("ancestor_niveau"))
-            .join(up, ["dim_id", "ancestor_kode", "ancestor_niveau"])
-            .select("dim_id", "kode", "niveau", "ancestor_kode", "ancestor_niveau", F.col("_next").alias("_above")),
-            "ancestors",
-        )
-        if step.isEmpty():
-            break
-        out = out.unionByName(step)
-    return out.drop("_above")
+        further, twice = onward(jumps, found), stored(onward(jumps, jumps), "jumps")
+        if twice.isEmpty():
+            return found.unionByName(further)
+        found, jumps = found.unionByName(stored(further, "ancestors")), twice
 
 
 def hierarchy_rollup(facts: DataFrame, dims: DataFrame, column: str, from_level: int, to_level: int) -> DataFrame:

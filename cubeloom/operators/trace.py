@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import excerpt
+from ..functions.text import excerpt, truncated
 from ..plans.ordered import running
 
 # Messages of one log handled by one task; a message is one row with its parts.
 MESSAGES_PER_BUCKET = 1 << 14
-USER_EXCERPT, FINAL_EXCERPT = 100, 120  # fixed values
+USER_EXCERPT, FINAL_EXCERPT, RESULT_CHARS = 100, 120, 500  # fixed values
 
 _RESULTS = ("tool_return", "retry")
 _ORDER = ["msg", "_rank", "part"]
@@ -106,6 +106,13 @@ def trace_events(messages: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def tool_results(events: DataFrame, keys: list[str], size: int = RESULT_CHARS) -> DataFrame:
+    """What the tools gave back, cut at ``size`` characters with the total noted, and whether it was cut."""
+    text = F.coalesce("text", F.lit(""))
+    results = events.where(F.col("kind").isin("tool_return", "tool_retry"))
+    return results.select(*keys, "idx", "kind", "tool_name", truncated(text, size).alias("result"), (F.length(text) > size).alias("is_cut"))
+
+
 def trace_usage(messages: DataFrame, keys: list[str]) -> DataFrame:
     """Responses, tokens and the last model named, per log."""
     answer = F.col("kind") == "response"

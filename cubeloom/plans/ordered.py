@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 BUCKET_ROWS = 1 << 16
 _BUCKET = "_bucket"
 
@@ -80,6 +82,19 @@ def running(
     return out.select(*df.columns, *[c.alias(n) for n, c in added.items()])
 
 
+def stretches(df: DataFrame, keys: list[str], order: list[str], size: int, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` of ``size`` rows laid along ``keys`` and ``order`` in stretches of about ``rows`` rows, with the number of its stretch.
+
+    Spark draws the bounds from quantiles, so gaps do not matter: many short
+    groups share a stretch and a long one gets as many as it needs. The numbers
+    rise along the order and serve ``running`` as buckets. Written once, as two
+    passes must see the same bounds.
+    """
+    parts = max(1, -(-size // (rows or BUCKET_ROWS)))
+    laid = df.repartitionByRange(parts, *keys, *order).withColumn(name, F.spark_partition_id())
+    return stored(laid, "stretches")
+
+
 def row_numbers(df: DataFrame, keys: list[str], pos: str, name: str) -> DataFrame:
     """1-based row number by the integer ``pos``, which is unique inside ``keys``."""
     return running(

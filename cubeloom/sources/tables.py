@@ -57,20 +57,23 @@ def load_fact(df: DataFrame, path: str, types: dict[str, str] | None = None, par
     """Write a cleaned fact with its stored types and return it as read back.
 
     Partitioned by period, rows sorted by their leading codes inside a file, so
-    the minima and maxima in the file footers cut reads the way an index would.
+    the minima and maxima in the file footers cut reads the way an index would;
+    every code column has bloom filters, for codes that rows are not sorted by.
     Ranges can't name directories; such a table has their text as directory
     names and the range itself inside.
     """
-    codes = [c for c in df.columns if c not in (partition, "indhold")][:SORT_FIRST]
+    codes = [c for c in df.columns if c not in (partition, "indhold")]
     typed = cast_to_stored(df, types)
+    plain = [c for c in codes if isinstance(typed.schema[c].dataType, (T.StringType, T.IntegralType))]
     ranges = isinstance(typed.schema[partition].dataType, T.StructType)
     folder = f"{partition}_key" if ranges else partition
     laid = typed.withColumn(folder, range_text(F.col(partition))) if ranges else typed
     (
         laid.hint("rebalance", folder)
-        .sortWithinPartitions(folder, *codes)
+        .sortWithinPartitions(folder, *codes[:SORT_FIRST])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
+        .options(**{"parquet.bloom.filter.adaptive.enabled": "true"}, **{f"parquet.bloom.filter.enabled#{c}": "true" for c in plain})
         .partitionBy(folder)
         .parquet(path)
     )

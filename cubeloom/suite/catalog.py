@@ -132,6 +132,7 @@ def typed_value_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT v.table_id, v.column_name, 'description of ' || v.table_id AS description, 'kr.' AS unit,
       CASE v.column_name WHEN 'omrade' THEN 'link' WHEN 'status' THEN 'link' WHEN 'tid' THEN 'period' ELSE 'values' END AS kind,
       CASE WHEN v.column_name = 'alder' THEN COUNT(*) END AS n_values,
+      CASE WHEN v.column_name = 'alder' THEN STRING_AGG(id || '=' || text, ', ' ORDER BY pos) END AS value_text,
       CASE v.column_name WHEN 'omrade' THEN 'segments' WHEN 'status' THEN 'states' END AS dim_id,
       CASE v.column_name WHEN 'omrade' THEN 'omrade=kode::text' WHEN 'status' THEN 'status::text=kode' END AS "join", CAST(NULL AS VARCHAR) AS join_override,
       CASE v.column_name WHEN 'omrade' THEN 'approx' WHEN 'status' THEN 'exact' END AS match_type, CASE WHEN v.column_name = 'omrade' THEN 'by segment' END AS note,

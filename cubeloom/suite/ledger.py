@@ -259,6 +259,17 @@ def trace_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.trace_usage(message_log(spark, sf_dir), ["conv_id"])
 
 
+@query(
+    "tool_results",
+    """
+    SELECT conv_id, idx, kind, tool_name, CASE WHEN LENGTH(COALESCE(text, '')) <= 4 THEN COALESCE(text, '') ELSE SUBSTR(text, 1, 4) || '... (' || LENGTH(text) || ' total chars)' END AS result,
+      LENGTH(COALESCE(text, '')) > 4 AS is_cut FROM trace_rows WHERE kind IN ('tool_return', 'tool_retry')
+    """,
+)
+def tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trace.tool_results(trace.trace_events(message_log(spark, sf_dir), ["conv_id"]), ["conv_id"], size=4)
+
+
 @query(
     "turn_summary",
     r"""

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from cubeloom.functions.periods import range_text
 from cubeloom.functions.text import change_text, excerpt, format_value, plain_name, truncated, value_list_text
 from cubeloom.operators import clean, dims
+from cubeloom.plans.ordered import stretches
+from cubeloom.session import stored
 
 AGE = "table_id string, alder string"
 
@@ -151,6 +153,36 @@ def test_equal_codes_on_two_levels_do_not_cross(spark, rows):
     assert got == [("1", 1), ("1", 2), ("9", 3)]
 
 
+def test_ancestors_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(dims, "stored", lambda df, name="stored": written.append(name) or stored(df, name))
+    chain = [("d", str(i), i, str(i - 1) if i > 1 else None) for i in range(1, 301)]
+    df = spark.createDataFrame(chain, "dim_id string, kode string, niveau int, parent_kode string")
+    got = dims.ancestor_closure(df)
+    assert (got.count(), got.distinct().count()) == (300 * 301 // 2, 300 * 301 // 2)
+    assert sorted(int(r.ancestor_kode) for r in got.where("kode = '300'").collect()) == list(range(1, 301))
+    assert written.count("jumps") == 9
+
+
+def test_ancestors_by_two_ways_and_repeated_rows(spark, rows):
+    data = [("1", 1, None), ("2", 2, "1"), ("3", 2, "1"), ("4", 3, "2"), ("4", 3, "3"), ("4", 3, "3"), ("5", 3, "8"), ("6", 4, "4"), (None, 2, "1")]
+    df = spark.createDataFrame([("d", *d) for d in data], "dim_id string, kode string, niveau int, parent_kode string")
+    got = dims.ancestor_closure(df)
+    assert rows(got.where("kode = '6'"), "ancestor_kode", "ancestor_niveau") == [("1", 1), ("2", 2), ("3", 2), ("4", 3), ("6", 4)]
+    assert rows(got.where("kode = '5'"), "ancestor_kode") == [("5",)]
+    assert rows(got.where("kode is null"), "ancestor_kode") == [("1",), (None,)]
+
+
+def test_stretches_follow_the_rows_and_not_the_gaps(spark):
+    hot = [("hot", i * 10**9) for i in range(900)]
+    df = spark.createDataFrame(hot + [(f"k{i}", i) for i in range(100)], "dim_id string, sekvens bigint")
+    laid = stretches(df, ["dim_id"], ["sekvens"], 1000, "s", 100)
+    sizes = {r.s: r["count"] for r in laid.groupBy("s").count().collect()}
+    assert len(sizes) in (9, 10) and max(sizes.values()) < 250
+    spans = laid.where("dim_id = 'hot'").groupBy("s").agg(F.min("sekvens").alias("lo"), F.max("sekvens").alias("hi")).orderBy("s").collect()
+    assert len(spans) >= 8 and all(a.hi < b.lo for a, b in zip(spans, spans[1:]))
+
+
 def test_value_display(spark):
     values = [(999.4, "number"), (1000.0, "number"), (1_250_000.0, "currency"), (-2_340_000_000.0, "number"), (0.1234, "percent"), (-0.2, "number")]
     df = spark.createDataFrame(values, "v double, f string").select(format_value(F.col("v"), F.col("f")))
@@ -164,6 +196,8 @@ def test_value_lists_and_excerpts(spark):
     assert [r[0] for r in df.select(value_list_text(F.col("v"))).collect()] == ["IALT, 0, 1, 2, 3 ... 20, 21, 22, 23, 24", "a, b"]
     texts = spark.createDataFrame([("  a \n b  ",), ("abcdef",), (" ",), (None,)], "t string")
     assert [r[0] for r in texts.select(excerpt(F.col("t"), 4)).collect()] == ["a b", "abcd...", "_None_", "_None_"]
+    cut = df.select(F.array_compact(F.concat(F.slice("v", 1, 5), F.slice(F.reverse("v"), 1, 5))).alias("v"), F.size("v").alias("n"))
+    assert cut.select(value_list_text(F.col("v"), 20, 5, size=F.col("n"))).first()[0] == "IALT, 0, 1, 2, 3 ... 24, 23, 22, 21, 20"
     assert texts.select(truncated(F.col("t"), 5)).collect()[1][0] == "abcde... (6 total chars)"
 
 
