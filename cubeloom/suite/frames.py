@@ -150,11 +150,16 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(
             F.struct(F.lit("OMRÅDE").alias("variable"), F.col("c_mktsegment").alias("id")),
             F.struct(F.lit("STATUS").alias("variable"), F.col("o_orderstatus").alias("id")),
-            F.struct(F.lit("ALDER").alias("variable"), F.month("o_orderdate").cast("string").alias("id")),
-            F.struct(F.lit("Tid").alias("variable"), quarter_code(F.col("o_orderdate")).alias("id")),
+            F.struct(F.lit("ALDER").alias("variable"), F.col("month").alias("id")),
+            F.struct(F.lit("Tid").alias("variable"), F.col("quarter").alias("id")),
         )
     )
-    from_orders = customer_orders(spark, sf_dir).select("c_nationkey", pairs.alias("p"))
+    day = F.col("o_orderdate")
+    # distinct before the four-fold expansion: bounded by the calendar
+    seen = customer_orders(spark, sf_dir).select(
+        "c_nationkey", "c_mktsegment", "o_orderstatus", F.month(day).cast("string").alias("month"), quarter_code(day).alias("quarter")
+    ).distinct()
+    from_orders = seen.select("c_nationkey", pairs.alias("p"))
     from_customers = table(spark, sf_dir, "customer").select(
         "c_nationkey", F.struct(F.lit("OMRÅDE").alias("variable"), F.col("c_mktsegment").alias("id")).alias("p")
     )
