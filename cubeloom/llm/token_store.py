@@ -37,40 +37,48 @@ SHARD = (
     "part int, nth int, begin bigint, n_ids bigint, doc_ids array<bigint>, sizes binary, rules binary, "
     "lengths binary, symbols binary"
 )
-#: Ids gathered before a shard is closed, and rounds of replacement.
-SHARD_IDS, ROUNDS = 1 << 20, 8
+#: Ids gathered before a shard is closed.
+SHARD_IDS = 1 << 20
 #: A rule takes 12 bytes and each use saves 4.
 LEAST_USES = 4
+#: Share of the symbols that a round must replace for another one to follow.
+LEAST_SHARE = 0.001
 _BUCKETS = 20
 
 
-def compress(ids: np.ndarray, end_id: int, terminals: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, end_id: int, terminals: int, least_share: float = LEAST_SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair in rounds: ``symbols``, ``rules`` (pairs), ``lengths``.
 
     Each round estimates how often every neighbouring pair occurs, lets a pair
     win where it beats the pairs that overlap it, counts the winners exactly and
-    replaces those that pay by new symbols.
+    replaces those that pay by new symbols. It ends when a round replaces no
+    more than ``least_share`` of the symbols; 0 goes on while any pair pays.
     """
     symbols = ids.astype(np.uint32)
     rules, lengths = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
     closed = np.zeros(terminals, bool)
     closed[end_id] = True
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         pairs = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
         with np.errstate(over="ignore"):
             bucket = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKETS)).astype(np.int32)
-        weight = np.bincount(bucket, minlength=1 << _BUCKETS).astype(np.int32)[bucket]
+        weight = np.bincount(bucket, minlength=1 << _BUCKETS)[bucket]
         weight[closed[symbols[:-1]]] = 0
+        # pairs used equally often are ranked by hash, so that a passage repeated as a whole shrinks everywhere at once
+        rank = (weight << _BUCKETS) | bucket
+        step = np.diff(rank)
         best = weight >= LEAST_USES
-        best[1:] &= weight[1:] > weight[:-1]
-        best[:-1] &= weight[:-1] >= weight[1:]
+        best[1:] &= step >= 0
+        best[:-1] &= step <= 0
+        # of equal neighbours every other one wins
+        starts = np.concatenate(([True], step != 0))
+        place = np.arange(len(rank))
+        best &= (place - np.maximum.accumulate(np.where(starts, place, 0))) % 2 == 0
         at = np.flatnonzero(best)
         found, back, uses = np.unique(pairs[at], return_inverse=True, return_counts=True)
         pays = uses >= LEAST_USES
         at, back = at[pays[back]], back[pays[back]]
-        if len(at) < len(symbols) // 200 + 1:
+        if len(at) <= least_share * len(symbols):
             break
         number = np.cumsum(pays) - 1 + terminals + len(rules)
         chosen = np.stack((found[pays] >> np.uint64(32), found[pays] & np.uint64(0xFFFFFFFF)), axis=1).astype(np.uint32)

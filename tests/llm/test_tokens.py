@@ -116,6 +116,20 @@ def test_grammar_round_trip(ids, start, count):
         assert got.tolist() == ids[start : start + count].tolist()
 
 
+@pytest.mark.parametrize("share", [token_store.LEAST_SHARE, 0.0])
+def test_copies_become_one_symbol(share):
+    """Pairs used equally often don't hold each other up: a long document met often shrinks to its rules."""
+    one = np.append(np.random.default_rng(0).integers(2, 40_000, 5000), 1).astype(np.uint32)
+    ids = np.tile(one, 200)
+    symbols, rules, lengths = token_store.compress(ids, 1, 40_000, share)
+    assert 4 * len(symbols) + 12 * len(rules) < 100_000 and lengths.max() == 5001
+    assert np.array_equal(token_store.expand(symbols, rules, 40_000), ids)
+    assert np.array_equal(token_store.read_range(symbols, rules, lengths, 12_345, 7_000, 40_000), ids[12_345:19_345])
+    run = np.append(np.full(100_000, 7), 1).astype(np.uint32)
+    symbols, rules, _ = token_store.compress(run, 1, 40_000, share)
+    assert len(symbols) + 3 * len(rules) < 100 and np.array_equal(token_store.expand(symbols, rules, 40_000), run)
+
+
 def test_grammar_shortens_and_keeps_ends():
     ids = np.array(([5, 6, 5, 6, 3, 1] * 50 + [4, 4, 4, 4, 1]) * 4, np.uint32)
     symbols, rules, lengths = token_store.compress(ids, 1, 7)
