@@ -42,8 +42,11 @@ SHARD_IDS = 1 << 20
 #: A rule takes 12 bytes and each use saves 4.
 LEAST_USES = 4
 #: Share of the symbols that a round must replace for another one to follow.
-LEAST_SHARE = 0.001
+LEAST_SHARE = 0.005
 _BUCKETS = 20
+#: A rank has 31 bits: the number of uses and some of the hash.
+_TIES = 11
+_MOST = (1 << 20) - 1
 
 
 def compress(ids: np.ndarray, end_id: int, terminals: int, least_share: float = LEAST_SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,23 +61,27 @@ def compress(ids: np.ndarray, end_id: int, terminals: int, least_share: float =
     rules, lengths = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
     closed = np.zeros(terminals, bool)
     closed[end_id] = True
+    slots = np.arange(1 << _BUCKETS, dtype=np.int32) & ((1 << _TIES) - 1)
     while len(symbols) > 1:
         pairs = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
         with np.errstate(over="ignore"):
             bucket = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKETS)).astype(np.int32)
-        weight = np.bincount(bucket, minlength=1 << _BUCKETS)[bucket]
-        weight[closed[symbols[:-1]]] = 0
         # pairs used equally often are ranked by hash, so that a passage repeated as a whole shrinks everywhere at once
-        rank = (weight << _BUCKETS) | bucket
-        step = np.diff(rank)
-        best = weight >= LEAST_USES
-        best[1:] &= step >= 0
-        best[:-1] &= step <= 0
-        # of equal neighbours every other one wins
-        starts = np.concatenate(([True], step != 0))
-        place = np.arange(len(rank))
-        best &= (place - np.maximum.accumulate(np.where(starts, place, 0))) % 2 == 0
+        often = np.minimum(np.bincount(bucket, minlength=1 << _BUCKETS), _MOST).astype(np.int32)
+        rank = ((often << _TIES) | slots)[bucket]
+        rank[closed[symbols[:-1]]] = 0
+        best = rank >= LEAST_USES << _TIES
+        rises, falls = rank[1:] > rank[:-1], rank[1:] < rank[:-1]
+        best[1:] &= ~falls
+        best[:-1] &= ~rises
         at = np.flatnonzero(best)
+        # of equal neighbours every other one wins
+        nth = np.arange(len(at))
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = np.diff(at) > 1
+        at = at[(nth - np.maximum.accumulate(np.where(fresh, nth, 0))) % 2 == 0]
+        # pairs whose bucket has too few winners can't pay; the rest is counted exactly
+        at = at[np.bincount(bucket[at], minlength=1 << _BUCKETS)[bucket[at]] >= LEAST_USES]
         found, back, uses = np.unique(pairs[at], return_inverse=True, return_counts=True)
         pays = uses >= LEAST_USES
         at, back = at[pays[back]], back[pays[back]]
@@ -93,7 +100,8 @@ def compress(ids: np.ndarray, end_id: int, terminals: int, least_share: float =
     return symbols, rules, lengths
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
+def unroll(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
+    """The ids of a few symbols, level by level."""
     while True:
         rule = symbols >= terminals
         if not rule.any():
@@ -106,6 +114,13 @@ def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray
         symbols = out
 
 
+def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, terminals: int) -> np.ndarray:
+    """The ids of a whole shard: each rule is unrolled once and put in where it stands."""
+    size = np.concatenate((np.ones(terminals, np.int64), lengths.astype(np.int64)))
+    whole = np.concatenate((np.arange(terminals, dtype=np.uint32), unroll(rules.ravel(), rules, terminals)))
+    return whole[W.spread((np.cumsum(size) - size)[symbols], size[symbols])]
+
+
 def read_range(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, start: int, count: int, terminals: int) -> np.ndarray:
     """``count`` ids of a shard from ``start`` on, expanding only the symbols over them."""
     size = np.ones(len(symbols), np.int64)
@@ -115,7 +130,7 @@ def read_range(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, star
     a = int(np.searchsorted(ends, start, side="right"))
     b = int(np.searchsorted(ends, start + count, side="left")) + 1
     skip = start - int(ends[a - 1]) if a else start
-    return expand(symbols[a:b], rules, terminals)[skip : skip + count]
+    return unroll(symbols[a:b], rules, terminals)[skip : skip + count]
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, shard_ids: int = SHARD_IDS) -> None:
@@ -182,8 +197,8 @@ def documents(spark: SparkSession, path: str, vocabulary: str) -> DataFrame:
         for b in batches:
             for row in range(b.num_rows):
                 one = {c: b.column(c)[row] for c in b.schema.names}
-                size, rules, symbols = (np.frombuffer(one[c].as_py(), "<u4") for c in ("sizes", "rules", "symbols"))
-                ids = memoryview(np.ascontiguousarray(expand(symbols, rules.reshape(-1, 2), terminals), "<u4")).cast("B")
+                size, rules, lengths, symbols = (np.frombuffer(one[c].as_py(), "<u4") for c in ("sizes", "rules", "lengths", "symbols"))
+                ids = memoryview(np.ascontiguousarray(expand(symbols, rules.reshape(-1, 2), lengths, terminals), "<u4")).cast("B")
                 end = np.cumsum(size, dtype=np.int64)
                 crc = [crc32(ids[4 * x : 4 * y]) for x, y in zip((end - size).tolist(), end.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(

@@ -109,7 +109,7 @@ def test_plan_is_whole_and_fits(counts):
 def test_grammar_round_trip(ids, start, count):
     ids = np.array(ids, np.uint32)
     symbols, rules, lengths = token_store.compress(ids, 1, 7)
-    assert token_store.expand(symbols, rules, 7).tolist() == ids.tolist()
+    assert token_store.expand(symbols, rules, lengths, 7).tolist() == ids.tolist()
     start = min(start, len(ids))
     if len(ids[start : start + count]):
         got = token_store.read_range(symbols, rules, lengths, start, min(count, len(ids) - start), 7)
@@ -123,11 +123,11 @@ def test_copies_become_one_symbol(share):
     ids = np.tile(one, 200)
     symbols, rules, lengths = token_store.compress(ids, 1, 40_000, share)
     assert 4 * len(symbols) + 12 * len(rules) < 100_000 and lengths.max() == 5001
-    assert np.array_equal(token_store.expand(symbols, rules, 40_000), ids)
+    assert np.array_equal(token_store.expand(symbols, rules, lengths, 40_000), ids)
     assert np.array_equal(token_store.read_range(symbols, rules, lengths, 12_345, 7_000, 40_000), ids[12_345:19_345])
     run = np.append(np.full(100_000, 7), 1).astype(np.uint32)
-    symbols, rules, _ = token_store.compress(run, 1, 40_000, share)
-    assert len(symbols) + 3 * len(rules) < 100 and np.array_equal(token_store.expand(symbols, rules, 40_000), run)
+    symbols, rules, lengths = token_store.compress(run, 1, 40_000, share)
+    assert len(symbols) + 3 * len(rules) < 100 and np.array_equal(token_store.expand(symbols, rules, lengths, 40_000), run)
 
 
 def test_grammar_shortens_and_keeps_ends():
@@ -135,7 +135,7 @@ def test_grammar_shortens_and_keeps_ends():
     symbols, rules, lengths = token_store.compress(ids, 1, 7)
     assert len(symbols) + 3 * len(rules) < len(ids) / 3
     for r in range(len(rules)):
-        whole = token_store.expand(np.array([7 + r], np.uint32), rules, 7)
+        whole = token_store.unroll(np.array([7 + r], np.uint32), rules, 7)
         assert len(whole) == lengths[r] and 1 not in whole[:-1]
 
 
