@@ -183,7 +183,9 @@ def test_ring_given_documents(spark):
     assert all((r["size"], r["text_crc32"]) == (len(texts[r["doc_id"]].encode()) + 1, crc32(texts[r["doc_id"]].encode())) for r in rows)
     grown = {r["doc_id"]: r["shard"] for r in ring_rows(docs, shards=9)}
     moved = sum(grown[r["doc_id"]] != r["shard"] for r in rows)
-    assert moved < 0.35 * len(rows)  # a ninth must move; dealing by remainder would move eight ninths
+    between = sum(grown[r["doc_id"]] != r["shard"] and grown[r["doc_id"]] != 8 for r in rows)
+    # a ninth must move, to the new shard; what full shards pass on moves a little between old ones
+    assert moved <= 0.16 * len(rows) and between <= 0.05 * len(rows)
 
 
 def test_ring_odd(odd, empty):
