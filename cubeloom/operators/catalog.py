@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_name_column, value_list_text
-from ..session import cut_lineage, stored
+from ..session import stored
 from .dims import ancestor_closure, observed_levels
 from .joins import STORED_TYPES, dim_values_for_table, spark_family, stored_type
 from .search import discover_links, fuzzy_top
@@ -176,15 +176,14 @@ def subject_paths(nodes: DataFrame, tables: DataFrame, root: str) -> DataFrame:
     name = F.replace(F.lower("description"), F.lit(" "), F.lit("_"))
     tree = nodes.select("id", "parent_id", name.alias("part"))
     parents = tree.select(F.col("parent_id").alias("id")).where(F.col("id").isNotNull()).distinct()
-    level = tree.where(F.col("parent_id") == root).withColumn("path", F.col("part"))
-    found = None
-    while True:
-        found = level if found is None else found.unionByName(level)
+    tree = stored(tree, "tree")
+    level = stored(tree.where(F.col("parent_id") == root).withColumn("path", F.col("part")), "level")
+    found = level
+    while not level.isEmpty():
         above = level.select(F.col("id").alias("parent_id"), F.col("path").alias("_up"))
         below = tree.join(above, "parent_id").withColumn("path", F.concat_ws("/", "_up", "part"))
-        level = cut_lineage(below.join(found.select("id"), "id", "left_anti").select(*found.columns))
-        if level.isEmpty():
-            break
+        level = stored(below.join(found.select("id"), "id", "left_anti").select(*found.columns), "level")
+        found = found.unionByName(level)
     leaves = found.join(parents, "id", "left_anti")
     return leaves.join(tables, "id").select("path", "table_id")
 
