@@ -336,17 +336,19 @@ def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     "range_join_wide",
     """
     SELECT o_orderkey, l.lo FROM orders JOIN (
-      SELECT DISTINCT o_custkey * 40 AS lo, CASE WHEN o_custkey NOT IN (SELECT MAX(o_custkey) FROM orders GROUP BY o_orderpriority) THEN o_custkey * 40 + 60 END AS hi
+      SELECT DISTINCT o_custkey * 40 AS lo,
+        CASE WHEN o_custkey % 50 > 0 AND o_custkey NOT IN (SELECT MAX(o_custkey) FROM orders GROUP BY o_orderpriority) THEN o_custkey * 40 + 60 END AS hi
       FROM orders) l
       ON lo <= o_orderkey AND (hi IS NULL OR o_orderkey < hi)
     """,
 )
 def range_join_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A range over order keys for each customer; those of the last customer of each priority are open."""
+    """A range over order keys for each customer; every fiftieth customer's and those of the last customer of each priority are open."""
     orders, low = frames.table(spark, sf_dir, "orders"), F.col("o_custkey") * 40
     last = orders.groupBy("o_orderpriority").agg(F.max("o_custkey").alias("o_custkey")).select("o_custkey").distinct().withColumn("open", F.lit(True))
     marked = orders.select("o_custkey").distinct().join(last, "o_custkey", "left")
-    ranges = marked.select(F.struct(low.alias("lo"), F.when(F.col("open").isNull(), low + 60).alias("hi")).alias("span"))
+    closed = (F.col("o_custkey") % 50 > 0) & F.col("open").isNull()
+    ranges = marked.select(F.struct(low.alias("lo"), F.when(closed, low + 60).alias("hi")).alias("span"))
     found = joins.range_join(orders.select("o_orderkey"), "o_orderkey", ranges, "span")
     return found.select("o_orderkey", F.col("span.lo").alias("lo"))
 

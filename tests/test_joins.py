@@ -3,8 +3,11 @@ import random
 
 from pyspark.sql import functions as F
 
+from diff import compare, duck
+
 from cubeloom.operators import catalog, dims, joins, search
 from cubeloom.sources.links import load_links, parse_links
+from cubeloom.suite import all_oracles, all_queries
 
 DIMS = "dim_id string, kode bigint, niveau int, titel string, parent_kode bigint"
 VALUES = "table_id string, column_name string, id string"
@@ -170,3 +173,18 @@ def test_range_join_shuffles_points_once(spark):
     ranges = spark.range(9).selectExpr("struct(id * 3 as lo, id * 3 + 700 as hi) as span")
     plan = joins.range_join(points, "x", ranges, "span")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_wide_ranges_of_all_customers_and_open_ones_along_the_axis(spark, tmp_path):
+    """Every fiftieth customer's range meets all later orders, other customers' are there too, as in the SQL."""
+    customers = [None, 0, 1, 2, 37, 49, 50, 51, 100, 110, 120, 120]
+    orders = [(k * 37, customers[k % 12], "AB"[k % 2]) for k in range(200)] + [(None, 50, "A"), (74, 2, "B")]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderpriority string").toPandas().to_parquet(tmp_path / "orders.parquet")
+    known = [(c, p) for _, c, p in orders if c is not None]
+    last = {max(c for c, p in known if p == mine) for mine in "AB"}
+    spans = [(c * 40, None if c % 50 == 0 or c in last else c * 40 + 60) for c in {c for c, _ in known}]
+    want = sorted((x, lo) for x, _, _ in orders for lo, hi in spans if x is not None and lo <= x and (hi is None or x < hi))
+    sql, query = all_oracles()["range_join_wide"], all_queries()["range_join_wide"]
+    assert sorted(tuple(r) for r in query(spark, str(tmp_path)).collect()) == want
+    assert compare(spark, duck(str(tmp_path)), query, sql, str(tmp_path))[2] is None
+    assert (7363, 2000) in want and (1480, 1480) in want and (1554, 1480) not in want
