@@ -215,8 +215,9 @@ def range_join(points: DataFrame, point: str, ranges: DataFrame, span: str) -> D
     follow. A slot with many points is split, and its ranges go to each part. A
     task meets ranges and points of a slot in order: it keeps the ranges that are
     still open at the current point, and finds the points of a range by two
-    searches, so the work follows the number of pairs. Null points and
-    ranges without a start meet nothing.
+    searches. What leaves Python is a list of points and the stretch of it that
+    each range holds; Spark unfolds the pairs, a bounded number from each row.
+    Null points and ranges without a start meet nothing.
 
     Points are shuffled once; before, one pass counts them per slot.
     """
@@ -245,12 +246,19 @@ def range_join(points: DataFrame, point: str, ranges: DataFrame, span: str) -> D
 
     both = at.unionByName(spread).withColumn("is_point", F.col("p").isNotNull())
     dealt = both.repartition("slot", "part").sortWithinPartitions("slot", "part", "lo", "is_point")
-    schema = T.StructType([T.StructField("p", at.schema["p"].dataType), T.StructField("r", spread.schema["r"].dataType)])
-    return dealt.mapInArrow(_sweep, schema).select("p.*", "r.*")
+    met = T.StructType([T.StructField("r", spread.schema["r"].dataType), T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType())])
+    schema = T.StructType([T.StructField("ps", T.ArrayType(at.schema["p"].dataType)), T.StructField("met", T.ArrayType(met))])
+    stretches = dealt.mapInArrow(_sweep, schema).select("ps", F.explode("met").alias("m"))
+    pairs = stretches.select("ps", "m.r", F.explode(F.sequence(F.col("m.first"), F.col("m.first") + F.col("m.n") - 1)).alias("k"))
+    return pairs.select(F.get("ps", "k").alias("p"), "r").select("p.*", "r.*")
+
+
+def _one_list(items: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of points and ranges from rows in order of slot, part and place, ranges before points."""
+    """Points in order, and ranges with the stretch of them that each holds, from rows in order of slot, part and place, ranges before points."""
     here: tuple[int, int] | None = None
     lows, highs, rows = np.zeros(0, np.int64), np.zeros(0, np.int64), None  # ranges still open
     for batch in batches:
@@ -274,11 +282,17 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.searchsorted(x, lows, "left")
             count = np.maximum(np.searchsorted(x, highs, "left") - first, 0)
             total = np.cumsum(count)
+            before = total - count
             for k in range(0, int(total[-1]), PAIRS):
-                nth = np.arange(k, min(k + PAIRS, int(total[-1])))
-                own = np.searchsorted(total, nth, "right")
-                met = spots[first[own] + nth - (total[own] - count[own])]
-                yield pa.record_batch([p.take(pa.array(met)), rows.take(pa.array(own))], ["p", "r"])
+                end = min(k + PAIRS, int(total[-1]))
+                own = np.arange(np.searchsorted(total, k, "right"), np.searchsorted(total, end - 1, "right") + 1)
+                own = own[count[own] > 0]
+                start = first[own] + np.maximum(k - before[own], 0)
+                stop = first[own] + np.minimum(end - before[own], count[own])
+                left, right = start.min(), stop.max()
+                stretch = [pa.array((start - left).astype(np.int32)), pa.array((stop - start).astype(np.int32))]
+                met = pa.StructArray.from_arrays([rows.take(pa.array(own)), *stretch], ["r", "first", "n"])
+                yield pa.record_batch([_one_list(p.take(pa.array(spots[left:right]))), _one_list(met)], ["ps", "met"])
             still = np.flatnonzero(highs > x[-1])
             if len(still) < len(highs):
                 lows, highs, rows = lows[still], highs[still], rows.take(pa.array(still))

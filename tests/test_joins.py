@@ -188,3 +188,13 @@ def test_wide_ranges_of_all_customers_and_open_ones_along_the_axis(spark, tmp_pa
     assert sorted(tuple(r) for r in query(spark, str(tmp_path)).collect()) == want
     assert compare(spark, duck(str(tmp_path)), query, sql, str(tmp_path))[2] is None
     assert (7363, 2000) in want and (1480, 1480) in want and (1554, 1480) not in want
+
+
+def test_range_join_emits_more_pairs_than_fit_at_once(spark, rows):
+    """Some 110,000 pairs of one batch, cut inside of ranges; many ranges meet nothing."""
+    spans = [(i, i % 30, None if i % 3 == 0 else i % 30 + i % 7) for i in range(4000)]
+    ranges = spark.createDataFrame([(i, (lo, hi)) for i, lo, hi in spans], "r int, span struct<lo:int,hi:int>")
+    points = spark.createDataFrame([(i, i) for i in range(90)], "p int, x int")
+    want = sorted((p, i) for p in range(90) for i, lo, hi in spans if lo <= p and (hi is None or p < hi))
+    assert len(want) > joins.PAIRS
+    assert sorted(rows(joins.range_join(points, "x", ranges, "span"), "p", "r")) == want
