@@ -189,8 +189,10 @@ def latest_period(facts: DataFrame, period: str = "tid", source: DataFrame | Non
     return facts.where(F.col(period) == periods.agg(F.max(period)).scalar())
 
 
-#: Points in a slot from which on it is split.
-SLOT_POINTS = 1 << 18
+#: Points in a slot from which on it is split: half of the 8-byte keys that a Parquet dictionary of 1 MB holds.
+SLOT_POINTS = 1 << 16
+#: Points of a block: two thirds of the 504 values that Parquet packs under one header, so packed blocks repeat byte by byte.
+BLOCK = 336
 #: Pairs that a task emits at once.
 PAIRS = 1 << 16
 
@@ -215,10 +217,14 @@ def range_join(points: DataFrame, point: str, ranges: DataFrame, span: str) -> D
     follow. A slot with many points is split, and its ranges go to each part. A
     task meets ranges and points of a slot in order: it keeps the ranges that are
     still open at the current point, and finds the points of a range by two
-    searches. What leaves Python is a list of points and the stretch of it that
+    searches. What leaves Python is a block of points and the stretch of it that
     each range holds; Spark unfolds the pairs, a bounded number from each row.
     Null points and ranges without a start meet nothing.
 
+    Pairs come out block by block, so files of many pairs stay small: a range is
+    a run of rows, the points of a block come again for each range that holds it,
+    and a task has no more points than fit a file's dictionary.
+
     Points are shuffled once; before, one pass counts them per slot.
     """
     spark = points.sparkSession
@@ -232,6 +238,8 @@ def range_join(points: DataFrame, point: str, ranges: DataFrame, span: str) -> D
     for r in counted:
         split[r["slot"]] = -(-r["count"] // SLOT_POINTS)
     parts = F.array(*[F.lit(k) for k in split])
+    # open ranges gather in the last slots, whose tasks start first
+    cells = F.array(*[F.lit(sum(split[k + 1 :])) for k in range(len(split))])
 
     at = points.where(x.isNotNull()).select(F.struct(*points.columns).alias("p"), x.alias("lo"))
     at = at.withColumn("slot", _slot(F.col("lo"), bounds))
@@ -244,8 +252,8 @@ def range_join(points: DataFrame, point: str, ranges: DataFrame, span: str) -> D
     spread = spread.withColumn("part", F.explode(F.sequence(F.lit(0), F.get(parts, "slot") - 1)))
     spread = spread.select("slot", "part", "lo", "hi", F.lit(None).cast(at.schema["p"].dataType).alias("p"), "r")
 
-    both = at.unionByName(spread).withColumn("is_point", F.col("p").isNotNull())
-    dealt = both.repartition("slot", "part").sortWithinPartitions("slot", "part", "lo", "is_point")
+    both = at.unionByName(spread).withColumns({"is_point": F.col("p").isNotNull(), "cell": F.get(cells, "slot") + F.col("part")}).drop("slot", "part")
+    dealt = both.repartitionById(sum(split), "cell").sortWithinPartitions("cell", "lo", "is_point")
     met = T.StructType([T.StructField("r", spread.schema["r"].dataType), T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType())])
     schema = T.StructType([T.StructField("ps", T.ArrayType(at.schema["p"].dataType)), T.StructField("met", T.ArrayType(met))])
     stretches = dealt.mapInArrow(_sweep, schema).select("ps", F.explode("met").alias("m"))
@@ -258,18 +266,18 @@ def _one_list(items: pa.Array) -> pa.Array:
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Points in order, and ranges with the stretch of them that each holds, from rows in order of slot, part and place, ranges before points."""
-    here: tuple[int, int] | None = None
+    """Blocks of points in order, and ranges with the stretch of them that each holds, from rows in order of cell and place, ranges before points."""
+    here: int | None = None
     lows, highs, rows = np.zeros(0, np.int64), np.zeros(0, np.int64), None  # ranges still open
     for batch in batches:
-        slot, part, lo = (batch.column(c).to_numpy() for c in ("slot", "part", "lo"))
+        cell, lo = (batch.column(c).to_numpy() for c in ("cell", "lo"))
         hi = batch.column("hi").fill_null(np.iinfo(np.int64).max).to_numpy()
         is_point = batch.column("is_point").to_numpy(zero_copy_only=False)
         p, r = batch.column("p"), batch.column("r")
-        edge = np.flatnonzero(np.concatenate(([True], (slot[1:] != slot[:-1]) | (part[1:] != part[:-1]), [True]))) if len(slot) else []
+        edge = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True]))) if len(cell) else []
         for a, b in zip(edge[:-1], edge[1:], strict=True):
-            if (slot[a], part[a]) != here:
-                here = (slot[a], part[a])
+            if cell[a] != here:
+                here = cell[a]
                 lows, highs, rows = lows[:0], highs[:0], None
             new, spots = a + np.flatnonzero(~is_point[a:b]), a + np.flatnonzero(is_point[a:b])
             if len(new):
@@ -279,20 +287,16 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(spots) or rows is None:
                 continue
             x = lo[spots]
-            first = np.searchsorted(x, lows, "left")
-            count = np.maximum(np.searchsorted(x, highs, "left") - first, 0)
-            total = np.cumsum(count)
-            before = total - count
-            for k in range(0, int(total[-1]), PAIRS):
-                end = min(k + PAIRS, int(total[-1]))
-                own = np.arange(np.searchsorted(total, k, "right"), np.searchsorted(total, end - 1, "right") + 1)
-                own = own[count[own] > 0]
-                start = first[own] + np.maximum(k - before[own], 0)
-                stop = first[own] + np.minimum(end - before[own], count[own])
-                left, right = start.min(), stop.max()
-                stretch = [pa.array((start - left).astype(np.int32)), pa.array((stop - start).astype(np.int32))]
-                met = pa.StructArray.from_arrays([rows.take(pa.array(own)), *stretch], ["r", "first", "n"])
-                yield pa.record_batch([_one_list(p.take(pa.array(spots[left:right]))), _one_list(met)], ["ps", "met"])
+            first, last = np.searchsorted(x, lows, "left"), np.searchsorted(x, highs, "left")
+            for left in range(0, len(spots), BLOCK):
+                block = _one_list(p.take(pa.array(spots[left : left + BLOCK])))
+                start, stop = np.clip(first - left, 0, BLOCK), np.clip(last - left, 0, BLOCK)
+                own = np.flatnonzero(stop > start)
+                for k in range(0, len(own), PAIRS // BLOCK):
+                    some = own[k : k + PAIRS // BLOCK]
+                    stretch = [pa.array(start[some].astype(np.int32)), pa.array((stop - start)[some].astype(np.int32))]
+                    met = pa.StructArray.from_arrays([rows.take(pa.array(some)), *stretch], ["r", "first", "n"])
+                    yield pa.record_batch([block, _one_list(met)], ["ps", "met"])
             still = np.flatnonzero(highs > x[-1])
             if len(still) < len(highs):
                 lows, highs, rows = lows[still], highs[still], rows.take(pa.array(still))

@@ -198,3 +198,28 @@ def test_range_join_emits_more_pairs_than_fit_at_once(spark, rows):
     want = sorted((p, i) for p in range(90) for i, lo, hi in spans if lo <= p and (hi is None or p < hi))
     assert len(want) > joins.PAIRS
     assert sorted(rows(joins.range_join(points, "x", ranges, "span"), "p", "r")) == want
+
+
+def test_range_join_cuts_blocks_of_points(spark, rows):
+    """Ranges that start and end before, at and after the edges of blocks, and hold several of them, in whole and in small batches."""
+    size, edges = joins.BLOCK, [k * joins.BLOCK + d for k in range(4) for d in (-1, 0, 1)]
+    spans = [(lo, hi) for lo in edges for hi in [*edges, None] if hi is None or hi >= lo]
+    points = spark.createDataFrame([(x,) for x in range(3 * size + 5)], "x bigint")
+    ranges = spark.createDataFrame([(i, s) for i, s in enumerate(spans)], "r int, span struct<lo:bigint,hi:bigint>")
+    want = [(x, i) for x in range(3 * size + 5) for i, (lo, hi) in enumerate(spans) if lo <= x and (hi is None or x < hi)]
+    for batch in (10_000, 100):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            assert sorted(rows(joins.range_join(points, "x", ranges, "span"), "x", "r")) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_files_of_many_pairs_are_small(spark, tmp_path):
+    """Keys of points and ranges come in an order that Parquet packs; a run of all points for each range took 2 bytes a pair."""
+    points = spark.range(20_000).select((F.col("id") * 7919 % 20_011 * 1_000_003).alias("key"), F.col("id").alias("x"))
+    ranges = spark.range(64).selectExpr("id as r", "struct(id * 3 as lo, cast(null as bigint) as hi) as span")
+    joins.range_join(points, "x", ranges, "span").select("key", "r").write.parquet(str(tmp_path / "pairs"))
+    pairs = spark.read.parquet(str(tmp_path / "pairs"))
+    assert pairs.count() == pairs.distinct().count() == sum(20_000 - 3 * k for k in range(64))
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * pairs.count()
